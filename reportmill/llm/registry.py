@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from .media import op10_gif_media
+from .mixing import op1_cube_mix
+from .near_dup import op9_circulant_minhash
 from .packing import op5_mixture_packing
 from .token_store import op2_rans_tokens
 
 QUERIES = {
+    "op1_cube_mix": op1_cube_mix,
     "op2_rans_tokens": op2_rans_tokens,
     "op5_mixture_packing": op5_mixture_packing,
+    "op9_circulant_minhash": op9_circulant_minhash,
     "op10_gif_media": op10_gif_media,
 }
 
