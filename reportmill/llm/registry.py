@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from .language import op7_language_id
 from .media import op10_gif_media
 from .mixing import op1_cube_mix
 from .near_dup import op9_circulant_minhash
 from .packing import op5_mixture_packing
+from .secrets import op6_secret_randomness
 from .token_store import op2_rans_tokens
 
 QUERIES = {
     "op1_cube_mix": op1_cube_mix,
     "op2_rans_tokens": op2_rans_tokens,
     "op5_mixture_packing": op5_mixture_packing,
+    "op6_secret_randomness": op6_secret_randomness,
+    "op7_language_id": op7_language_id,
     "op9_circulant_minhash": op9_circulant_minhash,
     "op10_gif_media": op10_gif_media,
 }
