@@ -6,13 +6,17 @@ from .language import op7_language_id
 from .media import op10_gif_media
 from .mixing import op1_cube_mix
 from .near_dup import op9_circulant_minhash
+from .neighbours import op4_cross_polytope_ann
 from .packing import op5_mixture_packing
 from .secrets import op6_secret_randomness
 from .token_store import op2_rans_tokens
+from .toxicity import op3_toxicity_knn
 
 QUERIES = {
     "op1_cube_mix": op1_cube_mix,
     "op2_rans_tokens": op2_rans_tokens,
+    "op3_toxicity_knn": op3_toxicity_knn,
+    "op4_cross_polytope_ann": op4_cross_polytope_ann,
     "op5_mixture_packing": op5_mixture_packing,
     "op6_secret_randomness": op6_secret_randomness,
     "op7_language_id": op7_language_id,
