@@ -16,27 +16,28 @@ from array import array
 _LETTERS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
 #: Parts that end at a sure border: a run of letters before an ASCII non-letter, what is left up to a blank, blanks.
 _PARTS = re.compile(rf" ?[{_LETTERS}]++(?=[\x00-\x7f]|\Z)| ?\S+|\s+(?!\S)|\s+")
-_DOUBT = re.compile("[\x1c-\x1f\x85]|<\\|")
-#: Distinct strings that a worker remembers, for each of two levels.
-REMEMBERED = 500_000
+_DOUBT = ("\x1c", "\x1d", "\x1e", "\x1f", "\x85", "<|")
+#: Distinct strings that a worker remembers for long, for each of two levels; as many again may wait for a second look.
+REMEMBERED = 250_000
 
 
-class _Memory(dict):
-    """Values by key up to REMEMBERED keys; others last until the next batch."""
+class _Memory:
+    """Values by key. A key is remembered for long from its second use on; others are forgotten when they are too many."""
 
     def __init__(self):
-        self.passing: dict = {}
+        self.long: dict[str, bytes] = {}
+        self.short: dict[str, bytes] = {}
 
-    def __missing__(self, key):
-        return self.passing[key]
+    def again(self, key: str) -> bytes | None:
+        value = self.short.pop(key, None)
+        if value is not None:
+            (self.long if len(self.long) < REMEMBERED else self.short)[key] = value
+        return value
 
-    def take(self, keys, values) -> None:
-        self.passing = {}
-        for k, v in zip(keys, values, strict=True):
-            if len(self) < REMEMBERED:
-                self[k] = v
-            else:
-                self.passing[k] = v
+    def add(self, keys: list[str], values: list[bytes]) -> None:
+        if len(self.short) + len(keys) > REMEMBERED:
+            self.short = {}
+        self.short.update(zip(keys, values, strict=True))
 
 
 class Encoder:
@@ -59,33 +60,57 @@ class Encoder:
     def _library(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _parts(self, lists: list[list[str]]) -> list[bytes]:
+        """The ids of each list of parts; the library gets each unknown part once."""
+        get, again = self.parts.long.get, self.parts.again
+        found = [list(map(get, parts)) for parts in lists]
+        new: dict[str, bytes] = {}
+        gaps = []
+        for parts, ids in zip(lists, found, strict=True):
+            if None in ids:
+                for i, x in enumerate(ids):
+                    if x is None and (own := again(parts[i])) is not None:
+                        ids[i] = own
+                    elif x is None:
+                        new[parts[i]] = b""
+                        gaps.append((ids, i, parts[i]))
+        if new:
+            keys = list(new)
+            new = dict(zip(keys, self._library(keys), strict=True))
+            self.parts.add(keys, list(new.values()))
+            for ids, i, part in gaps:
+                ids[i] = new[part]
+        return list(map(b"".join, found))
+
     def encode_many(self, texts: list[str | None]) -> list[bytes]:
         """Words are what blanks part; a text with blanks side by side or at an end is cut into parts from its start."""
-        doubt = [bool(t) and (_DOUBT.search(t) is not None or any(s in t for s in self.special)) for t in texts]
-        if self.blanks:
-            rest = [[] if d or not t else t.split(" ") for t, d in zip(texts, doubt, strict=True)]
-            first = [_PARTS.findall(r.pop(0)) if r else [] for r in rest]
-        else:
-            rest = [[] if d or not t else t.split() for t, d in zip(texts, doubt, strict=True)]
-            first = [[]] * len(texts)
-        known = self.words
-        words = [w for w in set().union(*rest) if w not in known]
-        if self.blanks:
-            odd = {w for w in words if not w or w[0].isspace() or w[-1].isspace()}
-            words = [w for w in words if w not in odd]
-            for i, r in enumerate(rest):
-                if r and (first[i] and not first[i][-1].isspace()) and odd.isdisjoint(r):
-                    continue
-                if r:
-                    first[i], rest[i] = _PARTS.findall(texts[i]), []
-        made = [_PARTS.findall(" " + w if self.blanks else w) for w in words]
-        parts = [p for p in set().union(*made, *first) if p not in self.parts]
-        self.parts.take(parts, self._library(parts))
-        part = self.parts.__getitem__
-        known.take(words, [b"".join(map(part, x)) for x in made])
-        word = known.__getitem__
-        whole = iter(self._library([t for t, d in zip(texts, doubt, strict=True) if d]))
-        return [next(whole) if d else b"".join(map(part, f)) + b"".join(map(word, r)) for d, f, r in zip(doubt, first, rest, strict=True)]
+        doubt = [bool(t) and any(s in t for s in (*_DOUBT, *self.special)) for t in texts]
+        get, again = self.words.long.get, self.words.again
+        firsts, found, gaps, new = [], [], [], {}
+        for text, unsure in zip(texts, doubt, strict=True):
+            rest = [] if unsure or not text else text.split(" ") if self.blanks else text.split()
+            first = _PARTS.findall(rest.pop(0)) if self.blanks and rest else []
+            ids = list(map(get, rest))
+            own = [(ids, i, rest[i]) for i, x in enumerate(ids) if x is None]
+            if self.blanks and rest and (not first or first[-1].isspace() or any(not w or w[0].isspace() or w[-1].isspace() for _, _, w in own)):
+                first, ids, own = _PARTS.findall(text), [], []
+            for gap in own:
+                if (known := again(gap[2])) is not None:
+                    ids[gap[1]] = known
+                else:
+                    gaps.append(gap)
+                    new[gap[2]] = b""
+            firsts.append(first)
+            found.append(ids)
+        keys = list(new)
+        made = self._parts([_PARTS.findall(" " + w if self.blanks else w) for w in keys])
+        new = dict(zip(keys, made, strict=True))
+        self.words.add(keys, made)
+        for ids, i, word in gaps:
+            ids[i] = new[word]
+        starts = self._parts(firsts)
+        whole = iter(self._library([t for t, unsure in zip(texts, doubt, strict=True) if unsure]))
+        return [next(whole) if unsure else first + b"".join(ids) for unsure, first, ids in zip(doubt, starts, found, strict=True)]
 
 
 _encoders: dict[str, Encoder] = {}
