@@ -16,7 +16,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import crc_mod4, stored, table
@@ -90,6 +90,8 @@ class Model:
         self.weights = np.array([machines[k] for k in self.keys]) if machines else np.zeros((0, DIMENSIONS + 1))
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        if not self.langs:
+            return ["und"] * len(texts), np.zeros(len(texts))
         x = features(texts)
         margin = dict(zip(self.keys, (x @ self.weights[:, :-1].T + self.weights[:, -1]).T, strict=True))
         fam, sure = self._vote("family", self.families, margin, len(x))
@@ -150,25 +152,30 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     return Model(langs, {pairs[r["pair"]]: np.frombuffer(r["w"]) for r in fitted})
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """documents(doc_id, text) with lang_pred and score."""
+def predicted(model: Model, text: Column) -> Column:
+    """struct<lang_pred, score> of a text column; other columns don't pass through Python."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for i in range(0, len(pdf), 64):
-                few = pdf.iloc[i : i + 64].copy()
-                few["lang_pred"], few["score"] = model.predict(few["text"].tolist())
-                none = np.array([not any(c.isalpha() for c in t or "") for t in few["text"]]) | (not model.langs)
-                few.loc[none, "lang_pred"], few.loc[none, "score"] = "und", 0.0
-                yield few.drop(columns="text") if "text" not in kept else few
+    @F.pandas_udf("lang_pred string, score double")
+    def predict(texts: pd.Series) -> pd.DataFrame:
+        out = []
+        for i in range(0, len(texts), 64):
+            few = texts.iloc[i : i + 64].tolist()
+            lang, score = model.predict(few)
+            none = np.array([not any(c.isalpha() for c in t or "") for t in few], bool) | (not model.langs)
+            out.append(pd.DataFrame({"lang_pred": np.where(none, "und", np.array(lang, object)), "score": np.where(none, 0.0, score)}))
+        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"lang_pred": [], "score": []})
 
-    kept = [c for c in docs.columns if c != "text"]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in kept] + ["lang_pred string", "score double"])
-    return docs.mapInPandas(run, schema)
+    return predict(text)
+
+
+def identify(docs: DataFrame, model: Model) -> DataFrame:
+    """The documents with lang_pred and score (in place of columns of these names)."""
+    found = docs.withColumn("_found", predicted(model, F.col("text")))
+    return found.withColumns({"lang_pred": F.col("_found.lang_pred"), "score": F.col("_found.score")}).drop("_found")
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = crc_mod4("doc_id") == 2
     model = train(docs.filter(~held_out))
-    return identify(docs.select("doc_id", held_out.alias("held_out"), "text"), model)
+    return identify(docs.select("doc_id", held_out.alias("held_out"), "text"), model).drop("text")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .chat import op8_reply_trees
 from .language import op7_language_id
 from .media import op10_gif_media
 from .mixing import op1_cube_mix
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_mixture_packing": op5_mixture_packing,
     "op6_secret_randomness": op6_secret_randomness,
     "op7_language_id": op7_language_id,
+    "op8_reply_trees": op8_reply_trees,
     "op9_circulant_minhash": op9_circulant_minhash,
     "op10_gif_media": op10_gif_media,
 }
