@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import stored, table
 
-TABLES, PROBES = 8, 14
+TABLES, PROBES = 8, 20
 CANDIDATE_BLOCK, QUERY_BLOCK = 8192, 2048
 
 
