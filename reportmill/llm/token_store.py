@@ -28,9 +28,9 @@ from .tokens import encoder
 
 BYTE_BPE = "byte_bpe_50k.json"
 SCALE_BITS = 20
-LANES = 512
+LANES = 2048
 #: Ids after which a block closes, at the end of a document; steps between checkpoints.
-BLOCK_TOKENS = 1 << 17
+BLOCK_TOKENS = 1 << 19
 CHECKPOINT_STEPS = 64
 _LOW = np.uint64(1 << 31)
 _HEAD = struct.Struct("<4sQIIIII")

@@ -18,7 +18,7 @@ _LETTERS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
 _PARTS = re.compile(rf" ?[{_LETTERS}]++(?=[\x00-\x7f]|\Z)| ?\S+|\s+(?!\S)|\s+")
 _DOUBT = ("\x1c", "\x1d", "\x1e", "\x1f", "\x85", "<|")
 #: Distinct strings that a worker remembers for long, for each of two levels; as many again may wait for a second look.
-REMEMBERED = 250_000
+REMEMBERED = 100_000
 
 
 class _Memory:
