@@ -198,42 +198,74 @@ def _in_blocks(members: DataFrame, sizes: DataFrame) -> DataFrame:
     return cut.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumns({"i": F.least("b", "o"), "j": F.greatest("b", "o")}).drop("o", "blocks")
 
 
-def _near_pairs(pdf: pd.DataFrame, percent: int) -> list[tuple[int, np.ndarray]]:
-    """Places in a block that must be compared in full: of other components, sizes and sketches near, this band their first."""
-    keys = np.stack(pdf["keys"])
-    sketch = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(len(pdf), -1)
-    n, part, b = pdf["n_shingles"].to_numpy(), pdf["component"].to_numpy(), pdf["b"].to_numpy()
-    two = pdf["i"].iloc[0] != pdf["j"].iloc[0]
-    band = int(np.flatnonzero(keys[0] == pdf["key"].iloc[0])[0])
-    share, width = percent / 100, sketch.shape[1]
-    least = width * share - 5 * np.sqrt(width * share * (1 - share))
-    out = []
-    for k in range(len(pdf) - 1):
-        other = k + 1 + np.flatnonzero((part[k + 1 :] != part[k]) & (100 * np.minimum(n[k + 1 :], n[k]) >= percent * np.maximum(n[k + 1 :], n[k])) & ((b[k + 1 :] != b[k]) if two else True))
-        if band and len(other):
-            other = other[~(keys[other, :band] == keys[k, :band]).any(1)]
-        other = other[(sketch[other] == sketch[k]).sum(1) >= least]
-        if len(other):
-            out.append((k, other))
-    return out
+class _Block:
+    """Rows of one task, sorted by (key, i, j), with their groups."""
+
+    def __init__(self, pdf: pd.DataFrame):
+        self.pdf = pdf
+        place = pdf[["key", "i", "j"]].to_numpy()
+        self.starts = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]).any(1)]))
+        self.keys = np.stack(pdf["keys"])
+        self.sketch = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(len(pdf), -1)
+        self.n, self.part, self.b = (pdf[c].to_numpy() for c in ("n_shingles", "component", "b"))
+        self.key, self.two = place[:, 0], place[:, 1] != place[:, 2]
+
+    def near_pairs(self, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+        """Rows that must be compared in full: of other components, sizes and sketches near, this band their first."""
+        share, width = percent / 100, self.sketch.shape[1]
+        least = width * share - 5 * np.sqrt(width * share * (1 - share))
+        for begin, end in zip(self.starts, np.append(self.starts[1:], len(self.pdf)), strict=True):
+            band = int((self.keys[begin] == self.key[begin]).argmax())
+            for k in range(begin, end - 1):
+                rest = slice(k + 1, end)
+                near = (self.part[rest] != self.part[k]) & (100 * np.minimum(self.n[rest], self.n[k]) >= percent * np.maximum(self.n[rest], self.n[k]))
+                if self.two[begin]:
+                    near &= self.b[rest] != self.b[k]
+                other = k + 1 + np.flatnonzero(near)
+                if band and len(other):
+                    other = other[~(self.keys[other, :band] == self.keys[k, :band]).any(1)]
+                if len(other):
+                    other = other[(self.sketch[other] == self.sketch[k]).sum(1) >= least]
+                if len(other):
+                    yield k, other
+
+
+def _by_group(function):
+    """mapInPandas over sorted rows: function gets a block of whole groups; a group that a batch cuts waits for its rest."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        waiting = None
+        for pdf in batches:
+            pdf = pdf if waiting is None else pd.concat([waiting, pdf], ignore_index=True)
+            if not len(pdf):
+                continue
+            last = pdf[["key", "i", "j"]].iloc[-1]
+            whole = ~((pdf["key"] == last["key"]) & (pdf["i"] == last["i"]) & (pdf["j"] == last["j"]))
+            if whole.any():
+                yield function(_Block(pdf[whole].reset_index(drop=True)))
+            waiting = pdf[~whole].reset_index(drop=True)
+        if waiting is not None and len(waiting):
+            yield function(_Block(waiting))
+
+    return run
 
 
 def _near_members(percent: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        near = np.zeros(len(pdf), bool)
-        for k, other in _near_pairs(pdf, percent):
+    def run(block: _Block) -> pd.DataFrame:
+        near = np.zeros(len(block.pdf), bool)
+        for k, other in block.near_pairs(percent):
             near[k] = near[other] = True
-        return pdf.loc[near, ["key", "rep"]]
+        return block.pdf.loc[near, ["key", "rep"]]
 
-    return run
+    return _by_group(run)
 
 
 def _linked_members(size: int, percent: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(block: _Block) -> pd.DataFrame:
         sets: dict[int, set] = {}
-        texts, rep, part = pdf["text"].tolist(), pdf["rep"].tolist(), pdf["component"].tolist()
+        texts, rep, part = (block.pdf[c].tolist() for c in ("text", "rep", "component"))
         done, out = set(), []
-        for k, other in _near_pairs(pdf, percent):
+        for k, other in block.near_pairs(percent):
             for m in other.tolist():
                 pair = (min(part[k], part[m]), max(part[k], part[m]))
                 if pair in done:
@@ -245,16 +277,20 @@ def _linked_members(size: int, percent: int):
                     out.append((min(rep[k], rep[m]), max(rep[k], rep[m])))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return run
+    return _by_group(run)
+
+
+def _together(blocks: DataFrame) -> DataFrame:
+    return blocks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
 
 def _links_across(open_: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Links between components, one for each two of a bucket at least, from open_(key, rep, component)."""
     blocks = open_.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     sketched = _in_blocks(open_.join(texts.select("rep", "n_shingles", "sketch", "keys"), "rep"), blocks)
-    near = stored(sketched.groupBy("key", "i", "j").applyInPandas(_near_members(percent), "key long, rep long").distinct(), "near")
+    near = stored(_together(sketched).mapInPandas(_near_members(percent), "key long, rep long").distinct(), "near")
     whole = _in_blocks(near.join(open_, ["key", "rep"]).join(texts.select("rep", "text", "n_shingles", "sketch", "keys"), "rep"), blocks)
-    return whole.groupBy("key", "i", "j").applyInPandas(_linked_members(size, percent), "a long, b long").distinct()
+    return _together(whole).mapInPandas(_linked_members(size, percent), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
