@@ -79,13 +79,24 @@ def _chi_tail(x: Column, df: Column) -> Column:
 def battery(run: Column) -> Column:
     """encoding and -log10 of the combined chance of a run of symbols, as a struct."""
     encoding = F.coalesce(*[F.when(run.rlike(f"^(?:{p})$"), F.lit(i)) for i, (_, p, _, _) in enumerate(ENCODINGS)], F.lit(len(ENCODINGS)))
+    # Each step is a lambda's variable, so that it is worked out once a run and not once a symbol.
+    named = F.transform(F.array(F.struct(encoding.alias("encoding"), run.alias("run"))), _coded)
+    return F.transform(F.transform(named, _centred), _tested)[0]
+
+
+def _coded(x: Column) -> Column:
     alphabets = F.array(*[F.lit(a) for _, _, a, _ in ENCODINGS], F.lit(_LOW + _UP + _DIGITS + "+/-_"))
-    alphabet = F.element_at(alphabets, encoding + 1)
-    symbols = F.rtrim(F.translate(run, "=", " "))
-    folded = F.when(encoding.isin([i for i, e in enumerate(ENCODINGS) if e[0] in ("letters", "base36")]), F.lower(symbols)).otherwise(symbols)
+    alphabet = F.element_at(alphabets, x["encoding"] + 1)
+    symbols = F.rtrim(F.translate(x["run"], "=", " "))
+    one_case = x["encoding"].isin([i for i, e in enumerate(ENCODINGS) if e[0] in ("letters", "base36")])
+    folded = F.when(one_case, F.lower(symbols)).otherwise(symbols)
     codes = F.transform(F.filter(F.split(folded, ""), lambda c: c != ""), lambda c: F.position(c, alphabet) - 1)
-    start = F.array(F.struct(encoding.alias("encoding"), F.length(alphabet).cast("double").alias("a"), codes.alias("codes")))
-    return F.transform(start, _tested)[0]
+    return F.struct(x["encoding"].alias("encoding"), F.length(alphabet).cast("double").alias("a"), codes.alias("codes"))
+
+
+def _centred(x: Column) -> Column:
+    total = F.aggregate(x["codes"], F.lit(0.0), lambda s, c: s + c)
+    return F.struct(x["encoding"].alias("encoding"), x["a"].alias("a"), x["codes"].alias("codes"), (total / F.size(x["codes"])).alias("centre"))
 
 
 def _tested(x: Column) -> Column:
@@ -99,7 +110,7 @@ def _tested(x: Column) -> Column:
     mean = 2 * high * (n - high) / n + 1
     spread = (mean - 1) * (mean - 2) / F.greatest(n - 1, F.lit(1.0))
     run = F.when(spread > 0, _normal_tail((runs - mean) / F.sqrt(spread))).otherwise(F.lit(1e-6))
-    centre = F.aggregate(codes, F.lit(0.0), lambda s, c: s + c) / n
+    centre = x["centre"]
     variance = F.aggregate(codes, F.lit(0.0), lambda s, c: s + (c - centre) * (c - centre))
     lag = F.aggregate(pairs, F.lit(0.0), lambda s, r: s + (r["p"] - centre) * (r["q"] - centre))
     serial = F.when(variance > 0, _normal_tail(lag / variance * F.sqrt(n))).otherwise(F.lit(1e-6))
