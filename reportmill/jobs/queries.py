@@ -144,7 +144,7 @@ def p14_skipped_answers(spark, sf_dir):
 
 @query()
 def p13_clean_reports(spark, sf_dir):
-    return cleanup.clean_reports(V.reports(spark, sf_dir)).select("id", "tracker", "summary", "description")
+    return cleanup.clean_reports(V.reports(spark, sf_dir, whole=True)).select("id", "tracker", "summary", "description")
 
 
 @query()
@@ -196,7 +196,7 @@ def r5_likely_missing(spark, sf_dir):
 
 @query()
 def r6_ordinary_gap(spark, sf_dir):
-    return V.candidates(spark, sf_dir).select("id", rules.ordinary_gap(F.col("summary"), F.col("description"), F.col("tokens")).alias("gap"))
+    return V.candidates(spark, sf_dir, whole=True).select("id", rules.ordinary_gap(F.col("summary"), F.col("description"), F.col("tokens")).alias("gap"))
 
 
 @query(R + r"SELECT id, CASE WHEN regexp_matches(summary || chr(10) || description, '\b4\.\d+\.\d+') THEN true WHEN doc_id % 12 = 5 THEN false END AS build FROM reports WHERE description IS NOT NULL")
@@ -211,8 +211,8 @@ def r8_environments(spark, sf_dir):
     return r.select("id", F.array_join(rules.environments(F.col("summary"), F.col("description")), ",").alias("environments"))
 
 
-def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = V.reports(spark, sf_dir).filter("description is not null")
+def _lines(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    r = V.reports(spark, sf_dir, whole).filter("description is not null")
     return r.select("id", "doc_id", "description", rules.read_lines("description").alias("l"))
 
 
@@ -228,13 +228,13 @@ def r10_r11_images_and_empty(spark, sf_dir):
 
 @query()
 def r12_r15_strict_missing(spark, sf_dir):
-    return _lines(spark, sf_dir).select("id", F.array_join(rules.strict_missing(F.col("description"), F.col("l")), ",").alias("missing"))
+    return _lines(spark, sf_dir, whole=True).select("id", F.array_join(rules.strict_missing(F.col("description"), F.col("l")), ",").alias("missing"))
 
 
 @query()
 def completeness_by_tracker(spark, sf_dir):
     """The flagship: bugs, cleaned, held against the strict criteria, as rates per tracker."""
-    bugs = I.select_bugs(V.reports(spark, sf_dir), _types(spark, sf_dir))
+    bugs = I.select_bugs(V.reports(spark, sf_dir, whole=True), _types(spark, sf_dir))
     lines = cleanup.clean_reports(bugs).withColumn("l", rules.read_lines("description")).withColumn("missing", rules.strict_missing(F.col("description"), F.col("l")))
     rates = [F.round(F.avg(F.array_contains("missing", c).cast("int")), 6).alias(f"{c}_missing") for c in ("steps", "expected", "actual")]
     return lines.groupBy("tracker").agg(F.count("*").alias("bugs"), F.round(F.avg((F.size("missing") == 0).cast("int")), 6).alias("complete"), *rates)
@@ -262,7 +262,7 @@ def _wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled reports, cleaned, with the new model's chances and the labels side by side."""
     s = V.scored(spark, sf_dir).filter("model = 'new'")
     wide = s.groupBy("id").agg(*[F.max(F.when(F.col("check") == c, F.col("p"))).alias(f"p_{c}") for c in L.CHECKS], *[F.max(F.when(F.col("check") == c, F.col("gold"))).alias(f"gold_{c}") for c in L.CHECKS])
-    r = cleanup.clean_reports(V.reports(spark, sf_dir)).select("id", "tracker", "summary", "description", F.lit("Open").alias("state"), F.when(F.length("description") > 620, 2).otherwise(1).alias("windows"))
+    r = cleanup.clean_reports(V.reports(spark, sf_dir, whole=True)).select("id", "tracker", "summary", "description", F.lit("Open").alias("state"), F.when(F.length("description") > 620, 2).otherwise(1).alias("windows"))
     return r.join(wide, "id")
 
 
@@ -310,7 +310,7 @@ def r26_public_rows(spark, sf_dir):
 
 @query()
 def r27_teacher_batches(spark, sf_dir):
-    return L.batches(V.reports(spark, sf_dir))
+    return L.batches(V.reports(spark, sf_dir, whole=True))
 
 
 # Joins ---------------------------------------------------------------------------------------------------------------
@@ -555,11 +555,11 @@ def w5_stratified_pick(spark, sf_dir):
 
 @query()
 def w6_w7_sample(spark, sf_dir):
-    return S.sample(V.candidates(spark, sf_dir), (60, 30, 0), SEED).select("id", "tracker", "project", "part")
+    return S.sample(V.candidates(spark, sf_dir, whole=True), (60, 30, 0), SEED).select("id", "tracker", "project", "part")
 
 
 def _pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = V.candidates(spark, sf_dir)
+    c = V.candidates(spark, sf_dir, whole=True)
     return c.select("id", "tracker", rules.likely_missing(F.col("summary"), F.col("description")).alias("missing"))
 
 

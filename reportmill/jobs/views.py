@@ -38,7 +38,8 @@ def _u_sql(seed: str, key: str) -> str:
 u_sql = _u_sql
 
 
-def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+def reports(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """Reports over the whole text, or over its first 600 characters, as the SQL below reads them."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
     n = F.col("doc_id")
     first = F.substring(F.substring_index("text", "\n", 1), 1, 120)
@@ -54,7 +55,7 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat("lang", (n % 7).cast("string")).alias("project"),
         kind.alias("issuetype"),
         summary.alias("summary"),
-        F.when(n % 97 != 0, F.concat(F.substring("text", 1, 600), F.lit("\n\n"), fragment)).alias("description"),
+        F.when(n % 97 != 0, F.concat("text" if whole else F.substring("text", 1, 600), F.lit("\n\n"), fragment)).alias("description"),
         (n % 12 == 7).alias("wiki"),
     )
 
@@ -109,9 +110,9 @@ def _scored_sql(model: str, right: float) -> str:
 SCORED = f"scored AS ({_scored_sql('old', 0.30)} UNION ALL {_scored_sql('new', 0.38)})"
 
 
-def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+def candidates(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """Reports with a description: tokens (by blanks) and whether any of the words that mark rare parts is there."""
-    r = reports(spark, sf_dir).filter(F.col("description").isNotNull())
+    r = reports(spark, sf_dir, whole).filter(F.col("description").isNotNull())
     return r.select("id", "tracker", "project", "summary", "description", F.regexp_count("description", F.lit(r"\S+")).alias("tokens"), (F.col("doc_id") % 7 == 0).alias("rare"))
 
 
