@@ -2,8 +2,9 @@
 
 A pseudo-rotation (three rounds of random signs and a fast Hadamard transform) turns unit vectors, and the nearest signed
 axis is the hash. Each of several tables has its own rotation; a query looks into the buckets of the axes next nearest to
-it as well. Where vectors differ in length, one more coordinate makes all equally long, so that the largest inner product
-stays the nearest direction.
+it as well. Where vectors differ in length, one more coordinate makes all of a range of lengths equally long, so that the
+largest inner product stays the nearest direction. A sample of queries is compared with all rows, and the probes go on until
+``RECALL`` of the sample's neighbours are met; queries with fewer than k candidates are compared with all rows, in blocks.
 
 Buckets are dealt in blocks of bounded size, candidates and queries both, by the buckets' counts (a bounded table), so a
 hot bucket is many tasks' work; a task compares a block of queries with a block of candidates and gives each query's k best
@@ -24,6 +25,10 @@ from pyspark.sql import functions as F
 from .common import stored, table
 
 TABLES, PROBES = 8, 20
+#: Probes grow beyond PROBES until this share of the neighbours of so many queries is met.
+RECALL, SAMPLE = 0.95, 128
+#: Ranges of lengths: the longest of one is 2 ** (1 / RANGES) times its shortest.
+RANGES = 4
 CANDIDATE_BLOCK, QUERY_BLOCK = 8192, 2048
 
 
@@ -64,23 +69,63 @@ def usable(vectors: DataFrame, id_col: str, vector: str) -> DataFrame:
     return fine.filter(F.size("v") == F.lit(size)).mapInPandas(packed, "id long, query boolean, v binary, norm double")
 
 
+def _directions(x: np.ndarray, norm: np.ndarray, longest: float | None, as_query: bool) -> np.ndarray:
+    """Unit vectors to hash: candidates against the longest of their range of lengths, queries with 0 there."""
+    if longest is None:
+        return x / norm[:, None]
+    if as_query:
+        return np.pad(x / norm[:, None], ((0, 0), (0, 1)))
+    top = longest * np.exp2(-np.floor(np.log2(longest / norm) * RANGES) / RANGES)
+    return np.hstack([x / top[:, None], np.sqrt(np.maximum(0, 1 - np.square(norm / top)))[:, None]])
+
+
+def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    return np.lexsort((ids, -scores))[:k]
+
+
+def needed_probes(every: DataFrame, k: int, longest: float | None, n_tables: int, seed: int) -> int:
+    """Probes that meet RECALL of the neighbours of SAMPLE queries, which are found by comparing with all rows."""
+    few = every.filter("query").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toPandas()
+    if not len(few):
+        return 0
+    q, q_ids = _matrix(few["v"]), few["id"].to_numpy()
+
+    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            ids, scores = pdf["id"].to_numpy(), q @ _matrix(pdf["v"]).T
+            for i in range(len(q)):
+                other = np.flatnonzero(ids != q_ids[i])
+                best = other[_best(ids[other], scores[i, other], k)]
+                yield pd.DataFrame({"q": i, "id": ids[best], "v": pdf["v"].to_numpy()[best], "norm": pdf["norm"].to_numpy()[best], "score": scores[i, best]})
+
+    near = every.mapInPandas(nearest, "q int, id long, v binary, norm double, score double")
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))
+    pairs = near.withColumn("rank", rank).filter(F.col("rank") <= k).toPandas()
+    if not len(pairs):
+        return 0
+    x, y = _directions(_matrix(pairs["v"]), pairs["norm"].to_numpy(), longest, False), _directions(q, few["norm"].to_numpy(), longest, True)
+    probe = np.full(len(pairs), np.iinfo(np.int64).max)
+    for t in range(n_tables):
+        place = np.argsort(axes(y, t, seed), axis=1)
+        probe = np.minimum(probe, place[pairs["q"].to_numpy(), axes(x, t, seed)[:, 0]] + 1)
+    return int(np.sort(probe)[int(np.ceil(RECALL * len(probe))) - 1])
+
+
 def search(vectors: DataFrame, queries: Column, k: int, id_col: str = "vec_id", vector: str = "embedding", n_tables: int = TABLES, probes: int = PROBES, seed: int = 11) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row that the condition names, itself left out."""
     every = stored(usable(vectors.withColumn("query", F.coalesce(queries, F.lit(False))), id_col, vector), "vectors")
-    low, high = every.agg(F.min("norm"), F.max("norm")).first()
+    low, high, n_ids = every.agg(F.min("norm"), F.max("norm"), F.count_distinct("id")).first()
     longest = None if low is None or high <= low * (1 + 1e-6) else high
+    probes = max(probes, needed_probes(every, k, longest, n_tables, seed))
 
     def hashed(as_query: bool):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 if not len(pdf):
                     continue
-                x = _matrix(pdf["v"])
-                if longest is None or as_query:
-                    x = x / pdf["norm"].to_numpy()[:, None]
-                    x = x if longest is None else np.pad(x, ((0, 0), (0, 1)))
-                else:
-                    x = np.hstack([x / longest, np.sqrt(np.maximum(0, 1 - np.square(pdf["norm"].to_numpy() / longest)))[:, None]])
+                x = _directions(_matrix(pdf["v"]), pdf["norm"].to_numpy(), longest, as_query)
                 for t in range(n_tables):
                     near = axes(x, t, seed)[:, : probes if as_query else 1]
                     yield pd.DataFrame({"tab": t, "bucket": near.ravel(), "id": np.repeat(pdf["id"].to_numpy(), near.shape[1]), "v": np.repeat(pdf["v"].to_numpy(), near.shape[1])})
@@ -90,6 +135,23 @@ def search(vectors: DataFrame, queries: Column, k: int, id_col: str = "vec_id",
     schema = "tab int, bucket int, id long, v binary"
     candidates = stored(every.mapInPandas(hashed(False), schema), "candidates")
     probed = stored(every.filter("query").mapInPandas(hashed(True), schema), "probes")
+    found = stored(_top(_compared(candidates, probed, k), k), "found")
+    full = found.groupBy("query_id").count().filter(F.col("count") >= min(k, n_ids - 1)).select(F.col("query_id").alias("id"))
+    one = [F.lit(0).alias("tab"), F.lit(0).alias("bucket"), "id", "v"]
+    short = stored(every.filter("query").join(full, "id", "left_anti").select(*one), "short")
+    if short.isEmpty():
+        return found
+    return _top(found.drop("rank").unionByName(_compared(every.select(*one), short, k)), k)
+
+
+def _top(found: DataFrame, k: int) -> DataFrame:
+    once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return once.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _compared(candidates: DataFrame, probed: DataFrame, k: int) -> DataFrame:
+    """query_id, vec_id, score: each query's k best of each block of candidates in its buckets."""
     sizes = candidates.groupBy("tab", "bucket").agg(F.ceil(F.count("*") / CANDIDATE_BLOCK).alias("c"))
     q_sizes = probed.groupBy("tab", "bucket").agg(F.ceil(F.count("*") / QUERY_BLOCK).alias("q"))
     blocks = F.broadcast(sizes.join(q_sizes, ["tab", "bucket"]))  # a row a bucket: tables times twice the dimensions at most
@@ -111,14 +173,11 @@ def search(vectors: DataFrame, queries: Column, k: int, id_col: str = "vec_id",
                 edge = np.partition(r, len(r) - k)[len(r) - k]
                 other = other[r >= edge - 1e-9 * (1 + abs(edge))]
             score = (x[other] * y[i]).sum(1)
-            best = np.lexsort((ids[other], -score))[:k]
+            best = _best(ids[other], score, k)
             out.append(pd.DataFrame({"query_id": query, "vec_id": ids[other][best], "score": score[best]}))
         return pd.concat(out)
 
-    found = left.select(*keys, "id", "v").groupBy(*keys).cogroup(right.select(*keys, "id", "v").groupBy(*keys)).applyInPandas(compared, "query_id long, vec_id long, score double")
-    once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return once.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return left.select(*keys, "id", "v").groupBy(*keys).cogroup(right.select(*keys, "id", "v").groupBy(*keys)).applyInPandas(compared, "query_id long, vec_id long, score double")
 
 
 def op4_cross_polytope_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
