@@ -579,6 +579,12 @@ def w10_two_thirds(spark, sf_dir):
     return S.split_two_thirds(S.bernoulli(V.candidates(spark, sf_dir), 0.2, "s"), SEED).select("id", "part")
 
 
+@query()
+def w10_two_thirds_whole(spark, sf_dir):
+    """All candidates are split; the query above has SQL of a fifth of them."""
+    return S.split_two_thirds(V.candidates(spark, sf_dir, whole=True), SEED).select("id", "part")
+
+
 @query(CAND + f"SELECT id, row_number() OVER (PARTITION BY tokens <= 767 ORDER BY {_u(SEED)}, id) <= CASE WHEN tokens <= 767 THEN 90 ELSE 10 END AS core FROM candidates")
 def w11_core_flags(spark, sf_dir):
     return S.core_flags(V.candidates(spark, sf_dir), 90, 10, SEED).select("id", "core")
