@@ -559,8 +559,11 @@ def w6_w7_sample(spark, sf_dir):
 
 
 def _pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates that fit, without a label and outside the projects held for eval."""
     c = V.candidates(spark, sf_dir, whole=True)
-    return c.select("id", "tracker", rules.likely_missing(F.col("summary"), F.col("description")).alias("missing"))
+    used = V.reports(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id"), "doc_id", "left_semi")
+    free = S.without_used(c.filter(F.col("tokens") <= S.ROOM), used, S.eval_projects(c, 0.3, SEED))
+    return free.select("id", "tracker", rules.likely_missing(F.col("summary"), F.col("description")).alias("missing"))
 
 
 @query()
