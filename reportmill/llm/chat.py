@@ -10,7 +10,7 @@ Template, a turn: ``<|turn|>role<|text|>text<|end|>`` and a line feed. Inside ro
 backslashes there one more; taking one away undoes that. The loss mask is an array of code-point ranges, those of the
 assistant's texts.
 
-Null roles and texts are empty. A parent that is not there makes a root. Repeated rows of conversations are turns of
+Null roles and texts are empty. Messages without a tree are one tree of their own. A parent that is not there makes a root. Repeated rows of conversations are turns of
 their own; ties within a turn are ordered by role and text. Messages in a circle belong to no path. Empty tables give none.
 """
 
@@ -34,9 +34,14 @@ def unescaped(text: Column) -> Column:
     return F.regexp_replace(text, rf"([<\[])\\(\\*){_TAILS}", "$1$2")
 
 
+def _joinable(tree: str) -> Column:
+    """The tree as an array, which is not null where the tree is, so that joins keep messages without one."""
+    return F.array(tree)
+
+
 def paths(messages: DataFrame) -> DataFrame:
     """tree, leaf, node, distance (from the leaf) for messages(tree, node, parent), nodes unique in their tree."""
-    nodes = checkpointed(messages.select("tree", "node", "parent"))
+    nodes = checkpointed(messages.select(_joinable("tree").alias("tree"), "node", "parent"))
     known = nodes.select("tree", F.col("node").alias("parent"))
     first = checkpointed(nodes.filter(F.col("parent").isNotNull()).join(known, ["tree", "parent"], "left_semi").select("tree", "node", F.col("parent").alias("up")))
     jumps, limit = [first], nodes.count()
@@ -48,7 +53,7 @@ def paths(messages: DataFrame) -> DataFrame:
     for k in reversed(range(len(jumps) - 1)):
         further = out.join(jumps[k], ["tree", "node"]).select("tree", "leaf", F.col("up").alias("node"), (F.col("distance") + (1 << k)).alias("distance"))
         out = checkpointed(out.unionByName(further))
-    return out
+    return out.withColumn("tree", F.col("tree")[0])
 
 
 def format_turns(turns: Column) -> tuple[Column, Column]:
@@ -80,7 +85,8 @@ def chosen_paths(messages: DataFrame, best: int | None = None) -> DataFrame:
     messages(tree, node, parent, role, text, score); a path is one row in the end, so it has to fit in one.
     """
     own = messages.select("tree", "node", "parent", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("score", F.lit(0.0)).alias("score"))
-    on_path = paths(own).join(own.drop("parent"), ["tree", "node"])
+    of_tree = lambda df: df.withColumn("tree", _joinable("tree"))
+    on_path = of_tree(paths(own)).join(of_tree(own.drop("parent")), ["tree", "node"]).withColumn("tree", F.col("tree")[0])
     by_leaf = on_path.groupBy("tree", "leaf").agg(F.sum("score").alias("score"), F.sort_array(F.collect_list(F.struct((-F.col("distance")).alias("place"), "role", "text"))).alias("turns"))
     whole, mask = format_turns(F.col("turns"))
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), "leaf"))

@@ -321,7 +321,22 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
 
 
 def deduplicated(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each group stays: that of the smallest doc_id, once. Rows without an id or words stay."""
+    """One document of each group stays: that of the smallest doc_id, once. Rows without an id or words stay.
+
+    Where one doc_id has several texts, each is a document of its own; of near copies with one doc_id one stays.
+    """
+    key, row = F.col("doc_id").cast("long"), F.xxhash64("text")
+    texts = docs.filter(key.isNotNull()).select(key.alias("_id"), row.alias("_row")).distinct()
+    if texts.groupBy("_id").count().filter("count > 1").isEmpty():
+        return _deduplicated(docs, size, percent)
+    own = stored(texts.orderBy("_id", "_row").withColumn("_n", F.monotonically_increasing_id()), "texts-of-ids")
+    numbered = docs.join(own, (key == F.col("_id")) & (row == F.col("_row")), "left").withColumnsRenamed({"doc_id": "_doc_id", "_n": "doc_id"}).drop("_id", "_row")
+    left = _deduplicated(stored(numbered, "numbered"), size, percent).drop("doc_id").withColumnRenamed("_doc_id", "doc_id")
+    return left.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def _deduplicated(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The same for doc_ids of one text each."""
     found = stored(near_duplicates(docs, size, percent), "near-duplicates")
     key = F.col("doc_id").cast("long")
     left = docs.join(found.filter("doc_id is not null and not kept").select(F.col("doc_id").alias("_gone")).distinct(), key == F.col("_gone"), "left_anti")
