@@ -19,17 +19,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import stored, table
-from .tokens import encoder
+from .tokens import as_binary, encoder, with_end
 
 WORD_BPE = "word_bpe_49k.json"
 LENGTH = 4096
 QUANTUM = 64
 MAX_QUEUES = 256
+#: Rows (a task and a source each) up to which the queues' offsets are broadcast; a larger table is joined by a shuffle.
+BROADCAST_ROWS = 500_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, queue int"
 
@@ -90,20 +93,34 @@ class Rounds:
         return doc[k], a[k] - begin[doc[k]] + lo - at[k], hi - lo, lo
 
 
+_KEPT = "part int, source string, doc_id long, begin long, n long, width int, ids binary"
+
+
 def _tokenized(file: str, end_id: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc, end = encoder(file), np.array([end_id])
-        kind = "<u2" if max(enc.vocab_size, end_id) <= 1 << 16 else "<u4"
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(file)
+        kind = np.dtype("<u2" if max(enc.vocab_size, end_id + 1) <= 1 << 16 else "<u4")
         part, before = TaskContext.get().partitionId(), defaultdict(int)
-        for pdf in batches:
-            for i in range(0, len(pdf), 256):
-                few = pdf.iloc[i : i + 256]
-                ids = [np.append(np.frombuffer(x, "<u4"), end).astype(kind).tobytes() for x in enc.encode_many(few["text"].tolist())]
-                n, begin = [len(x) // int(kind[2]) for x in ids], []
-                for source, k in zip(few["source"], n, strict=True):
+        for batch in batches:
+            docs, sources = batch.column("doc_id"), batch.column("source").to_pylist()
+            for a, b, ids, lengths in enc.chunks(batch.column("text")):
+                ids, lengths = with_end(ids, lengths, end_id)
+                begin = []
+                for source, n in zip(sources[a:b], lengths.tolist(), strict=True):
                     begin.append(before[source])
-                    before[source] += k
-                yield pd.DataFrame({"part": part, "source": few["source"].tolist(), "doc_id": few["doc_id"].tolist(), "begin": begin, "n": n, "width": int(kind[2]), "ids": ids}).astype({"doc_id": "Int64"})
+                    before[source] += n
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.full(b - a, part, np.int32)),
+                        pa.array(sources[a:b], pa.string()),
+                        docs.slice(a, b - a),
+                        pa.array(begin, pa.int64()),
+                        pa.array(lengths),
+                        pa.array(np.full(b - a, kind.itemsize, np.int32)),
+                        as_binary(ids.astype(kind), lengths),
+                    ],
+                    names=["part", "source", "doc_id", "begin", "n", "width", "ids"],
+                )
 
     return run
 
@@ -111,10 +128,11 @@ def _tokenized(file: str, end_id: int):
 def pack(docs: DataFrame, tokenizer: str = WORD_BPE, end_id: int = 2, length: int = LENGTH, quantum: int = QUANTUM, max_queues: int = MAX_QUEUES, with_ids: bool = False) -> DataFrame:
     """Pieces of documents(doc_id, text, source) with their sequence and offset; their ids too if asked.
 
-    Texts are tokenized where they are read; the ids wait in the shared folder for the totals and are not shuffled.
+    Texts are tokenized where they are read; the ids wait in the shared folder for the totals. They are not shuffled while
+    the offsets, one row a task and source, are few enough to be broadcast.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("source").cast("string").alias("source"))
-    kept = stored(rows.mapInPandas(_tokenized(tokenizer, end_id), "part int, source string, doc_id long, begin long, n long, width int, ids binary"), "packing")
+    kept = stored(rows.mapInArrow(_tokenized(tokenizer, end_id), _KEPT), "packing")
     by_part = stored(kept.groupBy("part", "source").agg(F.sum("n").alias("n")), "packing-totals")
     by_source = by_part.groupBy("source").agg(F.sum("n").alias("n"))
     top = by_source.orderBy(F.desc("n"), F.asc_nulls_last("source")).limit(max_queues - 1).collect()
@@ -125,7 +143,10 @@ def pack(docs: DataFrame, tokenizer: str = WORD_BPE, end_id: int = 2, length: in
     queued = by_part.join(F.broadcast(own), F.col("source").eqNullSafe(F.col("own")), "left").withColumn("queue", F.coalesce("queue", F.lit(len(top)))).drop("own")
     ahead = Window.partitionBy("queue").orderBy("part", F.asc_nulls_last("source"))
     offsets = queued.select("part", F.col("source").alias("of"), "queue", (F.sum("n").over(ahead) - F.col("n")).alias("ahead"))
-    placed = kept.join(offsets.withColumnRenamed("part", "in"), (F.col("part") == F.col("in")) & F.col("source").eqNullSafe(F.col("of")))
+    offsets = stored(offsets.withColumnRenamed("part", "in"), "packing-offsets")
+    if offsets.count() <= BROADCAST_ROWS:
+        offsets = F.broadcast(offsets)
+    placed = kept.join(offsets, (F.col("part") == F.col("in")) & F.col("source").eqNullSafe(F.col("of")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

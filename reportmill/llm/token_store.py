@@ -19,12 +19,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import scratch_path, stored, table
-from .tokens import encoder
+from .tokens import encoder, with_end
 
 BYTE_BPE = "byte_bpe_50k.json"
 SCALE_BITS = 20
@@ -130,37 +131,42 @@ def decode_block(data: bytes, table: Frequencies, start: int = 0, stop: int | No
 
 
 _RAW = "part int, seq int, part_token long, n_tokens long, doc_ids array<long>, doc_lens array<long>, ids binary"
+_LONGS = pa.list_(pa.int64())
+_RAW_ARROW = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("part_token", pa.int64()), ("n_tokens", pa.int64()), ("doc_ids", _LONGS), ("doc_lens", _LONGS), ("ids", pa.binary())])
 
 
 def _tokenized(file: str, end_id: int, block_tokens: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc, end = encoder(file), np.uint32(end_id).tobytes()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(file)
         part, seq, before = TaskContext.get().partitionId(), 0, 0
-        ids: list[bytes] = []
-        docs: list[int | None] = []
-        lens: list[int] = []
+        waiting: list[tuple[list[int | None], np.ndarray, np.ndarray]] = []
 
-        def block() -> pd.DataFrame:
+        def block() -> pa.RecordBatch:
             nonlocal seq, before
-            row = (part, seq, before, sum(lens), list(docs), list(lens), b"".join(ids))
-            seq, before = seq + 1, before + row[3]
-            for x in (ids, docs, lens):
-                x.clear()
-            return pd.DataFrame([row], columns=["part", "seq", "part_token", "n_tokens", "doc_ids", "doc_lens", "ids"])
+            docs = [d for own, _, _ in waiting for d in own]
+            lengths, ids = (np.concatenate([w[k] for w in waiting]) for k in (1, 2))
+            row = {"part": [part], "seq": [seq], "part_token": [before], "n_tokens": [len(ids)], "doc_ids": [docs], "doc_lens": [lengths], "ids": [ids.astype("<u4").tobytes()]}
+            seq, before = seq + 1, before + len(ids)
+            waiting.clear()
+            return pa.RecordBatch.from_pydict(row, schema=_RAW_ARROW)
 
         n = 0
-        for pdf in batches:
-            for i in range(0, len(pdf), 256):
-                few = pdf.iloc[i : i + 256]
-                for doc, got in zip(few["doc_id"], enc.encode_many(few["text"].tolist()), strict=True):
-                    ids.append(got + end)
-                    docs.append(None if pd.isna(doc) else int(doc))
-                    lens.append(len(got) // 4 + 1)
-                    n += lens[-1]
+        for batch in batches:
+            docs = batch.column("doc_id").to_pylist()
+            for a, b, ids, lengths in enc.chunks(batch.column("text")):
+                ids, lengths = with_end(ids, lengths, end_id)
+                ends, done = np.cumsum(lengths), 0
+                while done < b - a:
+                    upto = int(np.searchsorted(ends, block_tokens - n + (ends[done - 1] if done else 0))) + 1
+                    upto = min(upto, b - a)
+                    first = int(ends[done - 1]) if done else 0
+                    waiting.append((docs[a + done : a + upto], lengths[done:upto], ids[first : ends[upto - 1]]))
+                    n += int(ends[upto - 1]) - first
+                    done = upto
                     if n >= block_tokens:
                         yield block()
                         n = 0
-        if docs:
+        if waiting:
             yield block()
 
     return run
@@ -187,7 +193,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = BYTE_BPE, end_id:
     spark = docs.sparkSession
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(*order).sortWithinPartitions(*order, "text")
-    raw = stored(dealt.mapInPandas(_tokenized(tokenizer, end_id, block_tokens), _RAW), "ids")
+    raw = stored(dealt.mapInArrow(_tokenized(tokenizer, end_id, block_tokens), _RAW), "ids")
     counts = raw.select("ids").mapInPandas(_counted, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     freq = scaled({r["token"]: r["n"] for r in counts.collect()})
     spark.createDataFrame([(k, v) for k, v in freq.items()], "token int, freq int").coalesce(1).write.parquet(f"{path}/freq")

@@ -1,47 +1,93 @@
 """Ids of public tokenizers for whole texts, at the cost of their distinct words.
 
 A public BPE tokenizer cuts a text into pre-tokens before it merges, and merges never cross them. A text is cut here at
-places that are such borders for certain, and the library encodes each distinct part once per worker. Texts in which a
-border is in doubt (control characters that Python and the library class differently, strings of special tokens) are
-encoded whole.
+places that are such borders for certain, and the library encodes each distinct part once while a worker remembers it.
+Texts in which a border is in doubt (control characters that Python and the library class differently, strings of special
+tokens) are encoded whole. Words are made distinct, looked up and laid side by side for many texts at once, as arrays.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from array import array
+from collections.abc import Callable, Iterator
+from itertools import chain
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Letters of Latin-1, for which Python and the library agree.
 _LETTERS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
 #: Parts that end at a sure border: a run of letters before an ASCII non-letter, what is left up to a blank, blanks.
 _PARTS = re.compile(rf" ?[{_LETTERS}]++(?=[\x00-\x7f]|\Z)| ?\S+|\s+(?!\S)|\s+")
 _DOUBT = ("\x1c", "\x1d", "\x1e", "\x1f", "\x85", "<|")
-#: Distinct strings that a worker remembers for long, for each of two levels; as many again may wait for a second look.
-REMEMBERED = 100_000
+#: Strings that a worker remembers at most, for each of two levels; beyond it those used least are forgotten.
+REMEMBERED = 600_000
+#: Bytes of text that are encoded at once, about.
+CHUNK_BYTES = 4 << 20
 
 
-class _Memory:
-    """Values by key. A key is remembered for long from its second use on; others are forgotten when they are too many."""
+def joined_ranges(pool: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """pool[start : start + length] of every range, one after the other."""
+    total = int(lengths.sum())
+    shift = starts - (np.cumsum(lengths) - lengths)
+    return pool[np.arange(total) + np.repeat(shift, lengths)]
 
-    def __init__(self):
-        self.long: dict[str, bytes] = {}
-        self.short: dict[str, bytes] = {}
 
-    def again(self, key: str) -> bytes | None:
-        value = self.short.pop(key, None)
-        if value is not None:
-            (self.long if len(self.long) < REMEMBERED else self.short)[key] = value
-        return value
+class _Ragged:
+    """Arrays of ids side by side in one pool."""
 
-    def add(self, keys: list[str], values: list[bytes]) -> None:
-        if len(self.short) + len(keys) > REMEMBERED:
-            self.short = {}
-        self.short.update(zip(keys, values, strict=True))
+    def __init__(self, pool: np.ndarray, lengths: np.ndarray):
+        self.pool, self.lengths = pool, lengths
+        self.starts = np.cumsum(lengths) - lengths
+
+    def take(self, at: np.ndarray, groups: np.ndarray) -> _Ragged:
+        """The arrays at these places, the first groups[0] of them joined to one, and so on."""
+        lengths = self.lengths[at]
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        cuts = np.concatenate([[0], np.cumsum(groups)])
+        return _Ragged(joined_ranges(self.pool, self.starts[at], lengths), np.diff(ends[cuts]))
+
+
+class _Memory:
+    """Ids by string. Places that ``places`` gives hold until ``trim``."""
+
+    def __init__(self, make: Callable[[list[str]], _Ragged]):
+        self.make = make
+        self.keys = pa.array([], pa.string())
+        self.uses = np.zeros(0, np.int32)
+        self.ids = _Ragged(np.zeros(0, np.uint32), np.zeros(0, np.int64))
+
+    def places(self, keys: pa.Array) -> np.ndarray:
+        """Where the ids of each of these distinct strings are; unknown ones are made."""
+        at = pc.index_in(keys, value_set=self.keys).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.uses[at[at >= 0]] += 1
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            at[missing] = len(self.keys) + np.arange(len(missing))
+            new = keys.take(pa.array(missing))
+            made = self.make(new.to_pylist())
+            self.keys = pa.concat_arrays([self.keys, new])
+            self.uses = np.concatenate([self.uses, np.zeros(len(missing), np.int32)])
+            self.ids = _Ragged(np.concatenate([self.ids.pool, made.pool]), np.concatenate([self.ids.lengths, made.lengths]))
+        return at
+
+    def trim(self) -> None:
+        if len(self.keys) > REMEMBERED:
+            keep = np.sort(np.argsort(-self.uses, kind="stable")[: REMEMBERED // 2])
+            self.keys, self.uses = self.keys.take(pa.array(keep)), self.uses[keep] // 2
+            self.ids = self.ids.take(keep, np.ones(len(keep), np.int64))
+
+
+def _distinct(strings: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The distinct strings, and each string's place among them."""
+    coded = strings.dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy()
 
 
 class Encoder:
-    """encode_many(texts) gives each text's ids as little-endian unsigned 32-bit integers."""
+    """The ids of texts by the tokenizers library."""
 
     def __init__(self, file: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -52,65 +98,97 @@ class Encoder:
         self.tok.no_truncation()
         self.tok.no_padding()
         self.vocab_size = self.tok.get_vocab_size()
-        self.special = tuple(t.content for t in self.tok.get_added_tokens_decoder().values())
+        special = (t.content for t in self.tok.get_added_tokens_decoder().values())
+        self.doubt = (*_DOUBT, *(s for s in special if "<|" not in s))
         #: Does a blank before a word belong to its pre-token?
         self.blanks = "Removed" not in str(self.tok.pre_tokenizer)
-        self.parts, self.words = _Memory(), _Memory()
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _parts(self, lists: list[list[str]]) -> list[bytes]:
-        """The ids of each list of parts; the library gets each unknown part once."""
-        get, again = self.parts.long.get, self.parts.again
-        found = [list(map(get, parts)) for parts in lists]
-        new: dict[str, bytes] = {}
-        gaps = []
-        for parts, ids in zip(lists, found, strict=True):
-            if None in ids:
-                for i, x in enumerate(ids):
-                    if x is None and (own := again(parts[i])) is not None:
-                        ids[i] = own
-                    elif x is None:
-                        new[parts[i]] = b""
-                        gaps.append((ids, i, parts[i]))
-        if new:
-            keys = list(new)
-            new = dict(zip(keys, self._library(keys), strict=True))
-            self.parts.add(keys, list(new.values()))
-            for ids, i, part in gaps:
-                ids[i] = new[part]
-        return list(map(b"".join, found))
+        self.parts, self.words = _Memory(self._library), _Memory(self._word_parts)
 
-    def encode_many(self, texts: list[str | None]) -> list[bytes]:
+    def _library(self, texts: list[str]) -> _Ragged:
+        ids = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        return _Ragged(np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum())), lengths)
+
+    def _from_parts(self, lists: list[list[str]]) -> _Ragged:
+        words, at = _distinct(pa.array(list(chain.from_iterable(lists)), pa.string()))
+        return self._take(self.parts, words, at, np.fromiter(map(len, lists), np.int64, len(lists)))
+
+    def _word_parts(self, words: list[str]) -> _Ragged:
+        return self._from_parts([_PARTS.findall(" " + w if self.blanks else w) for w in words])
+
+    @staticmethod
+    def _take(memory: _Memory, keys: pa.Array, at: np.ndarray, groups: np.ndarray) -> _Ragged:
+        places = memory.places(keys)
+        return memory.ids.take(places[at], groups)
+
+    def _chunk(self, texts: pa.Array) -> _Ragged:
         """Words are what blanks part; a text with blanks side by side or at an end is cut into parts from its start."""
-        doubt = [bool(t) and any(s in t for s in (*_DOUBT, *self.special)) for t in texts]
-        get, again = self.words.long.get, self.words.again
-        firsts, found, gaps, new = [], [], [], {}
-        for text, unsure in zip(texts, doubt, strict=True):
-            rest = [] if unsure or not text else text.split(" ") if self.blanks else text.split()
-            first = _PARTS.findall(rest.pop(0)) if self.blanks and rest else []
-            ids = list(map(get, rest))
-            own = [(ids, i, rest[i]) for i, x in enumerate(ids) if x is None]
-            if self.blanks and rest and (not first or first[-1].isspace() or any(not w or w[0].isspace() or w[-1].isspace() for _, _, w in own)):
-                first, ids, own = _PARTS.findall(text), [], []
-            for gap in own:
-                if (known := again(gap[2])) is not None:
-                    ids[gap[1]] = known
-                else:
-                    gaps.append(gap)
-                    new[gap[2]] = b""
-            firsts.append(first)
-            found.append(ids)
-        keys = list(new)
-        made = self._parts([_PARTS.findall(" " + w if self.blanks else w) for w in keys])
-        new = dict(zip(keys, made, strict=True))
-        self.words.add(keys, made)
-        for ids, i, word in gaps:
-            ids[i] = new[word]
-        starts = self._parts(firsts)
-        whole = iter(self._library([t for t, unsure in zip(texts, doubt, strict=True) if unsure]))
-        return [next(whole) if unsure else first + b"".join(ids) for unsure, first, ids in zip(doubt, starts, found, strict=True)]
+        unsure = np.zeros(len(texts), bool)
+        for s in self.doubt:
+            unsure |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
+        cut = pc.split_pattern(texts, " ") if self.blanks else pc.ascii_split_whitespace(texts)
+        n = cut.value_lengths().to_numpy().astype(np.int64)
+        first_at = np.cumsum(n) - n
+        flat, whole = cut.flatten(), unsure.copy()
+        words, at = _distinct(flat)
+        is_rest = np.ones(len(flat), bool)
+        heads: list[list[str]] = [[] for _ in range(len(texts))]
+        if self.blanks:
+            is_rest[first_at[n > 0]] = False
+            odd = np.fromiter((not w or w[0].isspace() or w[-1].isspace() for w in words.to_pylist()), np.int64, len(words))
+            several = np.add.reduceat(odd[at], first_at) if len(flat) else np.zeros(len(texts), np.int64)
+            whole |= (n > 1) & (several > 0)
+        is_rest &= ~np.repeat(whole, n)
+        if self.blanks:
+            begins = flat.take(pa.array(np.where(n > 0, first_at, 0))).to_pylist() if len(flat) else []
+            own = np.flatnonzero(whole & ~unsure)
+            entire = dict(zip(own.tolist(), texts.take(pa.array(own)).to_pylist(), strict=True))
+            heads = [[] if u else _PARTS.findall(entire.get(i, b)) for i, (b, u) in enumerate(zip(begins, unsure.tolist(), strict=True))]
+        used = np.zeros(len(words), bool)
+        used[at[is_rest]] = True
+        among = (np.cumsum(used) - 1)[at[is_rest]]
+        rest = self._take(self.words, words.filter(pa.array(used)), among, np.where(whole, 0, n - self.blanks))
+        head = self._from_parts(heads)
+        asked = self._library(texts.filter(pa.array(unsure)).to_pylist())
+        pool = np.concatenate([head.pool, rest.pool, asked.pool])
+        lengths = np.concatenate([head.lengths, rest.lengths, asked.lengths])
+        order = np.stack([np.arange(len(texts)), len(texts) + np.arange(len(texts))], 1)
+        order[unsure, 1] = 2 * len(texts) + np.arange(int(unsure.sum()))
+        self.words.trim()
+        self.parts.trim()
+        return _Ragged(pool, lengths).take(order.ravel(), np.full(len(texts), 2))
+
+    def chunks(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(first, last, ids, lengths) of the texts first to last, a bounded number of bytes at once; null is empty."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        done = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64)) // CHUNK_BYTES
+        cuts = [0, *(np.flatnonzero(np.diff(done)) + 1).tolist(), len(texts)] if len(texts) else [0]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            got = self._chunk(texts.slice(a, b - a))
+            yield a, b, got.pool, got.lengths
+
+    def encode_many(self, texts: list[str | None]) -> list[bytes]:
+        """Each text's ids as little-endian unsigned 32-bit integers."""
+        out = []
+        for _, _, ids, lengths in self.chunks(pa.array(texts, pa.string())):
+            raw, ends = ids.astype("<u4").tobytes(), np.cumsum(lengths) * 4
+            out += [raw[e - 4 * n : e] for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
+        return out
+
+
+def with_end(ids: np.ndarray, lengths: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same arrays with one more id at the end of each."""
+    out = np.full(len(ids) + len(lengths), end_id, np.uint32)
+    own = np.ones(len(out), bool)
+    own[np.cumsum(lengths + 1) - 1] = False
+    out[own] = ids
+    return out, lengths + 1
+
+
+def as_binary(pool: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """Arrays that lie side by side as one binary value each."""
+    ends = np.concatenate([[0], np.cumsum(lengths)]) * pool.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(pool.tobytes())])
 
 
 _encoders: dict[str, Encoder] = {}
