@@ -131,6 +131,8 @@ def decode_block(data: bytes, table: Frequencies, start: int = 0, stop: int | No
 
 
 _RAW = "part int, seq int, part_token long, n_tokens long, doc_ids array<long>, doc_lens array<long>, ids binary"
+#: The number of a task's last row, which holds how often it has written each id.
+COUNTS = -1
 _LONGS = pa.list_(pa.int64())
 _RAW_ARROW = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("part_token", pa.int64()), ("n_tokens", pa.int64()), ("doc_ids", _LONGS), ("doc_lens", _LONGS), ("ids", pa.binary())])
 
@@ -150,11 +152,14 @@ def _tokenized(file: str, end_id: int, block_tokens: int):
             waiting.clear()
             return pa.RecordBatch.from_pydict(row, schema=_RAW_ARROW)
 
-        n = 0
+        n, seen = 0, np.zeros(enc.vocab_size + 1, np.int64)
         for batch in batches:
             docs = batch.column("doc_id").to_pylist()
             for a, b, ids, lengths in enc.chunks(batch.column("text")):
                 ids, lengths = with_end(ids, lengths, end_id)
+                new = np.bincount(ids)
+                seen = np.pad(seen, (0, max(0, len(new) - len(seen))))
+                seen[: len(new)] += new
                 ends, done = np.cumsum(lengths), 0
                 while done < b - a:
                     upto = int(np.searchsorted(ends, block_tokens - n + (ends[done - 1] if done else 0))) + 1
@@ -168,6 +173,8 @@ def _tokenized(file: str, end_id: int, block_tokens: int):
                         n = 0
         if waiting:
             yield block()
+        counts = {"part": [part], "seq": [COUNTS], "part_token": [before], "n_tokens": [0], "doc_ids": [None], "doc_lens": [None], "ids": [seen.astype("<i8").tobytes()]}
+        yield pa.RecordBatch.from_pydict(counts, schema=_RAW_ARROW)
 
     return run
 
@@ -176,7 +183,7 @@ def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     total = np.zeros(0, np.int64)
     for pdf in batches:
         for ids in pdf["ids"]:
-            new = np.bincount(np.frombuffer(ids, "<u4"))
+            new = np.frombuffer(ids, "<i8")
             if len(new) > len(total):
                 total = np.pad(total, (0, len(new) - len(total)))
             total[: len(new)] += new
@@ -193,8 +200,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = BYTE_BPE, end_id:
     spark = docs.sparkSession
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(*order).sortWithinPartitions(*order, "text")
-    raw = stored(dealt.mapInArrow(_tokenized(tokenizer, end_id, block_tokens), _RAW), "ids")
-    counts = raw.select("ids").mapInPandas(_counted, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    every = stored(dealt.mapInArrow(_tokenized(tokenizer, end_id, block_tokens), _RAW), "ids")
+    raw = every.filter(F.col("seq") != COUNTS)
+    counts = every.filter(F.col("seq") == COUNTS).select("ids").mapInPandas(_counted, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     freq = scaled({r["token"]: r["n"] for r in counts.collect()})
     spark.createDataFrame([(k, v) for k, v in freq.items()], "token int, freq int").coalesce(1).write.parquet(f"{path}/freq")
     totals = raw.groupBy("part").agg(F.sum("n_tokens").alias("n"))

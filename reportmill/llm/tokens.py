@@ -51,12 +51,13 @@ class _Ragged:
 
 
 class _Memory:
-    """Ids by string. Places that ``places`` gives hold until ``trim``."""
+    """Ids by string, and whether it is empty or has white space at an end. Places hold until ``trim``."""
 
     def __init__(self, make: Callable[[list[str]], _Ragged]):
         self.make = make
         self.keys = pa.array([], pa.string())
         self.uses = np.zeros(0, np.int32)
+        self.odd = np.zeros(0, bool)
         self.ids = _Ragged(np.zeros(0, np.uint32), np.zeros(0, np.int64))
 
     def places(self, keys: pa.Array) -> np.ndarray:
@@ -67,7 +68,10 @@ class _Memory:
         if len(missing):
             at[missing] = len(self.keys) + np.arange(len(missing))
             new = keys.take(pa.array(missing))
-            made = self.make(new.to_pylist())
+            strings = new.to_pylist()
+            made = self.make(strings)
+            odd = np.fromiter((not w or w[0].isspace() or w[-1].isspace() for w in strings), bool, len(strings))
+            self.odd = np.concatenate([self.odd, odd])
             self.keys = pa.concat_arrays([self.keys, new])
             self.uses = np.concatenate([self.uses, np.zeros(len(missing), np.int32)])
             self.ids = _Ragged(np.concatenate([self.ids.pool, made.pool]), np.concatenate([self.ids.lengths, made.lengths]))
@@ -76,7 +80,7 @@ class _Memory:
     def trim(self) -> None:
         if len(self.keys) > REMEMBERED:
             keep = np.sort(np.argsort(-self.uses, kind="stable")[: REMEMBERED // 2])
-            self.keys, self.uses = self.keys.take(pa.array(keep)), self.uses[keep] // 2
+            self.keys, self.uses, self.odd = self.keys.take(pa.array(keep)), self.uses[keep] // 2, self.odd[keep]
             self.ids = self.ids.take(keep, np.ones(len(keep), np.int64))
 
 
@@ -111,16 +115,12 @@ class Encoder:
 
     def _from_parts(self, lists: list[list[str]]) -> _Ragged:
         words, at = _distinct(pa.array(list(chain.from_iterable(lists)), pa.string()))
-        return self._take(self.parts, words, at, np.fromiter(map(len, lists), np.int64, len(lists)))
+        places = self.parts.places(words)
+        return self.parts.ids.take(places[at], np.fromiter(map(len, lists), np.int64, len(lists)))
 
     def _word_parts(self, words: list[str]) -> _Ragged:
         return self._from_parts([_PARTS.findall(" " + w if self.blanks else w) for w in words])
 
-    @staticmethod
-    def _take(memory: _Memory, keys: pa.Array, at: np.ndarray, groups: np.ndarray) -> _Ragged:
-        places = memory.places(keys)
-        return memory.ids.take(places[at], groups)
-
     def _chunk(self, texts: pa.Array) -> _Ragged:
         """Words are what blanks part; a text with blanks side by side or at an end is cut into parts from its start."""
         unsure = np.zeros(len(texts), bool)
@@ -129,25 +129,25 @@ class Encoder:
         cut = pc.split_pattern(texts, " ") if self.blanks else pc.ascii_split_whitespace(texts)
         n = cut.value_lengths().to_numpy().astype(np.int64)
         first_at = np.cumsum(n) - n
-        flat, whole = cut.flatten(), unsure.copy()
+        flat, is_rest = cut.flatten(), np.repeat(~unsure, n)
+        if self.blanks:
+            is_rest[first_at] = False
         words, at = _distinct(flat)
-        is_rest = np.ones(len(flat), bool)
+        used = np.zeros(len(words), bool)
+        used[at[is_rest]] = True
+        at = self.words.places(words.filter(pa.array(used)))[(np.cumsum(used) - 1)[at[is_rest]]]
+        own = np.where(unsure, 0, n - self.blanks)
         heads: list[list[str]] = [[] for _ in range(len(texts))]
         if self.blanks:
-            is_rest[first_at[n > 0]] = False
-            odd = np.fromiter((not w or w[0].isspace() or w[-1].isspace() for w in words.to_pylist()), np.int64, len(words))
-            several = np.add.reduceat(odd[at], first_at) if len(flat) else np.zeros(len(texts), np.int64)
-            whole |= (n > 1) & (several > 0)
-        is_rest &= ~np.repeat(whole, n)
-        if self.blanks:
-            begins = flat.take(pa.array(np.where(n > 0, first_at, 0))).to_pylist() if len(flat) else []
-            own = np.flatnonzero(whole & ~unsure)
-            entire = dict(zip(own.tolist(), texts.take(pa.array(own)).to_pylist(), strict=True))
+            begins = flat.take(pa.array(first_at)).to_pylist()
+            odd = np.concatenate([[0], np.cumsum(self.words.odd[at])])[np.concatenate([[0], np.cumsum(own)])]
+            whole = np.diff(odd) > 0
+            whole |= (own > 0) & np.fromiter((not b or b[-1].isspace() for b in begins), bool, len(begins))
+            whole &= ~unsure
+            entire = dict(zip(np.flatnonzero(whole).tolist(), texts.filter(pa.array(whole)).to_pylist(), strict=True))
             heads = [[] if u else _PARTS.findall(entire.get(i, b)) for i, (b, u) in enumerate(zip(begins, unsure.tolist(), strict=True))]
-        used = np.zeros(len(words), bool)
-        used[at[is_rest]] = True
-        among = (np.cumsum(used) - 1)[at[is_rest]]
-        rest = self._take(self.words, words.filter(pa.array(used)), among, np.where(whole, 0, n - self.blanks))
+            at, own = at[~np.repeat(whole, own)], np.where(whole, 0, own)
+        rest = self.words.ids.take(at, own)
         head = self._from_parts(heads)
         asked = self._library(texts.filter(pa.array(unsure)).to_pylist())
         pool = np.concatenate([head.pool, rest.pool, asked.pool])
