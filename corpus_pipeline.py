@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each stage's rows as Parquet to the shared folder
 and gives the next stage what it reads back. All stages but the last return the columns of documents.
+
+Edges, at every stage: null, empty and blank texts go with the first stage; very long texts are read whole; null ids are kept
+apart from each other; rows repeated in doc_id and text are near copies, of which one stays; an empty table gives an empty
+result; further columns pass through all stages but the last, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,8 +22,12 @@ from reportmill.llm.secrets import redacted
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (``und``) go; the machines learn from the documents' own lang."""
-    return docs.filter(predicted(train(docs), F.col("text"))["lang_pred"] != "und")
+    """Documents without a language (``und``) go, the others' lang becomes the predicted one.
+
+    The machines learn from the documents' own lang; null and wrong ones are put right. Null and empty texts are ``und``.
+    """
+    found = docs.withColumn("_lang", predicted(train(docs), F.col("text"))["lang_pred"]).filter(F.col("_lang") != "und")
+    return found.withColumn("lang", F.col("_lang")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

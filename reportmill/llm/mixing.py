@@ -121,13 +121,17 @@ def _flown(df: DataFrame, land: Column) -> DataFrame:
     return ready.groupBy("source", "cell").applyInPandas(run, ready.schema)
 
 
+def _row_key(seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), F.col("source").cast("string"), "text")
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = SEED, cell: int = CELL) -> DataFrame:
     """doc_id, key, source, size, source_size, target, times, taken for every row of documents(doc_id, text, source).
 
-    key hashes the row's text, so that (doc_id, key) tells rows apart unless they are repeated. Only ids and sizes are
+    key hashes the row's source and text, so that (doc_id, key) tells rows apart unless they are repeated. Only ids and sizes are
     shuffled, never texts.
     """
-    own = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words("text").alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("key")), "mix-sizes")
+    own = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words("text").alias("size"), _row_key(seed).alias("key")), "mix-sizes")
     by_source = own.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
     goals = stored(targets(by_source, weights, most), "mix-targets").withColumnRenamed("source", "of").drop("weight")
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(0.0)
@@ -160,15 +164,23 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
 
 
 def mixed(docs: DataFrame, seed: int = SEED, **how) -> DataFrame:
-    """The documents themselves, each as often as the mix takes it."""
+    """The documents themselves, each as often as the mix takes it.
+
+    Rows equal in doc_id, source and text share what the mix takes of them: rows that are equal in all columns are counted
+    before they meet, and a count takes its part of the total in the order of a hash of all columns.
+    """
     none = F.lit(-(1 << 63)).cast("long")
-    picked = mix(docs, seed=seed, **how).filter("times > 0").groupBy(F.coalesce("doc_id", none).alias("_id"), F.col("key").alias("_key")).agg(F.sum("times").alias("_all"))
-    own = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), none), "_key": F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), "text")})
-    joined = own.join(picked, ["_id", "_key"])
-    same = Window.partitionBy("_id", "_key")
-    ranked = joined.withColumns({"_row": F.row_number().over(same.orderBy(F.lit(0))), "_rows": F.count("*").over(same)})
-    times = (F.floor(F.col("_all") / F.col("_rows")) + (F.col("_row") <= F.col("_all") % F.col("_rows")).cast("int")).cast("int")
-    return ranked.withColumn("_time", F.explode(F.array_repeat(F.lit(1), times))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    keys = [F.coalesce("doc_id", none).alias("_id"), F.col("key").alias("_key")]
+    picked = stored(mix(docs, seed=seed, **how).groupBy(*keys).agg(F.sum("times").alias("_all"), F.count("*").alias("_rows")).filter("_all > 0"), "mix-picked")
+    own = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), none), "_key": _row_key(seed)})
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    once = own.join(picked.filter("_rows = 1"), ["_id", "_key"]).select(*names, F.col("_all").alias("_times"))
+    again = own.join(picked.filter("_rows > 1"), ["_id", "_key"]).groupBy(*names, "_id", "_key", "_all", "_rows").agg(F.count("*").alias("_same"))
+    upto = F.sum("_same").over(Window.partitionBy("_id", "_key").orderBy(F.xxhash64(*names)).rowsBetween(Window.unboundedPreceding, 0))
+    part = lambda rows: F.expr(f"_all * ({rows}) div _rows")
+    dealt = again.withColumn("_upto", upto).select(*names, (part("_upto") - part("_upto - _same")).alias("_times"))
+    every = once.unionByName(dealt)
+    return every.withColumn("_time", F.explode(F.array_repeat(F.lit(1), F.col("_times").cast("int")))).select(*names)
 
 
 def op1_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
