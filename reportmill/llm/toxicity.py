@@ -1,21 +1,25 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, distance-weighted votes.
 
-Terms are words and the first 4 and 5 letters of longer ones. The vocabulary is what tells toxic from other labelled
-documents best, chosen on a bounded sample (``TOXIC`` and ``CLEAN`` documents by smallest hash of their id, near copies
-by two min-hashes only once). Document frequencies cover all documents. The sample's vectors form the index, in blocks
-with each term's largest weight; a query opens blocks by falling bound until no bound can beat its k-th neighbour, so its
-neighbours are exact (ties: smaller example). A vote is the neighbours' labels by cosine, with ``PRIOR`` votes for the base
-rate of all labelled rows; isotonic regression on leave-one-out votes of the sample calibrates it. Neighbours are the evidence.
-
-Null and empty texts hold no term and get the calibrated score of such documents. Null labels teach nothing; of a doc_id's
-several labels the larger counts; without any label every score is 0. Other columns are not read.
+Terms are words and the first 4 and 5 letters of longer ones: all terms of a bounded sample of labelled rows (``TOXIC`` and
+``CLEAN`` documents by smallest hash of their id, exact copies of one label once), toxic and clean ones alike. Document
+frequencies cover all documents. A term weighs its inverse document frequency times ``FLOOR`` plus how far, beyond two
+standard errors, the sample's labels are apart on it, so that no term is dropped and those that tell labels apart count
+most; a copy of an example has cosine 1 with it.
+
+The sample's vectors form the index. Examples that are alike share a block, and each (term, block) keeps its largest
+weight; a query opens blocks by falling bound until no bound can beat its k-th neighbour, so its neighbours are exact
+(ties: smaller example). A vote is the neighbours' labels by cosine, with ``PRIOR`` votes for the base rate of all labelled
+rows; isotonic regression on leave-one-out votes of the sample calibrates it. Neighbours are the evidence.
+
+Null and empty texts hold no term and get the calibrated score of the base rate; very long texts are read whole; repeated
+rows are scored each, and learned from once. Null labels teach nothing; of a doc_id's several labels the larger counts;
+without any label every score is 0. An empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,14 +28,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import crc_mod4, stored, table
+from .tokens import joined_ranges
 
-TOXIC, CLEAN = 2500, 7500
-VOCABULARY = 2048
+TOXIC, CLEAN = 1500, 2500
 NEIGHBOURS, PRIOR, BLOCK = 16, 0.5, 64
 #: A neighbour's vote is its cosine to this power.
-SHARPNESS = 4
-#: A term must be in so many toxic sample documents, and so many times as common there.
-LEAST_TOXIC, LEAST_RATIO = 5, 8.0
+SHARPNESS = 2
+#: What a term counts that does not tell the labels apart.
+FLOOR = 0.02
+#: Blocks that a query opens at once.
+OPENED = 8
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -39,57 +45,121 @@ def terms(word: str) -> list[str]:
     return [word] + [word[:n] + "*" for n in (4, 5) if len(word) > n]
 
 
-def _distinct(pdf: pd.DataFrame) -> list[set[str]]:
-    return [{t for w in set(_WORD.findall((x or "").lower())) for t in terms(w)} for x in pdf["text"]]
+class Vocabulary:
+    """The numbers of a text's known terms."""
 
+    def __init__(self, number: dict[str, int]):
+        self.number, self.known = number, {}
 
-def _sketches(text: str | None) -> tuple[int, int]:
-    """Two min-hashes of word triples."""
-    w = (text or "").lower().split()
-    grams = {" ".join(g) for g in zip(w, w[1:], w[2:], strict=False)} or {text or ""}
-    raw = [g.encode("utf-8", "surrogatepass") for g in grams]
-    return min(map(zlib.crc32, raw)), min(zlib.crc32(g, 77) for g in raw)
+    def __reduce__(self):
+        return Vocabulary, (self.number,)
+
+    def counted(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """A text's known terms in ascending order, and how often it has each."""
+        number, known = self.number, self.known
+        found: Counter[int] = Counter()
+        for w, n in Counter(_WORD.findall((text or "").lower())).items():
+            ids = known.get(w)
+            if ids is None:
+                ids = tuple(number[t] for t in terms(w) if t in number)
+                if len(known) < 200_000:
+                    known[w] = ids
+            for i in ids:
+                found[i] += n
+        at = np.fromiter(found.keys(), np.int64, len(found))
+        times = np.fromiter(found.values(), np.int64, len(found))
+        order = np.argsort(at)
+        return at[order], times[order]
+
+
+def unit(at: np.ndarray, times: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The text's vector, of length 1, over its terms."""
+    v = (1 + np.log(times)) * weight[at]
+    size = float(np.sqrt((v * v).sum()))
+    return v / size if size else v
+
+
+def alike_in_blocks(vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int) -> np.ndarray:
+    """An order of the vectors in which neighbours are alike: halved again and again across the widest direction."""
+    rng = np.random.default_rng(3)
+    directions = rng.standard_normal((n_terms, 16)).astype(np.float32)
+    x = np.array([v @ directions[at] for at, v in vectors], np.float64).reshape(len(vectors), 16)
+    parts = [np.arange(len(vectors))]
+    while len(parts[0]) > BLOCK:
+        halves = []
+        for p in parts:
+            centred = x[p] - x[p].mean(0)
+            _, axes = np.linalg.eigh(centred.T @ centred)
+            p = p[np.argsort(centred @ axes[:, -1], kind="stable")]
+            halves += [p[: len(p) // 2], p[len(p) // 2 :]]
+        parts = halves
+    return np.concatenate(parts)
+
+
+Vector = dict[int, float] | tuple[np.ndarray, np.ndarray]
+
+
+def _arrays(vector: Vector) -> tuple[np.ndarray, np.ndarray]:
+    """A vector's terms and weights."""
+    if isinstance(vector, dict):
+        return np.array(list(vector), np.int64), np.array(list(vector.values()), np.float64)
+    return vector
 
 
 class Index:
-    """Unit vectors of the examples, as postings by term and block, with each block's largest weight."""
+    """Unit vectors of the examples as postings by term and block, with the largest weight of each of these."""
 
-    def __init__(self, ids: np.ndarray, labels: np.ndarray, vectors: list[dict[int, float]], n_terms: int):
+    def __init__(self, ids: np.ndarray, labels: np.ndarray, vectors: list[Vector], n_terms: int):
+        vectors = [_arrays(v) for v in vectors]
+        self.order = order = alike_in_blocks(vectors, n_terms)
         self.ids, self.labels = ids, labels
-        n_blocks = max(1, -(-len(ids) // BLOCK))
-        self.most = np.zeros((n_terms, n_blocks), np.float32)
-        self.postings: dict[tuple[int, int], list[tuple[int, float]]] = defaultdict(list)
-        for i, vector in enumerate(vectors):
-            for t, w in vector.items():
-                self.postings[t, i // BLOCK].append((i, w))
-                self.most[t, i // BLOCK] = max(self.most[t, i // BLOCK], np.nextafter(np.float32(w), np.float32(2)))
-
-    def nearest(self, vector: dict[int, float], k: int = NEIGHBOURS, but: int = -1) -> list[tuple[int, float]]:
-        """The k examples of largest cosine above 0, as (place, cosine)."""
-        if not vector:
-            return []
-        bounds = sum(w * self.most[t].astype(np.float64) for t, w in vector.items())
-        best: list[tuple[float, int]] = []
-        for block in np.argsort(-bounds, kind="stable"):
-            if bounds[block] <= 0 or len(best) == k and bounds[block] < -best[-1][0]:
+        sizes = np.array([len(vectors[i][0]) for i in order], np.int64)
+        term = np.concatenate([vectors[i][0] for i in order] or [np.zeros(0, np.int64)])
+        example = np.repeat(np.arange(len(order)), sizes)
+        weight = np.concatenate([vectors[i][1] for i in order] or [np.zeros(0)])
+        by_term = np.lexsort((example, term))
+        term, self.example, self.weight = term[by_term], example[by_term].astype(np.int32), weight[by_term]
+        pair = term * (len(order) // BLOCK + 1) + self.example // BLOCK
+        self.first = np.flatnonzero(np.diff(pair, prepend=-1)) if len(pair) else np.zeros(0, np.int64)
+        self.count = np.diff(self.first, append=len(pair))
+        self.block = self.example[self.first] // BLOCK
+        self.most = np.maximum.reduceat(self.weight, self.first) if len(pair) else np.zeros(0)
+        ends = np.searchsorted(term[self.first], np.arange(n_terms + 1))
+        self.begin, self.pairs = ends[:-1], np.diff(ends)
+
+    def nearest(self, vector: Vector, k: int = NEIGHBOURS, but: int | None = None) -> list[tuple[int, float]]:
+        """The k examples of largest cosine above 0, as (place, cosine); but names the doc_id of examples to leave out."""
+        at, vector = _arrays(vector)
+        n = self.pairs[at]
+        pair = joined_ranges(np.arange(len(self.block)), self.begin[at], n)
+        q, block = np.repeat(vector, n), self.block[pair]
+        bounds = np.bincount(block, q * self.most[pair], minlength=1) * (1 + 1e-9)
+        order = np.argsort(-bounds, kind="stable")
+        order = order[bounds[order] > 0]
+        best, score = np.zeros(0, np.int64), np.zeros(0)
+        for i in range(0, len(order), OPENED):
+            now = order[i : i + OPENED]
+            if len(best) == k and bounds[now[0]] < score[-1]:
                 break
-            scores: dict[int, float] = defaultdict(float)
-            for t, w in vector.items():
-                for i, v in self.postings.get((t, int(block)), ()):
-                    scores[i] += w * v
-            best = sorted([*best, *((-s, i) for i, s in scores.items() if i != but)])[:k]
-        return [(i, -s) for s, i in best]
-
-
-def unit(counts: dict[int, int], idf: np.ndarray) -> dict[int, float]:
-    v = {t: (1 + np.log(n)) * idf[t] for t, n in sorted(counts.items())}
-    size = float(np.sqrt(sum(x * x for x in v.values())))
-    return {t: float(x / size) for t, x in v.items()}
+            if len(best) == k:
+                now = now[bounds[now] >= score[-1]]
+            open_ = np.isin(block, now)
+            p, m = pair[open_], self.count[pair[open_]]
+            places = joined_ranges(self.example, self.first[p], m)
+            sums = np.bincount(places, np.repeat(q[open_], m) * joined_ranges(self.weight, self.first[p], m))
+            some = np.flatnonzero(sums > 0)
+            new, sums = self.order[some], sums[some]
+            if but is not None:
+                new, sums = new[self.ids[new] != but], sums[self.ids[new] != but]
+            best, score = np.concatenate([best, new]), np.concatenate([score, sums])
+            top = np.lexsort((self.ids[best], -score))[:k]
+            best, score = best[top], score[top]
+        return list(zip(best.tolist(), score.tolist(), strict=True))
 
 
 def vote(near: list[tuple[int, float]], labels: np.ndarray, base: float) -> float:
     weights = [s**SHARPNESS for _, s in near]
-    return (sum(w * labels[i] for (i, _), w in zip(near, weights, strict=True)) + PRIOR * base) / (sum(weights) + PRIOR)
+    return (sum(w * float(labels[i]) for (i, _), w in zip(near, weights, strict=True)) + PRIOR * base) / (sum(weights) + PRIOR)
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -117,74 +187,85 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, learn) -> tuple[DataFram
     return parts[0].unionByName(parts[1]), float(base or 0.0)
 
 
+def _document_frequencies(own: DataFrame, vocabulary, n_terms: int) -> tuple[np.ndarray, int]:
+    """In how many documents each term is, and the number of documents: each task adds up its own documents first."""
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, docs = np.zeros(n_terms, np.int64), 0
+        for pdf in batches:
+            for text in pdf["text"]:
+                total[vocabulary.value.counted(text)[0]] += 1
+            docs += len(pdf)
+        some = np.flatnonzero(total)
+        yield pd.DataFrame({"term": np.append(some, -1), "n": np.append(total[some], docs)})
+
+    counts = own.select("text").mapInPandas(counted, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(n_terms + 1, np.int64)
+    out[counts["term"]] = counts["n"]
+    return out[:n_terms], int(out[-1])
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, learn=lambda doc_id: F.lit(True)) -> DataFrame:
     """doc_id, score, neighbours (array<struct<doc_id, cosine, toxic>>) for every row of documents(doc_id, text)."""
     spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     chosen, base = labelled_sample(docs, labels, learn)
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            few = [_sketches(t) for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "toxic": pdf["toxic"], "one": [a for a, _ in few], "two": [b for _, b in few], "terms": [sorted(s) for s in _distinct(pdf)]})
-
     joined = own.join(F.broadcast(chosen), "doc_id")  # TOXIC + CLEAN rows at most
-    sample = stored(joined.mapInPandas(cut, "doc_id long, toxic int, one long, two long, terms array<string>"), "toxic-sample")
-    once = sample.select("doc_id", "one", "two").groupBy("one").agg(F.min(F.struct("doc_id", "two")).alias("s")).groupBy("s.two").agg(F.min("s.doc_id").alias("doc_id"))
-    sample = stored(sample.join(once.select("doc_id"), "doc_id").dropDuplicates(["doc_id"]), "toxic-distinct")
+    # Of copies with one label one stays; rows that share a doc_id but not the text are examples of their own.
+    sample = stored(joined.groupBy("toxic", "text").agg(F.min("doc_id").alias("doc_id")), "toxic-sample")
     n_toxic, n_clean = sample.agg(F.count_if(F.col("toxic") > 0), F.count_if(F.col("toxic") == 0)).first()
-    counts = sample.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.count_if(F.col("toxic") > 0).alias("t"), F.count_if(F.col("toxic") == 0).alias("c"))
-    ratio = ((F.col("t") + 0.5) / (n_toxic + 1)) / ((F.col("c") + 0.5) / (n_clean + 1))
-    strength = F.col("t") * F.log(ratio)
-    vocabulary = [r["term"] for r in counts.filter((F.col("t") >= LEAST_TOXIC) & (ratio >= LEAST_RATIO)).orderBy(strength.desc(), "term").limit(VOCABULARY).collect()]
-    number = {t: i for i, t in enumerate(vocabulary)}
 
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memory: dict[str, tuple[int, ...]] = {}
+    def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            places, times = [], []
-            for text in pdf["text"]:
-                found: Counter[int] = Counter()
-                for w, n in Counter(_WORD.findall((text or "").lower())).items():
-                    ids = memory.get(w)
-                    if ids is None:
-                        ids = tuple(number[t] for t in terms(w) if t in number)
-                        if len(memory) < 300_000:
-                            memory[w] = ids
-                    for i in ids:
-                        found[i] += n
-                places.append(sorted(found))
-                times.append([found[i] for i in sorted(found)])
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "terms": places, "times": times})
-
-    vectors = stored(own.mapInPandas(counted, "doc_id long, terms array<int>, times array<int>"), "toxic-vectors")
-    n_docs = vectors.count()
-    df = {r["t"]: r["n"] for r in vectors.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect()}
-    idf = np.array([np.log((n_docs + 1) / (df.get(i, 0) + 1)) + 1 for i in range(len(vocabulary))])
-    examples = sorted(vectors.join(F.broadcast(sample.select("doc_id", "toxic")), "doc_id").dropDuplicates(["doc_id"]).collect(), key=lambda r: (-r["toxic"], r["terms"], r["doc_id"]))
-    ids, labels_of = np.array([r["doc_id"] for r in examples], np.int64), np.array([min(1, r["toxic"]) for r in examples], np.float64)
-    units = [unit(dict(zip(r["terms"], r["times"], strict=True)), idf) for r in examples]
-    index = Index(ids, labels_of, units, len(vocabulary))
+            for text, toxic in zip(pdf["text"], pdf["toxic"], strict=True):
+                own_terms = {t for w in set(_WORD.findall((text or "").lower())) for t in terms(w)}
+                yield pd.DataFrame({"term": sorted(own_terms), "toxic": int(toxic > 0)})
+
+    # Bounded by the sample: its own terms.
+    seen = sample.mapInPandas(words, "term string, toxic int").groupBy("term").agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).orderBy("term").toPandas()
+    vocabulary = spark.sparkContext.broadcast(Vocabulary({t: i for i, t in enumerate(seen["term"])}))
+    df, n_docs = _document_frequencies(own, vocabulary, len(seen))
+    t, c = seen["t"].to_numpy(float) + 0.5, (seen["n"] - seen["t"]).to_numpy(float) + 0.5
+    apart = np.abs(np.log(t / (n_toxic + 1)) - np.log(c / (n_clean + 1))) / np.sqrt(1 / t + 1 / c)
+    weight = np.log((n_docs + 2) / (df + 1)) * (FLOOR + np.maximum(0, apart - 2))
+
+    def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            each = [vocabulary.value.counted(x) for x in pdf["text"]]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "toxic": pdf["toxic"], "terms": [a.tobytes() for a, _ in each], "times": [n.tobytes() for _, n in each]})
+
+    rows = stored(sample.mapInPandas(vectors, "doc_id long, toxic int, terms binary, times binary"), "toxic-examples").toPandas()
+    rows = rows.sort_values(["doc_id", "toxic", "terms", "times"], ignore_index=True)
+    each = [(np.frombuffer(a, np.int64), np.frombuffer(n, np.int64)) for a, n in zip(rows["terms"], rows["times"], strict=True)]
+    toxic = (rows["toxic"].to_numpy() > 0).astype(float)
+    index = spark.sparkContext.broadcast(Index(rows["doc_id"].to_numpy(), toxic, [(a, unit(a, n, weight)) for a, n in each], len(seen)))
+    weights = spark.sparkContext.broadcast(weight)
+
+    def voted(text: str | None, but: int | None = None) -> tuple[float, list[tuple[int, float]]]:
+        at, times = vocabulary.value.counted(text)
+        near = index.value.nearest((at, unit(at, times, weights.value)), but=but)
+        return vote(near, index.value.labels, base), near
+
+    def left_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            raw = [voted(text, doc)[0] for text, doc in zip(pdf["text"], pdf["doc_id"], strict=True)]
+            yield pd.DataFrame({"raw": raw, "toxic": (pdf["toxic"] > 0).astype(float)})
+
     # Leave-one-out votes, weighed so that the sample's classes have their true shares.
-    raw = np.array([vote(index.nearest(v, but=i), labels_of, base) for i, v in enumerate(units)])
-    weight = np.where(labels_of > 0, base / max(1, n_toxic), (1 - base) / max(1, n_clean))
-    levels, means = isotonic(raw, labels_of, weight) if len(raw) else (np.zeros(1), np.zeros(1))
+    tasks = max(1, min(64, (n_toxic + n_clean) // 64))
+    raw = sample.repartition(tasks).mapInPandas(left_out, "raw double, toxic double").toPandas()
+    true_share = np.where(raw["toxic"] > 0, base / max(1, n_toxic), (1 - base) / max(1, n_clean))
+    levels, means = isotonic(raw["raw"].to_numpy(), raw["toxic"].to_numpy(), true_share) if len(raw) else (np.zeros(1), np.zeros(1))
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memory: dict[tuple, tuple] = {}
         for pdf in batches:
-            out = []
-            for places, times in zip(pdf["terms"], pdf["times"], strict=True):
-                key = (*places, *times)
-                if key not in memory:
-                    near = index.nearest(unit(dict(zip(places, times, strict=True)), idf))
-                    score = float(np.clip(np.interp(vote(near, labels_of, base), levels, means), 0, 1))
-                    memory = memory if len(memory) < 50_000 else {}
-                    memory[key] = (score, [{"doc_id": int(ids[i]), "cosine": s, "toxic": int(labels_of[i])} for i, s in near])
-                out.append(memory[key])
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "score": [s for s, _ in out], "neighbours": [n for _, n in out]})
-
-    return vectors.mapInPandas(scored, "doc_id long, score double, neighbours array<struct<doc_id:long,cosine:double,toxic:int>>")
+            found = [voted(text) for text in pdf["text"]]
+            score = np.clip(np.interp([v for v, _ in found], levels, means), 0, 1)
+            ids, kinds = index.value.ids, index.value.labels
+            near = [[{"doc_id": int(ids[i]), "cosine": s, "toxic": int(kinds[i])} for i, s in n] for _, n in found]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "score": score, "neighbours": near})
+
+    return own.mapInPandas(scored, "doc_id long, score double, neighbours array<struct<doc_id:long,cosine:double,toxic:int>>")
 
 
 def op3_toxicity_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
