@@ -35,30 +35,30 @@ def joined_ranges(pool: np.ndarray, starts: np.ndarray, lengths: np.ndarray) ->
     return pool[np.arange(total) + np.repeat(shift, lengths)]
 
 
-class _Ragged:
+class Ragged:
     """Arrays of ids side by side in one pool."""
 
     def __init__(self, pool: np.ndarray, lengths: np.ndarray):
         self.pool, self.lengths = pool, lengths
         self.starts = np.cumsum(lengths) - lengths
 
-    def take(self, at: np.ndarray, groups: np.ndarray) -> _Ragged:
+    def take(self, at: np.ndarray, groups: np.ndarray) -> Ragged:
         """The arrays at these places, the first groups[0] of them joined to one, and so on."""
         lengths = self.lengths[at]
         ends = np.concatenate([[0], np.cumsum(lengths)])
         cuts = np.concatenate([[0], np.cumsum(groups)])
-        return _Ragged(joined_ranges(self.pool, self.starts[at], lengths), np.diff(ends[cuts]))
+        return Ragged(joined_ranges(self.pool, self.starts[at], lengths), np.diff(ends[cuts]))
 
 
-class _Memory:
+class Memory:
     """Ids by string, and whether it is empty or has white space at an end. Places hold until ``trim``."""
 
-    def __init__(self, make: Callable[[list[str]], _Ragged]):
+    def __init__(self, make: Callable[[list[str]], Ragged]):
         self.make = make
         self.keys = pa.array([], pa.string())
         self.uses = np.zeros(0, np.int32)
         self.odd = np.zeros(0, bool)
-        self.ids = _Ragged(np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        self.ids = Ragged(np.zeros(0, np.uint32), np.zeros(0, np.int64))
 
     def places(self, keys: pa.Array) -> np.ndarray:
         """Where the ids of each of these distinct strings are; unknown ones are made."""
@@ -74,7 +74,7 @@ class _Memory:
             self.odd = np.concatenate([self.odd, odd])
             self.keys = pa.concat_arrays([self.keys, new])
             self.uses = np.concatenate([self.uses, np.zeros(len(missing), np.int32)])
-            self.ids = _Ragged(np.concatenate([self.ids.pool, made.pool]), np.concatenate([self.ids.lengths, made.lengths]))
+            self.ids = Ragged(np.concatenate([self.ids.pool, made.pool]), np.concatenate([self.ids.lengths, made.lengths]))
         return at
 
     def trim(self) -> None:
@@ -106,22 +106,22 @@ class Encoder:
         self.doubt = (*_DOUBT, *(s for s in special if "<|" not in s))
         #: Does a blank before a word belong to its pre-token?
         self.blanks = "Removed" not in str(self.tok.pre_tokenizer)
-        self.parts, self.words = _Memory(self._library), _Memory(self._word_parts)
+        self.parts, self.words = Memory(self._library), Memory(self._word_parts)
 
-    def _library(self, texts: list[str]) -> _Ragged:
+    def _library(self, texts: list[str]) -> Ragged:
         ids = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        return _Ragged(np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum())), lengths)
+        return Ragged(np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum())), lengths)
 
-    def _from_parts(self, lists: list[list[str]]) -> _Ragged:
+    def _from_parts(self, lists: list[list[str]]) -> Ragged:
         words, at = _distinct(pa.array(list(chain.from_iterable(lists)), pa.string()))
         places = self.parts.places(words)
         return self.parts.ids.take(places[at], np.fromiter(map(len, lists), np.int64, len(lists)))
 
-    def _word_parts(self, words: list[str]) -> _Ragged:
+    def _word_parts(self, words: list[str]) -> Ragged:
         return self._from_parts([_PARTS.findall(" " + w if self.blanks else w) for w in words])
 
-    def _chunk(self, texts: pa.Array) -> _Ragged:
+    def _chunk(self, texts: pa.Array) -> Ragged:
         """Words are what blanks part; a text with blanks side by side or at an end is cut into parts from its start."""
         unsure = np.zeros(len(texts), bool)
         for s in self.doubt:
@@ -156,7 +156,7 @@ class Encoder:
         order[unsure, 1] = 2 * len(texts) + np.arange(int(unsure.sum()))
         self.words.trim()
         self.parts.trim()
-        return _Ragged(pool, lengths).take(order.ravel(), np.full(len(texts), 2))
+        return Ragged(pool, lengths).take(order.ravel(), np.full(len(texts), 2))
 
     def chunks(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(first, last, ids, lengths) of the texts first to last, a bounded number of bytes at once; null is empty."""

@@ -18,58 +18,86 @@ without any label every score is 0. An empty table gives an empty result. Other
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import crc_mod4, stored, table
-from .tokens import joined_ranges
+from .tokens import Memory, Ragged, joined_ranges
 
-TOXIC, CLEAN = 1500, 2500
+TOXIC, CLEAN = 1200, 1800
 NEIGHBOURS, PRIOR, BLOCK = 16, 0.5, 64
 #: A neighbour's vote is its cosine to this power.
 SHARPNESS = 2
 #: What a term counts that does not tell the labels apart.
 FLOOR = 0.02
-#: Blocks that a query opens at once.
-OPENED = 8
-_WORD = re.compile(r"[^\W\d_]+")
+#: Terms of the dense head at most, and the examples that each holds at least.
+HEAD, LEAST_HEAD = 2048, 16
+#: Blocks that every query opens; those that can beat their k-th example follow. What rounding may add to a bound.
+OPENED, SLACK = 3, 1e-5
+#: Texts that are compared at once; characters whose terms are counted at once, about.
+TOGETHER, CHUNK_CHARS = 256, 4 << 20
 
 
 def terms(word: str) -> list[str]:
     return [word] + [word[:n] + "*" for n in (4, 5) if len(word) > n]
 
 
+def words_of(texts: list[str | None]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct words (runs of letters, in small ones) of many texts; each word's place among them; words a text."""
+    small = pc.utf8_lower(pc.fill_null(pa.array(texts, pa.string()), ""))
+    lists = pc.split_pattern_regex(small, r"[^\p{L}\p{M}]+")
+    flat, n = lists.flatten(), lists.value_lengths().to_numpy().astype(np.int64)
+    some = pc.binary_length(flat).to_numpy() > 0
+    ends = np.concatenate([[0], np.cumsum(some)])[np.concatenate([[0], np.cumsum(n)])]
+    coded = flat.filter(pa.array(some)).dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy().astype(np.int64), np.diff(ends)
+
+
 class Vocabulary:
-    """The numbers of a text's known terms."""
+    """The numbers of texts' known terms."""
 
     def __init__(self, number: dict[str, int]):
-        self.number, self.known = number, {}
+        self.number, self.memory = number, Memory(self._numbers)
 
     def __reduce__(self):
         return Vocabulary, (self.number,)
 
-    def counted(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """A text's known terms in ascending order, and how often it has each."""
-        number, known = self.number, self.known
-        found: Counter[int] = Counter()
-        for w, n in Counter(_WORD.findall((text or "").lower())).items():
-            ids = known.get(w)
-            if ids is None:
-                ids = tuple(number[t] for t in terms(w) if t in number)
-                if len(known) < 200_000:
-                    known[w] = ids
-            for i in ids:
-                found[i] += n
-        at = np.fromiter(found.keys(), np.int64, len(found))
-        times = np.fromiter(found.values(), np.int64, len(found))
-        order = np.argsort(at)
-        return at[order], times[order]
+    def _numbers(self, words: list[str]) -> Ragged:
+        get = self.number.get
+        ids = [[i for t in terms(w) if (i := get(t)) is not None] for w in words]
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        return Ragged(np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum())), lengths)
+
+    def counted(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Text, term and count of each text's known terms, in ascending order."""
+        words, at, n = words_of(texts)
+        places, size = self.memory.places(words)[at], max(1, len(self.number))
+        known = self.memory.ids.take(places, np.ones(len(places), np.int64))
+        text = np.repeat(np.repeat(np.arange(len(texts)), n), known.lengths)
+        pair, times = np.unique(text * size + known.pool, return_counts=True)
+        self.memory.trim()
+        return pair // size, pair % size, times
+
+
+def chunks(texts: pd.Series) -> Iterator[slice]:
+    """Slices of a bounded number of texts and characters."""
+    done = np.cumsum(texts.str.len().fillna(0).to_numpy()) // CHUNK_CHARS
+    cuts = np.unique(np.concatenate([[0, len(texts)], np.flatnonzero(np.diff(done)) + 1]))
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        yield slice(a, b)
+
+
+def by_text(text: np.ndarray, n: int, *arrays: np.ndarray) -> list[tuple[np.ndarray, ...]]:
+    """The arrays' parts of each of n texts."""
+    cuts = np.searchsorted(text, np.arange(n + 1))
+    return [tuple(x[a:b] for x in arrays) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 def unit(at: np.ndarray, times: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -107,54 +135,83 @@ def _arrays(vector: Vector) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Index:
-    """Unit vectors of the examples as postings by term and block, with the largest weight of each of these."""
+    """Unit vectors of the examples as postings by term, with the largest weight of each term and block.
+
+    The ``HEAD`` terms that most examples hold are kept as a dense matrix a block, so that a block is compared with many
+    queries at once; the postings of all other terms are short and are added up in full. A block's bound is its head's bound
+    plus the best that the other terms give any of its examples. Candidates are compared again in double precision, term
+    by term, so that equal vectors tie exactly.
+    """
 
     def __init__(self, ids: np.ndarray, labels: np.ndarray, vectors: list[Vector], n_terms: int):
-        vectors = [_arrays(v) for v in vectors]
-        self.order = order = alike_in_blocks(vectors, n_terms)
+        self.vectors = [tuple(x[np.argsort(v[0])] for x in v) for v in map(_arrays, vectors)]
+        self.order, self.n_terms = alike_in_blocks(self.vectors, n_terms), n_terms
         self.ids, self.labels = ids, labels
-        sizes = np.array([len(vectors[i][0]) for i in order], np.int64)
-        term = np.concatenate([vectors[i][0] for i in order] or [np.zeros(0, np.int64)])
-        example = np.repeat(np.arange(len(order)), sizes)
-        weight = np.concatenate([vectors[i][1] for i in order] or [np.zeros(0)])
-        by_term = np.lexsort((example, term))
-        term, self.example, self.weight = term[by_term], example[by_term].astype(np.int32), weight[by_term]
-        pair = term * (len(order) // BLOCK + 1) + self.example // BLOCK
-        self.first = np.flatnonzero(np.diff(pair, prepend=-1)) if len(pair) else np.zeros(0, np.int64)
-        self.count = np.diff(self.first, append=len(pair))
-        self.block = self.example[self.first] // BLOCK
-        self.most = np.maximum.reduceat(self.weight, self.first) if len(pair) else np.zeros(0)
-        ends = np.searchsorted(term[self.first], np.arange(n_terms + 1))
-        self.begin, self.pairs = ends[:-1], np.diff(ends)
-
-    def nearest(self, vector: Vector, k: int = NEIGHBOURS, but: int | None = None) -> list[tuple[int, float]]:
-        """The k examples of largest cosine above 0, as (place, cosine); but names the doc_id of examples to leave out."""
-        at, vector = _arrays(vector)
-        n = self.pairs[at]
-        pair = joined_ranges(np.arange(len(self.block)), self.begin[at], n)
-        q, block = np.repeat(vector, n), self.block[pair]
-        bounds = np.bincount(block, q * self.most[pair], minlength=1) * (1 + 1e-9)
-        order = np.argsort(-bounds, kind="stable")
-        order = order[bounds[order] > 0]
-        best, score = np.zeros(0, np.int64), np.zeros(0)
-        for i in range(0, len(order), OPENED):
-            now = order[i : i + OPENED]
-            if len(best) == k and bounds[now[0]] < score[-1]:
-                break
-            if len(best) == k:
-                now = now[bounds[now] >= score[-1]]
-            open_ = np.isin(block, now)
-            p, m = pair[open_], self.count[pair[open_]]
-            places = joined_ranges(self.example, self.first[p], m)
-            sums = np.bincount(places, np.repeat(q[open_], m) * joined_ranges(self.weight, self.first[p], m))
-            some = np.flatnonzero(sums > 0)
-            new, sums = self.order[some], sums[some]
-            if but is not None:
-                new, sums = new[self.ids[new] != but], sums[self.ids[new] != but]
-            best, score = np.concatenate([best, new]), np.concatenate([score, sums])
-            top = np.lexsort((self.ids[best], -score))[:k]
-            best, score = best[top], score[top]
-        return list(zip(best.tolist(), score.tolist(), strict=True))
+        sizes = np.array([len(self.vectors[i][0]) for i in self.order], np.int64)
+        term = np.concatenate([self.vectors[i][0] for i in self.order] or [np.zeros(0, np.int64)])
+        weight = np.concatenate([self.vectors[i][1] for i in self.order] or [np.zeros(0)])
+        example = np.repeat(np.arange(len(self.order)), sizes)
+        held = np.bincount(term, minlength=n_terms)
+        head = np.argsort(-held, kind="stable")[:HEAD]
+        head = head[held[head] >= LEAST_HEAD]
+        self.head = np.full(n_terms, -1, np.int64)
+        self.head[head] = np.arange(len(head))
+        dense = self.head[term] >= 0
+        self.starts = np.arange(0, max(1, len(self.order)), BLOCK)
+        self.matrix = np.zeros((len(head), len(self.order)), np.float32)
+        self.matrix[self.head[term[dense]], example[dense]] = weight[dense]
+        self.most = np.nextafter(np.maximum.reduceat(self.matrix, self.starts, axis=1), np.float32(2)) if len(self.order) else np.zeros((len(head), 1), np.float32)
+        term, example, weight = term[~dense], example[~dense], weight[~dense]
+        by_term = np.argsort(term, kind="stable")
+        self.example, self.weight = example[by_term], weight[by_term].astype(np.float32)
+        ends = np.searchsorted(term[by_term], np.arange(n_terms + 1))
+        self.begin, self.postings = ends[:-1], np.diff(ends)
+
+    def nearest(self, vector: Vector, k: int = NEIGHBOURS) -> list[tuple[int, float]]:
+        return self.nearest_of([vector], k)[0]
+
+    def nearest_of(self, vectors: list[Vector], k: int = NEIGHBOURS, but: list[int] | None = None) -> list[list[tuple[int, float]]]:
+        """Each vector's k examples of largest cosine above 0, as (place, cosine); but holds a doc_id each to leave out."""
+        vectors, n, m = [_arrays(v) for v in vectors], len(vectors), len(self.order)
+        if not n or not m:
+            return [[] for _ in vectors]
+        query = np.repeat(np.arange(n), [len(at) for at, _ in vectors])
+        at, weight = np.concatenate([a for a, _ in vectors]), np.concatenate([w for _, w in vectors])
+        column = self.head[at]
+        dense = np.zeros((n, len(self.matrix)), np.float32)
+        dense[query[column >= 0], column[column >= 0]] = weight[column >= 0]
+        query, at, weight = query[column < 0], at[column < 0], weight[column < 0]
+        times = self.postings[at]
+        places = joined_ranges(self.example, self.begin[at], times) + np.repeat(query * m, times)
+        shares = joined_ranges(self.weight, self.begin[at], times) * np.repeat(weight, times)
+        rough = np.bincount(places, shares, n * m).reshape(n, m).astype(np.float32)
+        if but is not None:
+            rough[np.array(but)[:, None] == self.ids[self.order][None, :]] = -4
+        bounds = dense @ self.most + np.maximum.reduceat(rough, self.starts, axis=1) + SLACK
+        opened, best = np.zeros(bounds.shape, bool), np.full(n, -np.inf)
+        first = np.zeros(bounds.shape, bool)
+        np.put_along_axis(first, np.argsort(-bounds, axis=1, kind="stable")[:, :OPENED], True, axis=1)
+        seen = np.full((n, m), -np.inf, np.float32)
+        for wanted in (lambda: first, lambda: ~opened & (bounds > 0) & (bounds >= best[:, None])):
+            now = wanted()
+            for block in np.flatnonzero(now.any(0)):
+                own, part = np.flatnonzero(now[:, block]), slice(self.starts[block], self.starts[block] + BLOCK)
+                seen[own, part] = rough[own, part] + dense[own] @ self.matrix[:, part]
+            opened |= now
+            if m > k:
+                best = np.maximum(0, np.partition(seen, m - k, axis=1)[:, m - k]) - SLACK
+        whole, out = np.zeros(self.n_terms), []
+        for (at, weight), near in zip(vectors, seen >= np.maximum(best, -SLACK)[:, None], strict=True):
+            some = self.order[np.flatnonzero(near)]
+            if not len(some) or not len(at):
+                out.append([])
+                continue
+            whole[at] = weight
+            score = np.array([float((whole[self.vectors[i][0]] * self.vectors[i][1]).sum()) for i in some.tolist()])
+            whole[at] = 0
+            top = np.lexsort((self.ids[some], -score))[:k]
+            out.append([(i, s) for i, s in zip(some[top].tolist(), score[top].tolist(), strict=True) if s > 0])
+        return out
 
 
 def vote(near: list[tuple[int, float]], labels: np.ndarray, base: float) -> float:
@@ -193,8 +250,8 @@ def _document_frequencies(own: DataFrame, vocabulary, n_terms: int) -> tuple[np.
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total, docs = np.zeros(n_terms, np.int64), 0
         for pdf in batches:
-            for text in pdf["text"]:
-                total[vocabulary.value.counted(text)[0]] += 1
+            for part in chunks(pdf["text"]):
+                total += np.bincount(vocabulary.value.counted(pdf["text"].iloc[part].tolist())[1], minlength=n_terms)
             docs += len(pdf)
         some = np.flatnonzero(total)
         yield pd.DataFrame({"term": np.append(some, -1), "n": np.append(total[some], docs)})
@@ -218,7 +275,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, learn=lambda doc_id: F.lit(True
     def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for text, toxic in zip(pdf["text"], pdf["toxic"], strict=True):
-                own_terms = {t for w in set(_WORD.findall((text or "").lower())) for t in terms(w)}
+                own_terms = {t for w in words_of([text])[0].to_pylist() for t in terms(w)}
                 yield pd.DataFrame({"term": sorted(own_terms), "toxic": int(toxic > 0)})
 
     # Bounded by the sample: its own terms.
@@ -231,7 +288,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, learn=lambda doc_id: F.lit(True
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            each = [vocabulary.value.counted(x) for x in pdf["text"]]
+            text, at, times = vocabulary.value.counted(pdf["text"].tolist())
+            each = by_text(text, len(pdf), at, times)
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "toxic": pdf["toxic"], "terms": [a.tobytes() for a, _ in each], "times": [n.tobytes() for _, n in each]})
 
     rows = stored(sample.mapInPandas(vectors, "doc_id long, toxic int, terms binary, times binary"), "toxic-examples").toPandas()
@@ -241,14 +299,20 @@ def toxicity(docs: DataFrame, labels: DataFrame, learn=lambda doc_id: F.lit(True
     index = spark.sparkContext.broadcast(Index(rows["doc_id"].to_numpy(), toxic, [(a, unit(a, n, weight)) for a, n in each], len(seen)))
     weights = spark.sparkContext.broadcast(weight)
 
-    def voted(text: str | None, but: int | None = None) -> tuple[float, list[tuple[int, float]]]:
-        at, times = vocabulary.value.counted(text)
-        near = index.value.nearest((at, unit(at, times, weights.value)), but=but)
-        return vote(near, index.value.labels, base), near
+    def voted(texts: pd.Series, but: pd.Series | None = None) -> Iterator[tuple[float, list[tuple[int, float]]]]:
+        for part in chunks(texts):
+            own = texts.iloc[part].tolist()
+            text, at, times = vocabulary.value.counted(own)
+            each = [(a, unit(a, n, weights.value)) for a, n in by_text(text, len(own), at, times)]
+            without = None if but is None else but.iloc[part].tolist()
+            for i in range(0, len(each), TOGETHER):
+                near_each = index.value.nearest_of(each[i : i + TOGETHER], but=without and without[i : i + TOGETHER])
+                for near in near_each:
+                    yield vote(near, index.value.labels, base), near
 
     def left_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            raw = [voted(text, doc)[0] for text, doc in zip(pdf["text"], pdf["doc_id"], strict=True)]
+            raw = [v for v, _ in voted(pdf["text"], pdf["doc_id"])]
             yield pd.DataFrame({"raw": raw, "toxic": (pdf["toxic"] > 0).astype(float)})
 
     # Leave-one-out votes, weighed so that the sample's classes have their true shares.
@@ -259,7 +323,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, learn=lambda doc_id: F.lit(True
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = [voted(text) for text in pdf["text"]]
+            found = list(voted(pdf["text"]))
             score = np.clip(np.interp([v for v, _ in found], levels, means), 0, 1)
             ids, kinds = index.value.ids, index.value.labels
             near = [[{"doc_id": int(ids[i]), "cosine": s, "toxic": int(kinds[i])} for i, s in n] for _, n in found]
