@@ -92,8 +92,7 @@ def s6_teacher_answers(spark, sf_dir):
     n = F.col("doc_id")
     first = F.when(n % 5 == 0, '{"id": ').otherwise(F.concat(F.lit('{"steps": '), (n % 2 == 0).cast("string"), F.lit("}")))
     files = V.reports(spark, sf_dir).select("key", F.concat(first, F.lit('\n\n{"steps": '), (n % 3 == 0).cast("string"), F.lit("}\n")).alias("text"))
-    lines = files.select("key", F.posexplode(F.split("text", "\n")).alias("pos", "raw")).filter(F.trim("raw") != "")
-    return lines.select("key", F.from_json("raw", "steps boolean")["steps"].alias("steps"), F.col("pos").cast("int") + 1).toDF("key", "steps", "line")
+    return I.parse_answers(files, "steps boolean").select("key", F.col("answer.steps").alias("steps"), "line")
 
 
 # Cleanup -------------------------------------------------------------------------------------------------------------
@@ -144,7 +143,7 @@ def p14_skipped_answers(spark, sf_dir):
 
 @query()
 def p13_clean_reports(spark, sf_dir):
-    return cleanup.clean_reports(V.reports(spark, sf_dir, whole=True)).select("id", "tracker", "summary", "description")
+    return cleanup.clean_reports(V.reports(spark, sf_dir)).select("id", "tracker", "summary", "description")
 
 
 @query()
@@ -196,7 +195,7 @@ def r5_likely_missing(spark, sf_dir):
 
 @query()
 def r6_ordinary_gap(spark, sf_dir):
-    return V.candidates(spark, sf_dir, whole=True).select("id", rules.ordinary_gap(F.col("summary"), F.col("description"), F.col("tokens")).alias("gap"))
+    return V.candidates(spark, sf_dir).select("id", rules.ordinary_gap(F.col("summary"), F.col("description"), F.col("tokens")).alias("gap"))
 
 
 @query(R + r"SELECT id, CASE WHEN regexp_matches(summary || chr(10) || description, '\b4\.\d+\.\d+') THEN true WHEN doc_id % 12 = 5 THEN false END AS build FROM reports WHERE description IS NOT NULL")
@@ -211,8 +210,8 @@ def r8_environments(spark, sf_dir):
     return r.select("id", F.array_join(rules.environments(F.col("summary"), F.col("description")), ",").alias("environments"))
 
 
-def _lines(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    r = V.reports(spark, sf_dir, whole).filter("description is not null")
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = V.reports(spark, sf_dir).filter("description is not null")
     return r.select("id", "doc_id", "description", rules.read_lines("description").alias("l"))
 
 
@@ -228,13 +227,13 @@ def r10_r11_images_and_empty(spark, sf_dir):
 
 @query()
 def r12_r15_strict_missing(spark, sf_dir):
-    return _lines(spark, sf_dir, whole=True).select("id", F.array_join(rules.strict_missing(F.col("description"), F.col("l")), ",").alias("missing"))
+    return _lines(spark, sf_dir).select("id", F.array_join(rules.strict_missing(F.col("description"), F.col("l")), ",").alias("missing"))
 
 
 @query()
 def completeness_by_tracker(spark, sf_dir):
     """The flagship: bugs, cleaned, held against the strict criteria, as rates per tracker."""
-    bugs = I.select_bugs(V.reports(spark, sf_dir, whole=True), _types(spark, sf_dir))
+    bugs = I.select_bugs(V.reports(spark, sf_dir), _types(spark, sf_dir))
     lines = cleanup.clean_reports(bugs).withColumn("l", rules.read_lines("description")).withColumn("missing", rules.strict_missing(F.col("description"), F.col("l")))
     rates = [F.round(F.avg(F.array_contains("missing", c).cast("int")), 6).alias(f"{c}_missing") for c in ("steps", "expected", "actual")]
     return lines.groupBy("tracker").agg(F.count("*").alias("bugs"), F.round(F.avg((F.size("missing") == 0).cast("int")), 6).alias("complete"), *rates)
@@ -262,7 +261,7 @@ def _wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled reports, cleaned, with the new model's chances and the labels side by side."""
     s = V.scored(spark, sf_dir).filter("model = 'new'")
     wide = s.groupBy("id").agg(*[F.max(F.when(F.col("check") == c, F.col("p"))).alias(f"p_{c}") for c in L.CHECKS], *[F.max(F.when(F.col("check") == c, F.col("gold"))).alias(f"gold_{c}") for c in L.CHECKS])
-    r = cleanup.clean_reports(V.reports(spark, sf_dir, whole=True)).select("id", "tracker", "summary", "description", F.lit("Open").alias("state"), F.when(F.length("description") > 620, 2).otherwise(1).alias("windows"))
+    r = cleanup.clean_reports(V.reports(spark, sf_dir)).select("id", "tracker", "summary", "description", F.lit("Open").alias("state"), F.when(F.length("description") > 620, 2).otherwise(1).alias("windows"))
     return r.join(wide, "id")
 
 
@@ -310,7 +309,7 @@ def r26_public_rows(spark, sf_dir):
 
 @query()
 def r27_teacher_batches(spark, sf_dir):
-    return L.batches(V.reports(spark, sf_dir, whole=True))
+    return L.batches(V.reports(spark, sf_dir))
 
 
 # Joins ---------------------------------------------------------------------------------------------------------------
@@ -484,16 +483,33 @@ def a15_answer_problems(spark, sf_dir):
     return L.answer_problems(answers, r.select("id"))
 
 
-@query("SELECT 'V' || (user_id % 40) AS code, count(*) AS n FROM events GROUP BY 1 HAVING count(*) < 300")
+@query("SELECT 'V' || c.c AS code, count(user_id) AS n FROM generate_series(0, 40) AS c(c) LEFT JOIN events ON user_id % 40 = c.c GROUP BY c.c HAVING count(user_id) < 300")
 def a16_a17_coverage(spark, sf_dir):
-    """Variation codes that too few specs have."""
+    """Variation codes that too few specs have; V40 is in none."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.array(F.concat(F.lit("V"), (F.col("user_id") % 40).cast("string"))).alias("codes"))
-    return e.select(F.explode("codes").alias("code")).groupBy("code").agg(F.count("*").alias("n")).filter("n < 300")
+    return L.thin_codes(e, tuple(f"V{i}" for i in range(41)), 300)
+
+
+_MADE = """made AS (SELECT 'syn-' || item_id AS id, item_id AS n FROM benchmark)"""
+
+
+@query(f"""WITH {_MADE} SELECT 'missing id' AS rule, id, NULL AS found FROM made WHERE n % 10 = 0 UNION ALL SELECT 'duplicate id', id, '2' FROM made WHERE n % 10 = 1
+  UNION ALL SELECT 'blank', id, 'summary' FROM made WHERE n % 10 = 2 UNION ALL SELECT 'host', id, 'evil.example.org' FROM made WHERE n % 10 = 3
+  UNION ALL SELECT 'code', id, 'X13' FROM made WHERE n % 10 = 4 UNION ALL SELECT 'foreign id', 'odd-' || n, NULL FROM made WHERE n % 10 = 5""")
+def a16_record_problems(spark, sf_dir):
+    """Generated records of the benchmark's passages, a fault in six of ten."""
+    b = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    n, kind = F.col("item_id"), F.col("item_id") % 10
+    own = F.concat(F.when(kind == 5, "odd-").otherwise("syn-"), n.cast("string"))
+    tail = F.when(kind == 3, " see https://evil.example.org/a").when(kind == 4, " as X13 says").otherwise(" see https://docs.example.com/a")
+    records = b.filter(kind != 0).select(own.alias("id"), F.when(kind == 2, " ").otherwise("A title").alias("summary"), F.concat("text", tail).alias("description"), F.explode(F.when(kind == 1, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("copy"))
+    specs = b.filter(kind != 5).select(F.concat(F.lit("syn-"), n.cast("string")).alias("id"))
+    return L.record_problems(specs, records.drop("copy"), ("example.com",), ("X13", "X14"))
 
 
-@query(CAND + "SELECT tracker, CASE WHEN tokens <= 60 THEN 0 WHEN tokens <= 250 THEN 1 WHEN tokens <= 767 THEN 2 END AS bucket, count(*) AS n, count(DISTINCT project) AS projects FROM candidates GROUP BY ALL")
+@query(CAND + "SELECT tracker, CASE WHEN tokens <= 60 THEN 0 WHEN tokens <= 250 THEN 1 WHEN tokens <= 767 THEN 2 ELSE 3 END AS bucket, count(*) AS n, count(DISTINCT project) AS projects FROM candidates GROUP BY ALL")
 def a18_sample_report(spark, sf_dir):
-    c = V.candidates(spark, sf_dir).withColumn("bucket", S.length_bucket(F.col("tokens")))
+    c = V.candidates(spark, sf_dir).withColumn("bucket", F.coalesce(S.length_bucket(F.col("tokens")), F.lit(3)))
     return c.groupBy("tracker", "bucket").agg(F.count("*").alias("n"), F.countDistinct("project").alias("projects"))
 
 
@@ -505,6 +521,29 @@ def a19_f1_f3_window_scores(spark, sf_dir):
     return D.window_rollup(each.withColumn("p", S.u("w", F.concat_ws("|", "check", "id", F.col("window").cast("string")))))
 
 
+def _stub_predictor():
+    """A predictor that reads the text only: its length and its md5 give the chances."""
+    import hashlib
+
+    def predict(pdf):
+        chance = [int(hashlib.md5((t or "").encode()).hexdigest()[:12], 16) / (1 << 48) for t in pdf["text"]]
+        return pdf.assign(p=chance)[["id", "p"]]
+
+    return predict
+
+
+@query(CAND + "SELECT id, ('0x' || substr(md5(description), 1, 12))::BIGINT / 281474976710656.0 AS p FROM candidates")
+def f1_scored_batches(spark, sf_dir):
+    text = V.candidates(spark, sf_dir).select("id", F.col("description").alias("text"))
+    return D.scored_batches(text, _stub_predictor, "id string, p double")
+
+
+@query(R + "SELECT id, 7 AS questions, 'noul' AS kind FROM reports")
+def f4_question_rows(spark, sf_dir):
+    r = V.reports(spark, sf_dir).select("id", L.questions().alias("q"))
+    return r.select("id", F.size("q").alias("questions"), F.col("q")["steps"]["type"].alias("kind"))
+
+
 @query(CAND + "SELECT id, tokens FROM candidates")
 def f2_token_lengths(spark, sf_dir):
     return V.candidates(spark, sf_dir).select("id", "tokens")
@@ -547,20 +586,20 @@ def w4_weighted_pick(spark, sf_dir):
 @query(CAND + QUOTA.format(t=110) + """, b AS (SELECT c.*, quota, CASE WHEN tokens <= 60 THEN 0 WHEN tokens <= 250 THEN 1 WHEN tokens <= 767 THEN 2 END AS bucket FROM candidates c JOIN q USING (tracker)),
   """ + f"""m AS (SELECT *, coalesce(row_number() OVER (PARTITION BY tracker, bucket ORDER BY {_weight} DESC, id) <= CASE bucket WHEN 0 THEN round_even(quota * 0.3, 0) WHEN 2 THEN round_even(quota * 0.3, 0) WHEN 1 THEN quota - 2 * round_even(quota * 0.3, 0) END, false) AS ok FROM b),
   t AS (SELECT *, quota - sum(ok::INT) OVER (PARTITION BY tracker) AS short, row_number() OVER (PARTITION BY tracker, ok ORDER BY pow({_u(SEED + '+')}, CASE WHEN rare THEN 1.0 / 3 ELSE 1.0 END) DESC, id) AS nth FROM m)
-  SELECT id, tracker, bucket FROM t WHERE ok OR nth <= short""")
+  SELECT id, tracker, coalesce(bucket, 3) AS bucket FROM t WHERE ok OR nth <= short""")
 def w5_stratified_pick(spark, sf_dir):
     c = V.candidates(spark, sf_dir)
-    return S.stratified_pick(c, S.quota_table(c, 110), SEED).select("id", "tracker", "bucket")
+    return S.stratified_pick(c, S.quota_table(c, 110), SEED).select("id", "tracker", F.coalesce("bucket", F.lit(3)).alias("bucket"))
 
 
 @query()
 def w6_w7_sample(spark, sf_dir):
-    return S.sample(V.candidates(spark, sf_dir, whole=True), (60, 30, 0), SEED).select("id", "tracker", "project", "part")
+    return S.sample(V.candidates(spark, sf_dir), (60, 30, 0), SEED).select("id", "tracker", "project", "part")
 
 
 def _pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates that fit, without a label and outside the projects held for eval."""
-    c = V.candidates(spark, sf_dir, whole=True)
+    c = V.candidates(spark, sf_dir)
     used = V.reports(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id"), "doc_id", "left_semi")
     free = S.without_used(c.filter(F.col("tokens") <= S.ROOM), used, S.eval_projects(c, 0.3, SEED))
     return free.select("id", "tracker", rules.likely_missing(F.col("summary"), F.col("description")).alias("missing"))
@@ -571,21 +610,36 @@ def w8_top_up(spark, sf_dir):
     return S.top_up(_pool(spark, sf_dir), (40, 20, 20, 30), SEED).select("id", "part")
 
 
+@query()
+def w9_gap_mining_ordinary(spark, sf_dir):
+    """Candidates that fit, are not used and show an ordinary gap, by quotas of what is left."""
+    c = _pool(spark, sf_dir).filter(rules.ordinary_gap(F.col("summary"), F.col("description"), F.col("tokens")))
+    return S.by_quota(c, S.quota_table(c, 80), SEED).select("id", "tracker")
+
+
 @query(CAND + QUOTA.format(t=80) + f" SELECT id, tracker FROM candidates JOIN q USING (tracker) QUALIFY row_number() OVER (PARTITION BY tracker ORDER BY {_u(SEED)}, id) <= quota")
 def w9_gap_mining(spark, sf_dir):
     c = V.candidates(spark, sf_dir)
     return S.by_quota(c, S.quota_table(c, 80), SEED).select("id", "tracker")
 
 
-@query(CAND + f"SELECT id, CASE WHEN row_number() OVER (ORDER BY {_u(SEED)}, id) <= round_even(count(*) OVER () * 2 / 3, 0) THEN 'train' ELSE 'dev' END AS part FROM candidates WHERE {_u('s')} < 0.2")
+@query(CAND + f"SELECT id, CASE WHEN row_number() OVER (ORDER BY {_u(SEED)}, id) <= round_even(count(*) OVER () * 2 / 3, 0) THEN 'train' ELSE 'dev' END AS part FROM candidates")
 def w10_two_thirds(spark, sf_dir):
-    return S.split_two_thirds(S.bernoulli(V.candidates(spark, sf_dir), 0.2, "s"), SEED).select("id", "part")
+    return S.split_two_thirds(V.candidates(spark, sf_dir), SEED).select("id", "part")
 
 
-@query()
+@query(ORACLES["w10_two_thirds"])
 def w10_two_thirds_whole(spark, sf_dir):
-    """All candidates are split; the query above has SQL of a fifth of them."""
-    return S.split_two_thirds(V.candidates(spark, sf_dir, whole=True), SEED).select("id", "part")
+    """The same split; both take all candidates."""
+    return w10_two_thirds(spark, sf_dir)
+
+
+@query()
+def w10_mined(spark, sf_dir):
+    """The split of mined rows: only those that seem to lack the actual result."""
+    c = V.candidates(spark, sf_dir)
+    mined = c.filter(F.array_contains(rules.likely_missing(F.col("summary"), F.col("description")), "actual"))
+    return S.split_two_thirds(V.candidates(spark, sf_dir), SEED).select("id", "part")
 
 
 @query(CAND + f"SELECT id, row_number() OVER (PARTITION BY tokens <= 767 ORDER BY {_u(SEED)}, id) <= CASE WHEN tokens <= 767 THEN 90 ELSE 10 END AS core FROM candidates")
@@ -606,6 +660,18 @@ def w12_priority_fill(spark, sf_dir):
     return S.priority_fill(_w12(spark, sf_dir), 20, SEED).select("id", "tier")
 
 
+@query()
+def w13_gate_rows_cleaned(spark, sf_dir):
+    """Short by their cleaned state, by chance, and in the table's order."""
+    short = D.short_reports(cleanup.clean_reports(V.reports(spark, sf_dir)))
+    return S.top_by_chance(short, 40, SEED).orderBy("doc_id").select("doc_id", "id")
+
+
+@query()
+def r23_short_states(spark, sf_dir):
+    return D.short_reports(cleanup.clean_reports(V.reports(spark, sf_dir))).select("id")
+
+
 @query(R + f"SELECT id FROM reports WHERE length(summary) + length(description) <= 700 ORDER BY {_u(SEED)}, id LIMIT 40")
 def w13_gate_rows(spark, sf_dir):
     short = V.reports(spark, sf_dir).filter(F.length("summary") + F.length("description") <= 700)
@@ -659,6 +725,35 @@ def g3_summary(spark, sf_dir):
     return E.summary(_bot(spark, sf_dir, "new"), _bot(spark, sf_dir, "old"))
 
 
+@query(SCO + f", {BOT} SELECT \"check\", decided, wrong, missing_found FROM bot WHERE model = 'new'")
+def g3_refreshed(spark, sf_dir):
+    """The baseline is written, and refreshed by the next one; what is read back is the latter."""
+    import uuid
+
+    path = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/baseline-{uuid.uuid4().hex}"
+    for model in ("old", "new"):
+        E.refresh(_bot(spark, sf_dir, model), path)
+    return E.baseline(spark, path)
+
+
+@query()
+def t1_flow(spark, sf_dir):
+    """Events to actions and comments: the stub's answers are recorded once a fingerprint and replayed."""
+    events, settings = V.events(spark, sf_dir), D.Settings(success_comment=False)
+    states = C.states(events, settings)
+    scores = D.recorded(states, lambda text: {c: S.u(c, text) for c in L.CHECKS})
+    checked = C.flow(events, scores, settings)
+    return C.actions(checked).select("repo", "number", "event_id", "fp", "complete", "action", "comment")
+
+
+@query(EV + "SELECT count(*) AS states, count(*) AS answered FROM issue_events WHERE is_bug AND state IS NOT NULL")
+def s7_replay(spark, sf_dir):
+    """Each cleaned state is scored once, and every state finds its answer again."""
+    states = C.states(V.events(spark, sf_dir), D.Settings())
+    scores = D.recorded(states, lambda text: {c: S.u(c, text) for c in L.CHECKS})
+    return D.replayed(states, scores).agg(F.count("*").alias("states"), F.count("p_steps").alias("answered"))
+
+
 def _checked(spark: SparkSession, sf_dir: str) -> DataFrame:
     issues = D.triggered(D.normalized(V.events(spark, sf_dir)))
     return issues.select("repo", "number", "ts", "event_id", F.sha2(F.concat_ws("|", "summary", "description", "state"), 256).alias("fp"), (S.u("done", F.col("event_id").cast("string")) < 0.5).alias("complete"))

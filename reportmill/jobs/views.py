@@ -38,11 +38,11 @@ def _u_sql(seed: str, key: str) -> str:
 u_sql = _u_sql
 
 
-def reports(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """Reports over the whole text, or over its first 600 characters, as the SQL below reads them."""
+def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports over the documents' whole texts: a planted fragment follows the text, and the first line is the summary."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
     n = F.col("doc_id")
-    first = F.substring(F.substring_index("text", "\n", 1), 1, 120)
+    first = F.substring_index("text", "\n", 1)
     summary = F.concat(F.when(n % 5 == 0, "[Area] ").otherwise(""), F.when(n % 11 == 0, "Add ").otherwise(""), first, F.when(n % 13 == 0, "?").otherwise(""))
     fragment = F.element_at(F.array(*map(F.lit, FRAGMENTS)), (n % 12 + 1).cast("int"))
     kind = F.element_at(F.array(*map(F.lit, BUG_TYPES)), (n % 4 + 1).cast("int"))
@@ -55,7 +55,7 @@ def reports(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
         F.concat("lang", (n % 7).cast("string")).alias("project"),
         kind.alias("issuetype"),
         summary.alias("summary"),
-        F.when(n % 97 != 0, F.concat("text" if whole else F.substring("text", 1, 600), F.lit("\n\n"), fragment)).alias("description"),
+        F.when(n % 97 != 0, F.concat("text", F.lit("\n\n"), fragment)).alias("description"),
         (n % 12 == 7).alias("wiki"),
     )
 
@@ -65,8 +65,8 @@ _kinds = " ".join(f"WHEN {i} THEN {_text(k)}" for i, k in enumerate(BUG_TYPES))
 REPORTS = f"""reports AS (
   SELECT doc_id, source || ':' || doc_id AS id, doc_id::VARCHAR AS key, 'public' AS source, source AS tracker, lang || (doc_id % 7) AS project,
     CASE doc_id % 4 {_kinds} END AS issuetype,
-    CASE WHEN doc_id % 5 = 0 THEN '[Area] ' ELSE '' END || CASE WHEN doc_id % 11 = 0 THEN 'Add ' ELSE '' END || substr(split_part(text, chr(10), 1), 1, 120) || CASE WHEN doc_id % 13 = 0 THEN '?' ELSE '' END AS summary,
-    CASE WHEN doc_id % 97 <> 0 THEN substr(text, 1, 600) || chr(10) || chr(10) || CASE doc_id % 12 {_fragments} END END AS description,
+    CASE WHEN doc_id % 5 = 0 THEN '[Area] ' ELSE '' END || CASE WHEN doc_id % 11 = 0 THEN 'Add ' ELSE '' END || split_part(text, chr(10), 1) || CASE WHEN doc_id % 13 = 0 THEN '?' ELSE '' END AS summary,
+    CASE WHEN doc_id % 97 <> 0 THEN text || chr(10) || chr(10) || CASE doc_id % 12 {_fragments} END END AS description,
     doc_id % 12 = 7 AS wiki
   FROM documents)"""
 
@@ -110,9 +110,9 @@ def _scored_sql(model: str, right: float) -> str:
 SCORED = f"scored AS ({_scored_sql('old', 0.30)} UNION ALL {_scored_sql('new', 0.38)})"
 
 
-def candidates(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reports with a description: tokens (by blanks) and whether any of the words that mark rare parts is there."""
-    r = reports(spark, sf_dir, whole).filter(F.col("description").isNotNull())
+    r = reports(spark, sf_dir).filter(F.col("description").isNotNull())
     return r.select("id", "tracker", "project", "summary", "description", F.regexp_count("description", F.lit(r"\S+")).alias("tokens"), (F.col("doc_id") % 7 == 0).alias("rare"))
 
 

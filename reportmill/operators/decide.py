@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -86,25 +87,54 @@ def complete(df: DataFrame | None = None) -> Column:
     return out
 
 
-# The comment's names and advice.
+def short_reports(cleaned: DataFrame, most: int = 500) -> DataFrame:
+    """Reports whose cleaned summary and description have at most so many characters together."""
+    return cleaned.filter(F.length("summary") + F.length(F.coalesce("description", F.lit(""))) <= most)
+
+
+def state_key() -> Column:
+    """What a recorded answer belongs to: the cleaned state alone."""
+    return F.sha2(F.to_json(F.struct("summary", "description")), 256)
+
+
+def recorded(states: DataFrame, score: Callable[[Column], dict[str, Column]]) -> DataFrame:
+    """(state, p_<check> ..., windows): each cleaned state's answers, once; score maps a text column to chances.
+
+    A predictor outside of Spark goes through ``scored_batches`` over the same distinct states.
+    """
+    once = states.select(state_key().alias("state"), F.concat_ws("\n", "summary", "description").alias("_text")).dropDuplicates(["state"])
+    answers = {f"p_{c}": p for c, p in score(F.col("_text")).items()}
+    return once.withColumns(answers).withColumn("windows", F.lit(1)).drop("_text")
+
+
+def replayed(states: DataFrame, scores: DataFrame) -> DataFrame:
+    """States with their recorded answers; a state that was never scored stops the job, by naming it."""
+    answers = scores.withColumnRenamed("state", "_of")
+    known = states.withColumn("_state", state_key()).join(answers, F.col("_state") == F.col("_of"), "left")
+    wrong = F.concat(F.lit("no recorded answer for state "), F.col("_state"))
+    checked = F.when(F.col("_of").isNull(), F.raise_error(wrong).cast("int")).otherwise(F.col("windows"))
+    return known.withColumn("windows", checked).drop("_state", "_of")
+
+
+# Own wording; nothing outside depends on it.
 NAMES = {"steps": "Steps to reproduce", "expected": "Expected result", "actual": "Actual result", "build_version": "Build version"}
 ADVICE = {
-    "steps": "list the steps that lead to the problem. If they are unknown, describe the conditions in which it happened.",
-    "expected": "describe what should have happened.",
-    "actual": "describe what happened instead: the symptom, error or wrong value.",
-    "build_version": "name the exact build where you saw the bug, not latest or the current prod.",
+    "steps": "list the steps by which somebody else can see this; where no way is known, the circumstances help.",
+    "expected": "which outcome did you count on?",
+    "actual": "which outcome did you get? A message, a value or what the screen did.",
+    "build_version": "which build was it? A number tells more than a moving name does.",
 }
 STRICT_ADVICE = ADVICE | {
-    "steps": "list at least two steps, or give a command or snippet that reproduces it.",
-    "expected": "state in the description what should have happened: an Expected section or a sentence with should. The title does not count.",
-    "actual": "describe in the description what happened instead: the error text, the wrong value, a log or a screenshot. \"Doesn't work\" is not enough.",
+    "steps": "two list entries or more, or something to paste and run.",
+    "expected": "a headed section, or one plain sentence below the title, that names the right outcome.",
+    "actual": "evidence below the title: quoted output, a number, a log excerpt or a picture; a bare complaint does not do.",
 }
 HINTS = {
-    "summary_what": "Say in the title what is wrong, not what to do.",
-    "summary_where": "Name in the title where it happens: a screen, feature or component.",
-    "summary_when": "Name in the title when it happens: the action or condition.",
+    "summary_what": "The title could name the fault rather than a wish.",
+    "summary_where": "The title could name the affected part.",
+    "summary_when": "The title could name what sets the fault off.",
 }
-LONG_NOTE = "This report is long and was read in parts, so details found in it could not be confirmed."
+LONG_NOTE = "Only pieces of this long text were looked at together, so nothing found in one of them counts as certain."
 
 
 def comment(settings: Settings = Settings()) -> Column:
@@ -112,13 +142,13 @@ def comment(settings: Settings = Settings()) -> Column:
     advice = STRICT_ADVICE if settings.strict else ADVICE
     missing = F.array_compact(F.array(*[F.when(F.col(c) == "missing", F.lit(f"- **{NAMES[c]}**: {advice[c]}")) for c in BLOCKERS]))
     unsure = F.array_compact(F.array(*[F.when(F.col(c) == "unsure", F.lit(f"**{NAMES[c]}**")) for c in BLOCKERS]))
-    image = F.transform("image_only", lambda f: F.concat(F.lit("Describe the "), f, F.lit(" result in text too, not only as a screenshot.")))
+    image = F.transform("image_only", lambda f: F.concat(F.lit("A few words beside the picture of the "), f, F.lit(" outcome would help.")))
     hints = F.concat(F.array_compact(F.array(*[F.when(F.col(c) == "missing", F.lit(t)) for c, t in HINTS.items()])), image)
-    head = F.when(F.size(missing) > 0, F.concat(F.lit("**Some details are missing from this bug report.**\n\nMissing:\n"), F.array_join(missing, "\n"))).when(F.size(unsure) > 0, "**Could not check everything in this bug report.**").otherwise("✅ **Bug report complete.**")
+    head = F.when(F.size(missing) > 0, F.concat(F.lit("**This report lacks:**\n\n"), F.array_join(missing, "\n"))).when(F.size(unsure) > 0, "**Parts of this report are unclear.**").otherwise("✅ **Nothing is lacking here.**")
     not_sure = F.when(F.size(unsure) > 0, F.concat(F.lit("Not sure about: "), F.array_join(unsure, ", "), F.lit(". Please check "), F.when(F.size(unsure) > 1, "them").otherwise("it"), F.lit(" yourself.")))
     folded = F.when(F.size(hints) > 0, F.concat(F.lit("<details>\n<summary>Suggestions ("), F.size(hints).cast("string"), F.lit(")</summary>\n\n"), F.array_join(F.transform(hints, lambda h: F.concat(F.lit("- "), h)), "\n"), F.lit("\n\n</details>")))
     where = F.when(F.size("environments") > 0, F.concat(F.lit(" Environment: "), F.array_join("environments", ", "), F.lit("."))).otherwise("")
-    footer = F.concat(F.lit("<sub>Checked in status **"), F.col("state"), F.lit("**."), where, F.lit("</sub>"))
+    footer = F.concat(F.lit("<sub>State at reading: "), F.col("state"), F.lit("."), where, F.lit("</sub>"))
     return F.concat_ws("\n\n", head, not_sure, F.when(F.col("long"), LONG_NOTE), folded, footer)
 
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BLOCKERS = ("steps", "expected", "actual", "build_version")
@@ -157,6 +158,26 @@ def summary(now: DataFrame, baseline: DataFrame) -> DataFrame:
     return side(baseline, "was").join(side(now, "now"), "check", "full_outer")
 
 
+def refresh(now: DataFrame, path: str) -> None:
+    """The counts become the baseline that later runs are held against; each refresh is a version of its own.
+
+    A reader sees the version before until the new one is written in full.
+    """
+    spark = now.sparkSession
+    try:
+        last = spark.read.parquet(path).agg(F.max("version")).first()[0]
+    except AnalysisException:  # no baseline yet
+        last = 0
+    now.withColumn("version", F.lit(last + 1)).write.mode("append").parquet(path)
+
+
+def baseline(spark: SparkSession, path: str) -> DataFrame:
+    """The latest version of the baseline."""
+    every = spark.read.parquet(path)
+    latest = every.agg(F.max("version").alias("version"))
+    return every.join(F.broadcast(latest), "version").drop("version")  # one row
+
+
 def token_profile(df: DataFrame, rooms: tuple[int, ...] = (767, 895)) -> DataFrame:
     """A2: lengths per tracker and in total: n, median, p90, p99 (inclusive, rounded half to even), shares over rooms."""
     p = F.percentile("tokens", F.array(F.lit(0.5), F.lit(0.9), F.lit(0.99)))

@@ -61,7 +61,8 @@ def balance(labels: DataFrame) -> DataFrame:
 
 def answer_problems(answers: DataFrame, ids: DataFrame) -> DataFrame:
     """Every problem of a label file at once. answers(line, answer: JSON text), ids(id) as asked for."""
-    parsed = answers.withColumn("m", F.from_json("answer", "map<string,string>"))
+    typed = F.from_json("answer", ", ".join(f"{c} boolean" for c in CHECKS))
+    parsed = answers.withColumns({"m": F.from_json("answer", "map<string,string>"), "typed": typed})
     broken = parsed.filter("m is null").select(F.lit("broken").alias("rule"), F.concat(F.lit("line "), F.col("line")).alias("key"))
     good = parsed.filter("m is not null").withColumn("id", F.coalesce(F.col("m")["id"], F.lit("")))
     wanted = F.array(*map(F.lit, CHECKS))
@@ -70,7 +71,9 @@ def answer_problems(answers: DataFrame, ids: DataFrame) -> DataFrame:
     def each(rule: str, keys: Column) -> DataFrame:
         return good.select(F.lit(rule).alias("rule"), F.explode(F.transform(keys, lambda k: F.concat_ws(":", F.col("id"), k))).alias("key"))
 
-    not_boolean = F.filter(F.array_intersect(have, wanted), lambda k: ~F.col("m")[k].isin("true", "false"))
+    # A JSON string, number or null is no boolean: read as one it gives null.
+    boolean = F.map_from_arrays(wanted, F.array(*[F.col(f"typed.{c}") for c in CHECKS]))
+    not_boolean = F.filter(F.array_intersect(have, wanted), lambda k: F.element_at(boolean, k).isNull())
     given = good.select("id")
     out = [
         broken,
@@ -84,8 +87,72 @@ def answer_problems(answers: DataFrame, ids: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, out)
 
 
+def thin_codes(specs: DataFrame, codes: tuple[str, ...], least: int = 8) -> DataFrame:
+    """The listed codes that fewer than least specs(codes array) have, those in none included."""
+    spark = specs.sparkSession
+    every = spark.createDataFrame([(c,) for c in codes], "code string")
+    counts = specs.select(F.explode("codes").alias("code")).groupBy("code").agg(F.count("*").alias("n"))
+    return every.join(counts, "code", "left").select("code", F.coalesce("n", F.lit(0)).alias("n")).filter(F.col("n") < least)
+
+
+def record_problems(specs: DataFrame, records: DataFrame, allowed: tuple[str, ...], codes: tuple[str, ...]) -> DataFrame:
+    """(rule, id, found) of generated records(id, summary, description) against specs(id), all at once."""
+    from ..sources.issues import foreign_hosts
+
+    none = F.lit(None).cast("string").alias("found")
+    rule = lambda name: F.lit(name).alias("rule")
+    given, asked = records.select("id").distinct(), specs.select("id").distinct()
+    blank = [records.filter(F.coalesce(F.trim(c), F.lit("")) == "").select(rule("blank"), "id", F.lit(c).alias("found")) for c in ("summary", "description")]
+    twice = records.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1")
+    text = records.select("id", F.concat_ws("\n", "summary", "description").alias("text"))
+    out = [
+        asked.join(given, "id", "left_anti").select(rule("missing id"), "id", none),
+        given.join(asked, "id", "left_anti").select(rule("foreign id"), "id", none),
+        twice.select(rule("duplicate id"), "id", F.col("n").cast("string").alias("found")),
+        *blank,
+        foreign_hosts(text, allowed, codes).select("rule", "id", "found"),
+    ]
+    return reduce(DataFrame.unionByName, out)
+
+
+#: What each check asks of a report; the wording is our own, as a model is trained on the rows that hold it.
+QUESTIONS = {
+    "summary_what": "Is the fault itself named in the title?",
+    "summary_where": "Is the place of the fault (a screen, function or part) named in the title?",
+    "summary_when": "Is the action or condition that brings the fault about named in the title?",
+    "steps": "Can a reader repeat the fault from what the description says?",
+    "expected": "Does the description say what ought to happen?",
+    "actual": "Does the description say what happens instead?",
+    "build_version": "Is the build in which the fault was seen named exactly?",
+}
+CRITERIA = {"true": "present", "false": "missing"}
+
+
+def questions() -> Column:
+    """the question map as a column: check -> struct<type, text, criteria>."""
+    criteria = F.create_map(*[F.lit(x) for kv in CRITERIA.items() for x in kv])
+    each = [x for c in CHECKS for x in (F.lit(c), F.struct(F.lit("noul").alias("type"), F.lit(QUESTIONS[c]).alias("text"), criteria.alias("criteria")))]
+    return F.create_map(*each)
+
+
+#: The fields of an assembled row.
+FIELDS = ("set", "id", "source", "tracker", "project", "summary", "description")
+
+
+def unexpected_fields(sets: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
+    """(rule, key, detail) of columns that an assembled row should not have, with the rows that hold a value there."""
+    extra = [c for c in sets.columns if c not in fields]
+    if not extra:
+        return sets.sparkSession.createDataFrame([], "rule string, key string, detail string")
+    held = F.array_compact(F.array(*[F.when(F.col(f"`{c}`").isNotNull(), F.lit(c)) for c in extra]))
+    return sets.select(F.lit("unexpected field").alias("rule"), F.col("id").alias("key"), F.explode(held).alias("detail"))
+
+
 def set_problems(sets: DataFrame, sizes: dict[tuple[str, str], int]) -> DataFrame:
-    """(rule, key, detail) of assembled sets (set, id, source, tracker, project, summary, description)."""
+    """(rule, key, detail) of assembled sets (set, id, source, tracker, project, summary, description).
+
+    Columns beyond these are looked at by ``unexpected_fields``.
+    """
     spark = sets.sparkSession
     wanted = spark.createDataFrame([(s, f, n) for (s, f), n in sizes.items()], "set string, source string, wanted long")
     counts = sets.groupBy("set", "source").agg(F.count("*").alias("n")).join(F.broadcast(wanted), ["set", "source"], "full_outer")
@@ -103,11 +170,11 @@ def assembled(public: DataFrame, generated: DataFrame) -> DataFrame:
 
 
 def training_rows(reports: DataFrame, labels: DataFrame, smoothing: float = 0.0) -> DataFrame:
-    """Id, state, gold map of check to (false, true, label) with smoothed targets. labels in long form."""
+    """Id, state, questions (F4), gold map of check to (false, true, label) with smoothed targets. labels in long form."""
     target = F.when(F.col("gold"), 1 - smoothing / 2).otherwise(smoothing / 2)
     entry = F.struct("check", F.struct((1 - target).alias("p_false"), target.alias("p_true"), F.col("gold").alias("label")))
     gold = labels.groupBy("id").agg(F.map_from_entries(F.sort_array(F.collect_list(entry))).alias("gold"))
-    return reports.select("id", F.struct("summary", "description").alias("state")).join(gold, "id")
+    return reports.select("id", F.struct("summary", "description").alias("state"), questions().alias("questions")).join(gold, "id")
 
 
 def batches(reports: DataFrame, size: int = BATCH) -> DataFrame:

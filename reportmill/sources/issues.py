@@ -77,9 +77,14 @@ def parse_batches(files: DataFrame) -> DataFrame:
 
 
 def parse_answers(files: DataFrame, schema: str) -> DataFrame:
-    """One object a line that is not blank -> line number, answer; answer is null where the line is broken."""
-    lines = files.select(F.posexplode(F.split("text", "\n")).alias("pos", "raw")).filter(F.trim("raw") != "")
-    return lines.select((F.col("pos") + 1).alias("line"), "raw", F.from_json("raw", schema, {"mode": "PERMISSIVE"}).alias("answer"))
+    """One object a line that is not blank -> the files' other columns, line number, raw, answer.
+
+    answer is null where the line is no JSON object, so that ``answer is null`` names bad lines by their number.
+    """
+    others = [F.col(f"`{c}`") for c in files.columns if c != "text"]
+    lines = files.select(*others, F.posexplode(F.split("text", "\n")).alias("pos", "raw")).filter(F.trim("raw") != "")
+    is_object = F.coalesce(F.schema_of_variant(F.try_parse_json("raw")).startswith("OBJECT"), F.lit(False))
+    return lines.select(*others, (F.col("pos") + 1).cast("int").alias("line"), "raw", F.when(is_object, F.from_json("raw", schema)).alias("answer"))
 
 
 def foreign_hosts(records: DataFrame, allowed: tuple[str, ...], codes: tuple[str, ...]) -> DataFrame:

@@ -8,9 +8,29 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import cleanup
+from ..operators import decide as D
+
 KEY = ("repo", "number")
 
 
+def states(events: DataFrame, settings: D.Settings = D.Settings()) -> DataFrame:
+    """T1, first half: issue events (a table or a stream) -> cleaned reports of bugs in a checked state, with a fingerprint."""
+    issues = D.triggered(D.normalized(events, status_labels=settings.states), settings.states)
+    cleaned = cleanup.clean_reports(issues.withColumn("wiki", F.lit(False))).drop("wiki")
+    return cleaned.withColumn("fp", D.fingerprint(settings))
+
+
+def flow(events: DataFrame, scores: DataFrame, settings: D.Settings = D.Settings()) -> DataFrame:
+    """Normalise, trigger, clean, look scores up, decide, comment.
+
+    scores(state, p_<check> ..., windows) is a table as ``decide.recorded`` gives it; the result has a verdict a check, ``fp``,
+    ``complete`` and ``comment`` and goes to ``actions``, or on a stream to ``stream_actions``.
+    """
+    decided = D.decided(D.replayed(states(events, settings), scores), settings)
+    return decided.withColumns({"complete": D.complete(), "comment": D.comment(settings)})
+
+
 def latest(events: DataFrame) -> DataFrame:
     """The last event of each issue (ties: larger event_id)."""
     row = F.struct(*[c for c in events.columns if c not in KEY])
@@ -51,7 +71,11 @@ def _follow(success_comment: bool) -> Callable:
 
 
 def stream_actions(checked: DataFrame, success_comment: bool = False) -> DataFrame:
-    """T2 on a stream: state an issue is the last fingerprint and whether there is a comment."""
+    """T2 on a stream: state an issue is the last fingerprint and whether there is a comment.
+
+    Events of one micro-batch are taken in the order of their times; one that comes in a later batch than a younger event is
+    taken when it comes, as a comment cannot be unwritten. So the table form agrees where events come in order.
+    """
     out = "repo long, number long, ts timestamp, event_id long, fp string, complete boolean, action string"
     ready = checked.select(*KEY, "ts", "event_id", "fp", "complete")
     return ready.groupBy(*KEY).applyInPandasWithState(_follow(success_comment), out, "fp string, has boolean", "append", "NoTimeout")

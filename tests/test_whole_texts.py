@@ -20,7 +20,7 @@ def long_reports(spark, tmp_path_factory):
 
 
 def test_tokens_of_whole_texts(spark, long_reports):
-    got = {r.id: r.tokens for r in V.candidates(spark, long_reports, whole=True).collect()}
+    got = {r.id: r.tokens for r in V.candidates(spark, long_reports).collect()}
     assert got["web:39"] == 900 + 6 and got["web:27"] == 5 * 60 + 6
 
 
