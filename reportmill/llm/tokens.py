@@ -23,9 +23,9 @@ _LETTERS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
 _PARTS = re.compile(rf" ?[{_LETTERS}]++(?=[\x00-\x7f]|\Z)| ?\S+|\s+(?!\S)|\s+")
 _DOUBT = ("\x1c", "\x1d", "\x1e", "\x1f", "\x85", "<|")
 #: Strings that a worker remembers at most, for each of two levels; beyond it those used least are forgotten.
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 #: Bytes of text that are encoded at once, about.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 
 def joined_ranges(pool: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
