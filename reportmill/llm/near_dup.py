@@ -29,8 +29,10 @@ from pyspark.sql import functions as F
 from .common import checkpointed, stored, table
 
 BANDS, ROWS = 60, 7
-#: Members of a block of a bucket, about.
-BLOCK = 1024
+#: Members of a block of a bucket, and their shingles, about: whichever is reached first.
+BLOCK, BLOCK_SHINGLES = 1024, 200_000
+#: Shingles whose sets a task keeps at once.
+KEPT_SHINGLES = 100_000
 #: A-Z to a-z in UTF-8 bytes.
 _LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
 _U32 = np.uint32
@@ -263,6 +265,18 @@ def _near_members(percent: int):
 def _linked_members(size: int, percent: int):
     def run(block: _Block) -> pd.DataFrame:
         sets: dict[int, set] = {}
+        kept = 0
+
+        def own(x: int) -> set:
+            nonlocal kept
+            if x not in sets:
+                if kept > KEPT_SHINGLES:
+                    sets.clear()
+                    kept = 0
+                sets[x] = shingles(texts[x], size)
+                kept += len(sets[x])
+            return sets[x]
+
         texts, rep, part = (block.pdf[c].tolist() for c in ("text", "rep", "component"))
         done, out = set(), []
         for k, other in block.near_pairs(percent):
@@ -270,7 +284,7 @@ def _linked_members(size: int, percent: int):
                 pair = (min(part[k], part[m]), max(part[k], part[m]))
                 if pair in done:
                     continue
-                a, b = (sets.get(x) or sets.setdefault(x, shingles(texts[x], size)) for x in (k, m))
+                a, b = own(k), own(m)
                 both = len(a & b)
                 if 100 * both >= percent * (len(a) + len(b) - both):
                     done.add(pair)
@@ -286,7 +300,8 @@ def _together(blocks: DataFrame) -> DataFrame:
 
 def _links_across(open_: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Links between components, one for each two of a bucket at least, from open_(key, rep, component)."""
-    blocks = open_.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    sized = open_.join(texts.select("rep", "n_shingles"), "rep")
+    blocks = sized.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).alias("blocks"))
     sketched = _in_blocks(open_.join(texts.select("rep", "n_shingles", "sketch", "keys"), "rep"), blocks)
     near = stored(_together(sketched).mapInPandas(_near_members(percent), "key long, rep long").distinct(), "near")
     whole = _in_blocks(near.join(open_, ["key", "rep"]).join(texts.select("rep", "text", "n_shingles", "sketch", "keys"), "rep"), blocks)
