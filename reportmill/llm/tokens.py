@@ -24,6 +24,8 @@ _PARTS = re.compile(rf" ?[{_LETTERS}]++(?=[\x00-\x7f]|\Z)| ?\S+|\s+(?!\S)|\s+")
 _DOUBT = ("\x1c", "\x1d", "\x1e", "\x1f", "\x85", "<|")
 #: Strings that a worker remembers at most, for each of two levels; beyond it those used least are forgotten.
 REMEMBERED = 300_000
+#: Strings that the library gets at once: what it gives back is many times their size.
+AT_ONCE = 4096
 #: Bytes of text that are encoded at once, about.
 CHUNK_BYTES = 2 << 20
 
@@ -109,7 +111,9 @@ class Encoder:
         self.parts, self.words = Memory(self._library), Memory(self._word_parts)
 
     def _library(self, texts: list[str]) -> Ragged:
-        ids = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        ids: list[list[int]] = []
+        for i in range(0, len(texts), AT_ONCE):
+            ids += [e.ids for e in self.tok.encode_batch_fast(texts[i : i + AT_ONCE], add_special_tokens=False)]
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
         return Ragged(np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum())), lengths)
 
