@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,14 +16,32 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-#: Rows of a batch that a Python worker gets at once: texts can be long, and workers keep the memory that they once had.
-BATCH_ROWS = 1000
+#: Rows and bytes of a batch that a Python worker gets at once, whichever is reached first: texts and blocks can be long.
+BATCH_ROWS, BATCH_BYTES = 1000, "8m"
 
 
 def small_batches(spark: SparkSession) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
+def giving_back(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, a function for mapInPandas or mapInArrow, that returns its freed memory to the system at the task's end.
+
+    Workers outlive their tasks, and allocators keep what a task has freed unless they are asked.
+    """
+
+    @functools.wraps(run)
+    def inner(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only glibc has it
+        if trim is not None:
+            trim(0)
+
+    return inner
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,11 +63,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Written to the shared folder and read back: cuts the lineage, and lost executors cost nothing before it."""
+def stored(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
+    """Written to the shared folder and read back: cuts the lineage, and lost executors cost nothing before it.
+
+    Without compression ("none"), a reader's tasks are as large in memory as their files say, however many copies there are.
+    """
     small_batches(df.sparkSession)
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

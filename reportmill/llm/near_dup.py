@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, stored, table
+from .common import checkpointed, giving_back, stored, table
 
 BANDS, ROWS = 60, 7
 #: Members of a block of a bucket, and their shingles, about: whichever is reached first.
@@ -133,7 +133,7 @@ def _signed(size: int, bands: int, rows: int):
                 keys, sketches = iter(_mix64(_fold(signed, bands, rows)).view(np.int64)), iter(signed.astype(np.uint8))
                 yield pd.DataFrame({"doc_id": few["doc_id"].astype("Int64").tolist(), "n_shingles": [len(s) for s in sets], "digest": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], "keys": [next(keys) if len(s) else None for s in sets], "sketch": [next(sketches).tobytes() if len(s) else None for s in sets], "row": few["row"].tolist()}).astype({"doc_id": "Int64"})
 
-    return run
+    return giving_back(run)
 
 
 def _fold(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
@@ -158,7 +158,7 @@ def _verified(size: int, percent: int):
                 keep.append(100 * both >= percent * (len(own) + len(other) - both) and both > 0)
             yield pdf.loc[keep, ["a", "b"]]
 
-    return run
+    return giving_back(run)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -249,7 +249,7 @@ def _by_group(function):
         if waiting is not None and len(waiting):
             yield function(_Block(waiting))
 
-    return run
+    return giving_back(run)
 
 
 def _near_members(percent: int):

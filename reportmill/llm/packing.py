@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import giving_back, stored, table
 from .tokens import as_binary, encoder, with_end
 
 WORD_BPE = "word_bpe_49k.json"
@@ -122,7 +122,7 @@ def _tokenized(file: str, end_id: int):
                     names=["part", "source", "doc_id", "begin", "n", "width", "ids"],
                 )
 
-    return run
+    return giving_back(run)
 
 
 def pack(docs: DataFrame, tokenizer: str = WORD_BPE, end_id: int = 2, length: int = LENGTH, quantum: int = QUANTUM, max_queues: int = MAX_QUEUES, with_ids: bool = False) -> DataFrame:
@@ -132,7 +132,7 @@ def pack(docs: DataFrame, tokenizer: str = WORD_BPE, end_id: int = 2, length: in
     the offsets, one row a task and source, are few enough to be broadcast.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("source").cast("string").alias("source"))
-    kept = stored(rows.mapInArrow(_tokenized(tokenizer, end_id), _KEPT), "packing")
+    kept = stored(rows.mapInArrow(_tokenized(tokenizer, end_id), _KEPT), "packing", "none")
     by_part = stored(kept.groupBy("part", "source").agg(F.sum("n").alias("n")), "packing-totals")
     by_source = by_part.groupBy("source").agg(F.sum("n").alias("n"))
     top = by_source.orderBy(F.desc("n"), F.asc_nulls_last("source")).limit(max_queues - 1).collect()
@@ -159,7 +159,7 @@ def pack(docs: DataFrame, tokenizer: str = WORD_BPE, end_id: int = 2, length: in
                 out["doc_id"] = out["doc_id"].astype("Int64")
                 yield out.assign(ids=[np.frombuffer(x, "<i4") for x in cut]) if with_ids else out
 
-    return placed.select("doc_id", "queue", (F.col("begin") + F.col("ahead")).alias("begin"), "n", "width", "ids").mapInPandas(run, PIECES + ", ids array<int>" * with_ids)
+    return placed.select("doc_id", "queue", (F.col("begin") + F.col("ahead")).alias("begin"), "n", "width", "ids").mapInPandas(giving_back(run), PIECES + ", ids array<int>" * with_ids)
 
 
 def op5_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

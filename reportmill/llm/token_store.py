@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import scratch_path, stored, table
+from .common import giving_back, scratch_path, stored, table
 from .tokens import encoder, with_end
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -130,16 +130,17 @@ def decode_block(data: bytes, table: Frequencies, start: int = 0, stop: int | No
     return out[start - first : stop - first]
 
 
-_RAW = "part int, seq int, part_token long, n_tokens long, doc_ids array<long>, doc_lens array<long>, ids binary"
+_RAW = "part int, seq int, part_token long, n_tokens long, doc_ids array<long>, doc_lens array<long>, width int, ids binary"
 #: The number of a task's last row, which holds how often it has written each id.
 COUNTS = -1
 _LONGS = pa.list_(pa.int64())
-_RAW_ARROW = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("part_token", pa.int64()), ("n_tokens", pa.int64()), ("doc_ids", _LONGS), ("doc_lens", _LONGS), ("ids", pa.binary())])
+_RAW_ARROW = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("part_token", pa.int64()), ("n_tokens", pa.int64()), ("doc_ids", _LONGS), ("doc_lens", _LONGS), ("width", pa.int32()), ("ids", pa.binary())])
 
 
 def _tokenized(file: str, end_id: int, block_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(file)
+        kind = np.dtype("<u2" if max(enc.vocab_size, end_id + 1) <= 1 << 16 else "<u4")
         part, seq, before = TaskContext.get().partitionId(), 0, 0
         waiting: list[tuple[list[int | None], np.ndarray, np.ndarray]] = []
 
@@ -147,7 +148,7 @@ def _tokenized(file: str, end_id: int, block_tokens: int):
             nonlocal seq, before
             docs = [d for own, _, _ in waiting for d in own]
             lengths, ids = (np.concatenate([w[k] for w in waiting]) for k in (1, 2))
-            row = {"part": [part], "seq": [seq], "part_token": [before], "n_tokens": [len(ids)], "doc_ids": [docs], "doc_lens": [lengths], "ids": [ids.astype("<u4").tobytes()]}
+            row = {"part": [part], "seq": [seq], "part_token": [before], "n_tokens": [len(ids)], "doc_ids": [docs], "doc_lens": [lengths], "width": [kind.itemsize], "ids": [ids.tobytes()]}
             seq, before = seq + 1, before + len(ids)
             waiting.clear()
             return pa.RecordBatch.from_pydict(row, schema=_RAW_ARROW)
@@ -165,7 +166,7 @@ def _tokenized(file: str, end_id: int, block_tokens: int):
                     upto = int(np.searchsorted(ends, block_tokens - n + (ends[done - 1] if done else 0))) + 1
                     upto = min(upto, b - a)
                     first = int(ends[done - 1]) if done else 0
-                    waiting.append((docs[a + done : a + upto], lengths[done:upto], ids[first : ends[upto - 1]]))
+                    waiting.append((docs[a + done : a + upto], lengths[done:upto], ids[first : ends[upto - 1]].astype(kind)))
                     n += int(ends[upto - 1]) - first
                     done = upto
                     if n >= block_tokens:
@@ -173,10 +174,10 @@ def _tokenized(file: str, end_id: int, block_tokens: int):
                         n = 0
         if waiting:
             yield block()
-        counts = {"part": [part], "seq": [COUNTS], "part_token": [before], "n_tokens": [0], "doc_ids": [None], "doc_lens": [None], "ids": [seen.astype("<i8").tobytes()]}
+        counts = {"part": [part], "seq": [COUNTS], "part_token": [before], "n_tokens": [0], "doc_ids": [None], "doc_lens": [None], "width": [8], "ids": [seen.astype("<i8").tobytes()]}
         yield pa.RecordBatch.from_pydict(counts, schema=_RAW_ARROW)
 
-    return run
+    return giving_back(run)
 
 
 def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -200,7 +201,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = BYTE_BPE, end_id:
     spark = docs.sparkSession
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(*order).sortWithinPartitions(*order, "text")
-    every = stored(dealt.mapInArrow(_tokenized(tokenizer, end_id, block_tokens), _RAW), "ids")
+    every = stored(dealt.mapInArrow(_tokenized(tokenizer, end_id, block_tokens), _RAW), "ids", "none")
     raw = every.filter(F.col("seq") != COUNTS)
     counts = every.filter(F.col("seq") == COUNTS).select("ids").mapInPandas(_counted, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     freq = scaled({r["token"]: r["n"] for r in counts.collect()})
@@ -214,9 +215,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = BYTE_BPE, end_id:
         for pdf in batches:
             for i in range(len(pdf)):
                 row = pdf.iloc[i : i + 1]
-                yield row.drop(columns="ids").assign(data=[encode_block(np.frombuffer(row["ids"].iloc[0], "<u4"), shared)])
+                ids = np.frombuffer(row["ids"].iloc[0], f"<u{row['width'].iloc[0]}")
+                yield row.drop(columns=["ids", "width"]).assign(data=[encode_block(ids, shared)])
 
-    raw.mapInPandas(encoded, _RAW.replace("ids binary", "data binary")).write.parquet(f"{path}/blocks")
+    raw.mapInPandas(giving_back(encoded), _RAW.replace("width int, ids binary", "data binary")).write.parquet(f"{path}/blocks")
 
 
 def _shared(spark: SparkSession, path: str) -> tuple[np.ndarray, np.ndarray]:
@@ -245,7 +247,7 @@ def read_documents(spark: SparkSession, path: str, with_ids: bool = False) -> Da
                 out = pd.DataFrame({"doc_id": pd.array(docs, "Int64"), "start": first + starts, "n_tokens": lens, "ids_crc32": [zlib.crc32(x.tobytes()) for x in each]})
                 yield out.assign(ids=each) if with_ids else out
 
-    return _blocks(spark, path).select("first_token", "doc_ids", "doc_lens", "data").mapInPandas(decoded, schema)
+    return _blocks(spark, path).select("first_token", "doc_ids", "doc_lens", "data").mapInPandas(giving_back(decoded), schema)
 
 
 def read_range(spark: SparkSession, path: str, start: int, length: int) -> DataFrame:
