@@ -24,6 +24,8 @@ from .common import crc_mod4, stored, table
 DIMENSIONS = 4096
 #: Documents of a language to fit on, at most.
 SAMPLE = 600
+#: Samples of a language that a bound on the hash lets pass, about.
+SPARE = 4
 #: Ids of the sample are broadcast up to so many, by its bound.
 BROADCAST_ROWS = 100_000
 #: Families of ISO 639-1 codes; any other code is a family of its own.
@@ -118,13 +120,34 @@ class Model:
         return best, least[np.arange(n), best]
 
 
+def _least(seen: DataFrame, counts: dict[str, int], sample: int) -> DataFrame:
+    """Rows of seen(doc_id, lang, _hash) that surely hold each language's ``sample`` least hashes, most other rows left out.
+
+    A bound on the hash lets about SPARE samples of a language pass. It holds only for languages of which enough rows do
+    pass (repeated ids share a hash); the others keep all their rows.
+    """
+    bounds = {x: int((SPARE * sample / n - 0.5) * 2.0**64) for x, n in counts.items() if n > 2 * SPARE * sample}
+    if not bounds:
+        return seen
+
+    def passing(bounds: dict[str, int]) -> DataFrame:
+        bound = F.create_map(*[F.lit(x) for item in bounds.items() for x in item])[F.col("lang")]
+        return seen.filter(bound.isNull() | (F.col("_hash") < bound))
+
+    passed = passing(bounds).groupBy("lang").count().filter(F.col("count") >= sample).collect()
+    sure = {r["lang"]: bounds[r["lang"]] for r in passed if r["lang"] in bounds}
+    return passing(sure) if sure else seen
+
+
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on documents(doc_id, text, lang); the sample's features, not its texts, are dealt to the pairs' tasks."""
     spark = docs.sparkSession
-    seen = docs.select("doc_id", "lang").filter(F.col("lang").isNotNull())
-    langs = sorted(r["lang"] for r in seen.select("lang").distinct().collect())
-    first = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(3), "doc_id"), "doc_id")
-    chosen = seen.withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= sample).select("doc_id", "lang").distinct()
+    seen = docs.select("doc_id", "lang").filter(F.col("lang").isNotNull()).withColumn("_hash", F.xxhash64(F.lit(3), "doc_id"))
+    counts = {r["lang"]: r["count"] for r in seen.groupBy("lang").count().collect()}
+    langs = sorted(counts)
+    first = Window.partitionBy("lang").orderBy("_hash", "doc_id")
+    few = _least(seen, counts, sample)
+    chosen = few.withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= sample).select("doc_id", "lang").distinct()
     if sample * len(langs) <= BROADCAST_ROWS:
         chosen = F.broadcast(chosen)
     picked = docs.filter(F.col("lang").isNotNull()).join(chosen, ["doc_id", "lang"]).select("lang", "text")
