@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import giving_back, stored, table
-from .tokens import as_binary, encoder, with_end
+from .tokens import as_binary, encoder, merged, with_end
 
 WORD_BPE = "word_bpe_49k.json"
 LENGTH = 4096
@@ -101,7 +101,7 @@ def _tokenized(file: str, end_id: int):
         enc = encoder(file)
         kind = np.dtype("<u2" if max(enc.vocab_size, end_id + 1) <= 1 << 16 else "<u4")
         part, before = TaskContext.get().partitionId(), defaultdict(int)
-        for batch in batches:
+        for batch in merged(batches):
             docs, sources = batch.column("doc_id"), batch.column("source").to_pylist()
             for a, b, ids, lengths in enc.chunks(batch.column("text")):
                 ids, lengths = with_end(ids, lengths, end_id)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import giving_back, scratch_path, stored, table
-from .tokens import encoder, with_end
+from .tokens import encoder, merged, with_end
 
 BYTE_BPE = "byte_bpe_50k.json"
 SCALE_BITS = 20
@@ -154,7 +154,7 @@ def _tokenized(file: str, end_id: int, block_tokens: int):
             return pa.RecordBatch.from_pydict(row, schema=_RAW_ARROW)
 
         n, seen = 0, np.zeros(enc.vocab_size + 1, np.int64)
-        for batch in batches:
+        for batch in merged(batches):
             docs = batch.column("doc_id").to_pylist()
             for a, b, ids, lengths in enc.chunks(batch.column("text")):
                 ids, lengths = with_end(ids, lengths, end_id)

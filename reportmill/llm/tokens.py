@@ -27,7 +27,19 @@ REMEMBERED = 300_000
 #: Strings that the library gets at once: what it gives back is many times their size.
 AT_ONCE = 4096
 #: Bytes of text that are encoded at once, about.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 4 << 20
+
+
+def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of CHUNK_BYTES about, as each look into a memory of words costs its whole size."""
+    waiting: list[pa.RecordBatch] = []
+    for batch in batches:
+        waiting.append(batch)
+        if sum(b.nbytes for b in waiting) >= CHUNK_BYTES:
+            yield from pa.Table.from_batches(waiting).combine_chunks().to_batches()
+            waiting = []
+    if waiting:
+        yield from pa.Table.from_batches(waiting).combine_chunks().to_batches()
 
 
 def joined_ranges(pool: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
