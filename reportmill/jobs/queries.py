@@ -602,12 +602,12 @@ def _pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = V.candidates(spark, sf_dir)
     used = V.reports(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id"), "doc_id", "left_semi")
     free = S.without_used(c.filter(F.col("tokens") <= S.ROOM), used, S.eval_projects(c, 0.3, SEED))
-    return free.select("id", "tracker", rules.likely_missing(F.col("summary"), F.col("description")).alias("missing"))
+    return free.select("id", "tracker", rules.likely_missing(F.col("summary"), F.col("description")).alias("missing"), F.col("summary").rlike(rules.TASK_START).alias("task"))
 
 
 @query()
 def w8_top_up(spark, sf_dir):
-    return S.top_up(_pool(spark, sf_dir), (40, 20, 20, 30), SEED).select("id", "part")
+    return S.top_up(_pool(spark, sf_dir), (40, 20, 20, 30), SEED, F.col("task")).select("id", "part")
 
 
 @query()
