@@ -188,7 +188,7 @@ def predicted(model: Model, text: Column) -> Column:
             out.append(pd.DataFrame({"lang_pred": np.where(none, "und", np.array(lang, object)), "score": np.where(none, 0.0, score)}))
         return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"lang_pred": [], "score": []})
 
-    return predict(text)
+    return predict.asNondeterministic()(text)  # else a filter on the prediction works it out a second time
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
