@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from .chat import op8_reply_trees
 from .language import op7_language_id
+from .lexical import ORACLE as LEXICAL
+from .lexical import op13_lexical_search
 from .media import op10_gif_media
 from .mixing import op1_cube_mix
 from .near_dup import op9_circulant_minhash
@@ -24,6 +26,7 @@ QUERIES = {
     "op8_reply_trees": op8_reply_trees,
     "op9_circulant_minhash": op9_circulant_minhash,
     "op10_gif_media": op10_gif_media,
+    "op13_lexical_search": op13_lexical_search,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op13_lexical_search": LEXICAL}
