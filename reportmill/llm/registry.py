@@ -11,6 +11,7 @@ from .mixing import op1_cube_mix
 from .near_dup import op9_circulant_minhash
 from .neighbours import op4_cross_polytope_ann
 from .packing import op5_mixture_packing
+from .repeats import op11_radix_repeats
 from .secrets import op6_secret_randomness
 from .token_store import op2_rans_tokens
 from .toxicity import op3_toxicity_knn
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_reply_trees": op8_reply_trees,
     "op9_circulant_minhash": op9_circulant_minhash,
     "op10_gif_media": op10_gif_media,
+    "op11_radix_repeats": op11_radix_repeats,
     "op13_lexical_search": op13_lexical_search,
 }
 
