@@ -13,6 +13,7 @@ from .neighbours import op4_cross_polytope_ann
 from .packing import op5_mixture_packing
 from .repeats import op11_radix_repeats
 from .secrets import op6_secret_randomness
+from .spelling import op12_spelling_variants
 from .token_store import op2_rans_tokens
 from .toxicity import op3_toxicity_knn
 
@@ -28,6 +29,7 @@ QUERIES = {
     "op9_circulant_minhash": op9_circulant_minhash,
     "op10_gif_media": op10_gif_media,
     "op11_radix_repeats": op11_radix_repeats,
+    "op12_spelling_variants": op12_spelling_variants,
     "op13_lexical_search": op13_lexical_search,
 }
 
