@@ -50,9 +50,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a folder of our own only where none is named, as in local tests."""
+    """The cluster's shared folder; a folder of our own only on a local master where none is named, as in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.conf.get("spark.master", "").startswith("local[") and spark.conf.get("spark.master", "") != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="reportmill-")
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
@@ -80,6 +82,21 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def column(name: str) -> Column:
+    """The column of just this name, whatever characters are in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def packed(docs: DataFrame, *leave: str) -> Column:
+    """All columns but those left out, as one struct: no column of a job's own can clash with what is inside."""
+    return F.struct(*[column(c) for c in docs.columns if c not in leave])
+
+
+def unpacked(row: str, names: list[str], **instead: Column) -> list[Column]:
+    """The columns again, some given anew."""
+    return [(instead[c] if c in instead else F.col(row).getField(c)).alias(c) for c in names]
+
+
 def n_words(text: Column | str) -> Column:
     """Words in the text, 0 for null."""
     c = F.col(text) if isinstance(text, str) else text

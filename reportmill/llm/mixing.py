@@ -15,12 +15,13 @@ drawn one by one. An empty table gives an empty mix. Other columns are kept by `
 from __future__ import annotations
 
 import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import n_words, stored, table
+from .common import n_words, packed, stored, table, unpacked
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -170,17 +171,17 @@ def mixed(docs: DataFrame, seed: int = SEED, **how) -> DataFrame:
     before they meet, and a count takes its part of the total in the order of a hash of all columns.
     """
     none = F.lit(-(1 << 63)).cast("long")
-    keys = [F.coalesce("doc_id", none).alias("_id"), F.col("key").alias("_key")]
-    picked = stored(mix(docs, seed=seed, **how).groupBy(*keys).agg(F.sum("times").alias("_all"), F.count("*").alias("_rows")).filter("_all > 0"), "mix-picked")
-    own = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), none), "_key": _row_key(seed)})
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    once = own.join(picked.filter("_rows = 1"), ["_id", "_key"]).select(*names, F.col("_all").alias("_times"))
-    again = own.join(picked.filter("_rows > 1"), ["_id", "_key"]).groupBy(*names, "_id", "_key", "_all", "_rows").agg(F.count("*").alias("_same"))
-    upto = F.sum("_same").over(Window.partitionBy("_id", "_key").orderBy(F.xxhash64(*names)).rowsBetween(Window.unboundedPreceding, 0))
-    part = lambda rows: F.expr(f"_all * ({rows}) div _rows")
-    dealt = again.withColumn("_upto", upto).select(*names, (part("_upto") - part("_upto - _same")).alias("_times"))
+    keys = [F.coalesce("doc_id", none).alias("id"), "key"]
+    picked = stored(mix(docs, seed=seed, **how).groupBy(*keys).agg(F.sum("times").alias("all"), F.count("*").alias("rows")).filter("all > 0"), "mix-picked")
+    own = docs.select(packed(docs).alias("row"), F.coalesce(F.col("doc_id").cast("long"), none).alias("id"), _row_key(seed).alias("key"))
+    once = own.join(picked.filter("rows = 1"), ["id", "key"]).select("row", F.col("all").alias("times"))
+    again = own.join(picked.filter("rows > 1"), ["id", "key"]).withColumn("hash", F.sha2(F.to_json("row"), 256))
+    counted = again.groupBy("id", "key", "all", "rows", "hash").agg(F.count("*").alias("same"), F.first("row").alias("row"))
+    upto = F.sum("same").over(Window.partitionBy("id", "key").orderBy("hash").rowsBetween(Window.unboundedPreceding, 0))
+    part = lambda rows: F.call_function("div", F.col("all") * rows, F.col("rows"))
+    dealt = counted.withColumn("upto", upto).select("row", (part(F.col("upto")) - part(F.col("upto") - F.col("same"))).alias("times"))
     every = once.unionByName(dealt)
-    return every.withColumn("_time", F.explode(F.array_repeat(F.lit(1), F.col("_times").cast("int")))).select(*names)
+    return every.select("row", F.explode(F.array_repeat(F.lit(1), F.col("times").cast("int")))).select(*unpacked("row", docs.columns))
 
 
 def op1_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, giving_back, stored, table
+from .common import checkpointed, column, giving_back, packed, stored, table, unpacked
 
 BANDS, ROWS = 60, 7
 #: Members of a block of a bucket, and their shingles, about: whichever is reached first.
@@ -338,28 +338,29 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
 def deduplicated(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """One document of each group stays: that of the smallest doc_id, once. Rows without an id or words stay.
 
-    Where one doc_id has several texts, each is a document of its own; of near copies with one doc_id one stays.
+    Where one doc_id has several texts, each is a document of its own; of near copies with one doc_id one stays. Of rows
+    equal in doc_id and text that stays whose other columns have the least hash. Other columns may have any name.
     """
-    key, row = F.col("doc_id").cast("long"), F.xxhash64("text")
-    texts = docs.filter(key.isNotNull()).select(key.alias("_id"), row.alias("_row")).distinct()
-    if texts.groupBy("_id").count().filter("count > 1").isEmpty():
-        return _deduplicated(docs, size, percent)
-    own = stored(texts.orderBy("_id", "_row").withColumn("_n", F.monotonically_increasing_id()), "texts-of-ids")
-    numbered = docs.join(own, (key == F.col("_id")) & (row == F.col("_row")), "left").withColumnsRenamed({"doc_id": "_doc_id", "_n": "doc_id"}).drop("_id", "_row")
-    left = _deduplicated(stored(numbered, "numbered"), size, percent).drop("doc_id").withColumnRenamed("_doc_id", "doc_id")
-    return left.select(*[F.col(f"`{c}`") for c in docs.columns])
-
-
-def _deduplicated(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The same for doc_ids of one text each."""
-    found = stored(near_duplicates(docs, size, percent), "near-duplicates")
-    key = F.col("doc_id").cast("long")
-    left = docs.join(found.filter("doc_id is not null and not kept").select(F.col("doc_id").alias("_gone")).distinct(), key == F.col("_gone"), "left_anti")
-    twice = found.filter("kept and digest is not null").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_twice"))
+    names = docs.columns
+    rows = docs.select(column("doc_id").cast("long").alias("doc_id"), column("text").alias("text"), packed(docs, "text").alias("row"))
+    texts = rows.filter("doc_id is not null").select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash")).distinct()
+    if not texts.groupBy("id").count().filter("count > 1").isEmpty():  # each text gets a number in place of its doc_id
+        own = stored(texts.orderBy("id", "hash").withColumn("n", F.monotonically_increasing_id()), "texts-of-ids")
+        numbered = rows.join(own, (F.col("doc_id") == F.col("id")) & (F.xxhash64("text") == F.col("hash")), "left")
+        rows = stored(numbered.select(F.col("n").alias("doc_id"), "text", "row"), "numbered")
+    return _deduplicated(rows, size, percent).select(*unpacked("row", names, text=F.col("text")))
+
+
+def _deduplicated(rows: DataFrame, size: int, percent: int) -> DataFrame:
+    """The same for rows(doc_id, text, row) of doc_ids with one text each."""
+    found = stored(near_duplicates(rows, size, percent), "near-duplicates")
+    gone = found.filter("doc_id is not null and not kept").select("doc_id").distinct()
+    left = rows.join(gone, "doc_id", "left_anti")
+    twice = found.filter("kept and digest is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
     if twice.isEmpty():
         return left
-    again = left.join(twice, key == F.col("_twice"), "left_semi").dropDuplicates(["doc_id", "text"])
-    return left.join(twice, key == F.col("_twice"), "left_anti").unionByName(again)
+    again = left.join(twice, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min_by("row", F.sha2(F.to_json("row"), 256)).alias("row"))
+    return left.join(twice, "doc_id", "left_anti").unionByName(again)
 
 
 def op9_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,8 +8,10 @@ last of these), so equal windows have equal anchors at equal places. Read so, ne
 pass 1, the first digit is the string at the anchor: one row stands for the run of windows that share it (about
 (depth - gram) / 2 of them); groups of one leave here, with all their windows.
 pass 2, the next digit is the rest of what such a run covers: in a group of several runs all windows repeat.
-pass 3, the rest of each window, for one run of each group of pass 2 and only where a first digit has several: groups of
-several windows repeat; a run that was alone in pass 2 gets its windows marked.
+pass 3, for one run of each group of pass 2 and only where a first digit has several: the digit is what STEP neighbouring
+windows have in common, all but STEP - 1 of their bytes.
+pass 4, the rest of each window that is left: groups of several windows repeat; a run that was alone in pass 2 gets its
+windows marked.
 
 Digits are compared by hashes, 64 bits each of two independent functions, so that windows meet by 128 bits and place. Hot
 groups are counted before they are shuffled; texts meet runs and spans by (doc_id, hash of the text), in joins that Spark
@@ -32,6 +34,8 @@ from pyspark.sql import functions as F
 from .common import giving_back, stored, table
 
 DEPTH, GRAM = 400, 200
+#: Neighbouring places of windows in a run that one digit of pass 3 stands for.
+STEP = 25
 #: Window starts of a chunk; with the depth below 2**PLACE.
 CHUNK, PLACE = 1 << 18, 20
 _LOW = np.uint64((1 << PLACE) - 1)
@@ -120,28 +124,71 @@ def _runs(depth: int, gram: int):
     return giving_back(run)
 
 
+def _contexts(depth: int):
+    """Texts with their open runs -> the runs, each with the bytes that its windows cover."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            runs_ = batch.column("runs")
+            of = np.repeat(np.arange(len(runs_)), runs_.value_lengths().to_numpy())
+            flat = runs_.flatten()
+            texts = batch.column("text").to_pylist()
+            first, size = (flat.field(c).to_numpy() for c in ("first", "size"))
+            covered = [texts[t][f : f + n - 1 + depth] for t, f, n in zip(of, first.tolist(), size.tolist(), strict=True)]
+            where = [batch.column(c).take(pa.array(of)) for c in ("doc_id", "own")]
+            yield pa.RecordBatch.from_arrays([*where, *(flat.field(c) for c in ("digit", "lead", "size", "first", "alone")), pa.array(covered, pa.binary())], ["doc_id", "own", "digit", "lead", "size", "first", "alone", "covered"])
+
+    return giving_back(run)
+
+
+def _rest(sums: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """By the module's own table of powers: functions that are sent to workers would bring a copy of it along."""
+    return SECOND.of(sums, begin, end)
+
+
+def _strings(covered: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix sums over a column of bytes, and where each row begins in it."""
+    sizes = np.array([len(x) for x in covered.to_pylist()], np.int64)
+    return SECOND.sums(np.frombuffer(b"".join(covered.to_pylist()), np.uint8)), np.cumsum(sizes) - sizes
+
+
+def _shared_parts(depth: int):
+    """Open runs -> a row for each class of STEP neighbouring places: what all its windows have in common."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lead, size = (batch.column(c).to_numpy().astype(np.int64) for c in ("lead", "size"))
+            low, high = (lead - size + 1) // STEP, lead // STEP
+            of = np.repeat(np.arange(len(lead)), high - low + 1)
+            part = np.arange(len(of)) - np.repeat(np.cumsum(high - low + 1) - (high - low + 1), high - low + 1) + low[of]
+            sums, start = _strings(batch.column("covered"))
+            begin = start[of] + lead[of] - part * STEP
+            rest = _rest(sums, begin, begin - STEP + 1 + depth)
+            yield pa.RecordBatch.from_arrays([batch.column("run").take(pa.array(of)), batch.column("digit").take(pa.array(of)), pa.array(part.astype(np.int32)), pa.array(rest.view(np.int64))], ["run", "digit", "part", "rest"])
+
+    return giving_back(run)
+
+
 def _windows(depth: int):
-    """Texts with their open runs -> a row a window: first digit, the rest's hash, and where it is (null: nobody asks)."""
+    """Open runs with their classes that are left -> a row a window: first digit, the rest's hash, and where it is (null: nobody asks)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text, doc_id, own, open_ in zip(*(batch.column(c) for c in ("text", "doc_id", "own", "runs")), strict=True):
-                raw = np.frombuffer(text.as_py(), np.uint8)
-                digit, lead, size, first, alone = (open_.values.field(c).to_numpy(zero_copy_only=False) for c in ("digit", "lead", "size", "first", "alone"))
-                for begin, count in _chunks(len(raw), depth):
-                    here = (first >= begin) & (first < begin + count)
-                    if not here.any():
-                        continue
-                    n = size[here]
-                    nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    at = np.repeat(first[here], n) + nth
-                    rest = SECOND.of(SECOND.sums(raw[begin : begin + count + depth - 1]), at - begin, at - begin + depth)
-                    place = (np.repeat(lead[here], n) - nth).astype(np.uint64)
-                    asked = np.repeat(alone[here], n)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.repeat(digit[here], n)), pa.array(_mixed(rest + place * _U64(0x9E3779B97F4A7C15)).view(np.int64)), pa.array([doc_id.as_py()] * len(at), pa.int64()), pa.array([own.as_py()] * len(at), pa.int64()), pa.array(at, mask=~asked)],
-                        ["digit", "rest", "doc_id", "own", "first"],
-                    )
+            lead, size = (batch.column(c).to_numpy().astype(np.int64) for c in ("lead", "size"))
+            parts = batch.column("parts")
+            of = np.repeat(np.arange(len(lead)), parts.value_lengths().to_numpy())
+            low = parts.flatten().to_numpy().astype(np.int64) * STEP
+            place = (low[:, None] + np.arange(STEP)).ravel()
+            of = np.repeat(of, STEP)
+            there = (place <= lead[of]) & (place > lead[of] - size[of])
+            of, place = of[there], place[there]
+            sums, start = _strings(batch.column("covered"))
+            begin = start[of] + lead[of] - place
+            rest = _mixed(_rest(sums, begin, begin + depth) + place.astype(np.uint64) * _U64(0x9E3779B97F4A7C15))
+            at = batch.column("first").to_numpy()[of] + lead[of] - place
+            asked = batch.column("alone").to_numpy(zero_copy_only=False)[of]
+            own = [batch.column(c).take(pa.array(of)) for c in ("digit", "doc_id", "own")]
+            yield pa.RecordBatch.from_arrays([own[0], pa.array(rest.view(np.int64)), *own[1:], pa.array(at, mask=~asked)], ["digit", "rest", "doc_id", "own", "first"])
 
     return giving_back(run)
 
@@ -184,15 +231,20 @@ def repeated(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> DataFrame
     texts = _texts(docs)
     every = texts.filter(F.octet_length("text") >= depth).mapInArrow(_runs(depth, gram), "doc_id long, own long, digit long, lead long, size long, rest long, first long")
     every = stored(every.withColumns({"lead": F.col("lead").cast("int"), "size": F.col("size").cast("int")}), "runs")
+    twice = lambda df, *key: df.groupBy(*key).count().filter("count > 1").select(*key)
+    shared = stored(every.join(twice(every, "digit"), "digit", "left_semi"), "shared")
     of = ["digit", "lead", "size", "rest"]
-    groups = stored(every.groupBy(*of).agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("doc_id", "own", "first")]), "groups")
-    whole = every.select("doc_id", "own", "first", *of).join(groups.filter("n > 1").select(*of), of, "left_semi").select("doc_id", "own", "first", "size")
-    several = groups.groupBy("digit").count().filter("count > 1").select("digit")
-    open_ = groups.join(several, "digit", "left_semi").select("doc_id", "own", F.struct("digit", "lead", "size", "first", (F.col("n") == 1).alias("alone")).alias("run"))
-    windows = _at_texts(texts, open_.groupBy("doc_id", "own").agg(F.collect_list("run").alias("runs")), "inner").dropDuplicates(["doc_id", "own"]).mapInArrow(_windows(depth), "digit long, rest long, doc_id long, own long, first long")
-    windows = stored(windows, "windows")
-    again = windows.groupBy("digit", "rest").count().filter("count > 1").select("digit", "rest")
-    single = windows.filter("first is not null").join(again, ["digit", "rest"], "left_semi").select("doc_id", "own", "first", F.lit(1).alias("size"))
+    groups = stored(shared.groupBy(*of).agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("doc_id", "own", "first")]), "groups")
+    whole = shared.join(groups.filter("n > 1").select(*of), of, "left_semi").select("doc_id", "own", "first", "size")
+    open_ = groups.join(twice(groups, "digit"), "digit", "left_semi").select("doc_id", "own", F.struct("digit", "lead", "size", "first", (F.col("n") == 1).alias("alone")).alias("run"))
+    lists = _at_texts(texts, open_.groupBy("doc_id", "own").agg(F.collect_list("run").alias("runs")), "inner").dropDuplicates(["doc_id", "own"])
+    covered = lists.mapInArrow(_contexts(depth), "doc_id long, own long, digit long, lead int, size int, first long, alone boolean, covered binary")
+    covered = stored(covered.select(F.monotonically_increasing_id().alias("run"), "*"), "covered")
+    parts = stored(covered.select("run", "digit", "lead", "size", "covered").mapInArrow(_shared_parts(depth), "run long, digit long, part int, rest long"), "parts")
+    key = ["digit", "part", "rest"]
+    left = parts.join(twice(parts, *key), key, "left_semi").groupBy("run").agg(F.collect_list("part").alias("parts"))
+    windows = stored(covered.join(left, "run").mapInArrow(_windows(depth), "digit long, rest long, doc_id long, own long, first long"), "windows")
+    single = windows.filter("first is not null").join(twice(windows, "digit", "rest"), ["digit", "rest"], "left_semi").select("doc_id", "own", "first", F.lit(1).alias("size"))
     return whole.unionByName(single)
 
 

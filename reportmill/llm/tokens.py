@@ -3,7 +3,8 @@
 A public BPE tokenizer cuts a text into pre-tokens before it merges, and merges never cross them. A text is cut here at
 places that are such borders for certain, and the library encodes each distinct part once while a worker remembers it.
 Texts in which a border is in doubt (control characters that Python and the library class differently, strings of special
-tokens) are encoded whole. Words are made distinct, looked up and laid side by side for many texts at once, as arrays.
+tokens) are encoded whole, up to CHUNK_BYTES; a longer text is first cut into pieces between words of ASCII letters, so that
+memory grows with its ids alone. Words are made distinct, looked up and laid side by side for many texts at once, as arrays.
 """
 
 from __future__ import annotations
@@ -28,6 +29,10 @@ REMEMBERED = 300_000
 AT_ONCE = 4096
 #: Bytes of text that are encoded at once, about.
 CHUNK_BYTES = 4 << 20
+#: Characters of a piece of a text that is longer than that.
+PIECE = 1 << 20
+#: A border of pre-tokens in every tokenizer: a blank between ASCII letters, which belongs to the word after it or to none.
+_BORDER = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
 
 
 def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,14 +179,31 @@ class Encoder:
         self.parts.trim()
         return Ragged(pool, lengths).take(order.ravel(), np.full(len(texts), 2))
 
+    def _long(self, text: str) -> np.ndarray:
+        """The ids of one long text, cut at sure borders, so that only its ids are held whole; without a border it is one piece."""
+        out, begin = [], 0
+        while begin < len(text):
+            border = _BORDER.search(text, min(len(text), begin + PIECE))
+            end = border.start() if border else len(text)
+            out.append(self._chunk(pa.array([text[begin:end]], pa.string())).pool)
+            begin = end
+        return np.concatenate(out)
+
     def chunks(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(first, last, ids, lengths) of the texts first to last, a bounded number of bytes at once; null is empty."""
         texts = pc.fill_null(texts.cast(pa.string()), "")
-        done = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64)) // CHUNK_BYTES
-        cuts = [0, *(np.flatnonzero(np.diff(done)) + 1).tolist(), len(texts)] if len(texts) else [0]
+        size = pc.binary_length(texts).to_numpy().astype(np.int64)
+        group = np.cumsum(size) // CHUNK_BYTES
+        long = size > CHUNK_BYTES
+        new = (np.diff(group) > 0) | long[1:] | long[:-1]
+        cuts = [0, *(np.flatnonzero(new) + 1).tolist(), len(texts)] if len(texts) else [0]
         for a, b in zip(cuts, cuts[1:], strict=False):
-            got = self._chunk(texts.slice(a, b - a))
-            yield a, b, got.pool, got.lengths
+            if long[a]:
+                ids = self._long(texts[a].as_py())
+                yield a, b, ids, np.array([len(ids)])
+            else:
+                got = self._chunk(texts.slice(a, b - a))
+                yield a, b, got.pool, got.lengths
 
     def encode_many(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""

@@ -47,3 +47,33 @@ def test_stages(spark, corpus):
     pieces = C.run(spark, path)
     whole = pieces.filter("start = 0").groupBy("doc_id").agg(F.count("*").alias("n")).collect()
     assert {r.doc_id: r.n for r in whole} == dict(times)
+
+
+CLASHES = ("_gone", "_lang", "_id", "_key", "_times", "_all", "_rows", "_same", "_upto", "_twice", "_row", "_n", "_doc_id", "row", "id", "key", "times", "all", "hash", "same", "base", "spans", "a.b", "lang_pred", "score", "n")
+
+
+def test_columns_of_any_name_pass_through_every_stage(spark, corpus):
+    path, _ = corpus
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    docs = docs.unionByName(docs.filter("doc_id < 6")).unionByName(docs.filter("doc_id in (7, 8)").withColumn("doc_id", F.lit(None).cast("long")))
+    docs = docs.withColumns({c: F.concat(F.lit(f"{c}:"), F.coalesce(F.col("doc_id"), F.lit(-1)).cast("string")) for c in CLASHES}).withColumn("more", F.create_map(F.lit("k"), F.col("doc_id")))
+    for _name, stage in C.STAGES[:4]:
+        docs = stage(spark, docs, path).persist()
+        assert docs.columns[5:] == [*CLASHES, "more"]
+        rows = docs.collect()
+        assert rows and all(r[c] == f"{c}:{-1 if r.doc_id is None else r.doc_id}" for r in rows for c in CLASHES)
+    assert C.packing(spark, docs, path).count() > 0
+
+
+def test_one_of_equal_texts_stays_by_rule(spark):
+    rows = [(1, "five words are in here", f"t{i}") for i in range(6)]
+    seen = {tuple(r.tag for r in near_dup.deduplicated(spark.createDataFrame(x, "doc_id long, text string, tag string")).collect()) for x in (rows, rows[::-1], rows[3:] + rows[:3])}
+    assert len(seen) == 1 and len(seen.pop()) == 1
+
+
+def test_empty_table(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    for _name, stage in C.STAGES[:4]:
+        docs = stage(spark, docs, "")
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"] and docs.count() == 0
+    assert C.packing(spark, docs, "").count() == 0

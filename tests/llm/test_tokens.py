@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 
 from reportmill.llm import packing as P
 from reportmill.llm import token_store as S
+from reportmill.llm import tokens
 from reportmill.llm.tokens import Encoder
 
 TEXT = st.text(alphabet=st.sampled_from("abAZ .,'\n\t0129é\xa0ßő中😀́ΣςIİ<|>s-_²\x1c\r\x85"), max_size=40)
@@ -34,6 +35,20 @@ def test_edges(file, text):
     assert ENCODERS[file].encode_many([text, text]) == [library(ENCODERS[file], text)] * 2
 
 
+@pytest.mark.parametrize("file", ENCODERS)
+@settings(max_examples=60, deadline=None)
+@given(texts=st.lists(st.text(alphabet=st.sampled_from("abAZ  .,'\n0é\xa0中😀́<|>_\x1c\r"), max_size=80), max_size=4))
+def test_long_texts_are_cut_at_sure_borders(file, texts):
+    """With pieces of few characters, so that every cut is tried."""
+    e = ENCODERS[file]
+    whole = tokens.PIECE, tokens.CHUNK_BYTES
+    tokens.PIECE, tokens.CHUNK_BYTES = 3, 9
+    try:
+        assert e.encode_many(texts) == [library(e, t) for t in texts]
+    finally:
+        tokens.PIECE, tokens.CHUNK_BYTES = whole
+
+
 @pytest.mark.parametrize("n", [1, 5, 2047, 2048, 2049, 300_000])
 def test_block_round_trip_and_checkpoints(n):
     ids = (np.random.default_rng(n).zipf(1.3, n) % 5000).astype(np.uint32)
