@@ -4,8 +4,9 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes eac
 and gives the next stage what it reads back. All stages but the last return the columns of documents.
 
 Edges, at every stage: null, empty and blank texts go with the first stage; very long texts are read whole; null ids are kept
-apart from each other; rows repeated in doc_id and text are near copies, of which one stays; an empty table gives an empty
-result; further columns pass through all stages but the last, whatever their names.
+apart from each other; rows repeated in doc_id and text are near copies, of which one stays (that whose other columns have
+the least hash); an empty table gives an empty result; further columns pass through all stages but the last, whatever their
+names, also those that a stage uses for itself.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reportmill.llm.common import stored, table
+from reportmill.llm.common import column, packed, stored, table, unpacked
 from reportmill.llm.language import predicted, train
 from reportmill.llm.mixing import mixed
 from reportmill.llm.near_dup import deduplicated
@@ -26,8 +27,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     The machines learn from the documents' own lang; null and wrong ones are put right. Null and empty texts are ``und``.
     """
-    found = docs.withColumn("_lang", predicted(train(docs), F.col("text"))["lang_pred"]).filter(F.col("_lang") != "und")
-    return found.withColumn("lang", F.col("_lang")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    found = docs.select(packed(docs).alias("row"), predicted(train(docs), column("text"))["lang_pred"].alias("lang")).filter("lang <> 'und'")
+    return found.select(*unpacked("row", docs.columns, lang=F.col("lang")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
