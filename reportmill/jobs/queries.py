@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import cleanup, rules
@@ -736,14 +736,62 @@ def g3_refreshed(spark, sf_dir):
     return E.baseline(spark, path)
 
 
-@query()
+def _stub(text: Column) -> dict[str, Column]:
+    """Chances from the text's md5 alone, so that SQL has the same."""
+    return {c: S.u(c, text) for c in L.CHECKS}
+
+
+def _flow_sql(settings: D.Settings) -> str:
+    """states, verdicts and comments of issue_events by the stub; their texts hold no rule's subject but a blank description."""
+    fields = "'{\"summary\":' || to_json(summary) || ',\"description\":' || to_json(description) || ',\"state\":\"' || state || '\",\"settings\":\"" + str(settings).replace("'", "''") + "\"}'"
+    verdict = "CASE WHEN greatest({p}, 1 - {p}) < " + str(settings.threshold) + " THEN 'unsure' WHEN {p} >= 0.5 THEN 'present' ELSE 'missing' END"
+    said = {c: verdict.format(p=V.u_sql(c, "txt")) for c in L.CHECKS}
+    said["steps"] = f"CASE WHEN description = '' THEN 'missing' ELSE {said['steps']} END"
+    text = lambda x: "'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+    some = lambda cases: "list_filter([" + ", ".join(cases) + "], lambda x: x IS NOT NULL)"
+    missing = some([f"CASE WHEN {c} = 'missing' THEN {text(f'- **{D.NAMES[c]}**: {D.ADVICE[c]}')} END" for c in D.BLOCKERS])
+    unsure = some([f"CASE WHEN {c} = 'unsure' THEN '**{D.NAMES[c]}**' END" for c in D.BLOCKERS])
+    hints = some([f"CASE WHEN {c} = 'missing' THEN {text('- ' + t)} END" for c, t in D.HINTS.items()])
+    return f"""states AS (SELECT repo, number, ts, event_id, state, description, substr(sha256({fields}), 1, 16) AS fp, summary || chr(10) || description AS txt FROM issue_events WHERE is_bug AND state IS NOT NULL),
+  verdicts AS (SELECT *, {", ".join(f"{x} AS {c}" for c, x in said.items())} FROM states),
+  lists AS (SELECT *, {missing} AS lacks, {unsure} AS unclear, {hints} AS hints, {" AND ".join(f"{c} = 'present'" for c in D.BLOCKERS)} AS complete FROM verdicts),
+  flow AS (SELECT repo, number, ts, event_id, fp, complete, concat_ws(chr(10) || chr(10),
+    CASE WHEN len(lacks) > 0 THEN '**This report lacks:**' || chr(10) || chr(10) || array_to_string(lacks, chr(10)) WHEN len(unclear) > 0 THEN '**Parts of this report are unclear.**' ELSE '✅ **Nothing is lacking here.**' END,
+    CASE WHEN len(unclear) > 0 THEN 'Not sure about: ' || array_to_string(unclear, ', ') || '. Please check ' || CASE WHEN len(unclear) > 1 THEN 'them' ELSE 'it' END || ' yourself.' END,
+    CASE WHEN len(hints) > 0 THEN '<details>' || chr(10) || '<summary>Suggestions (' || len(hints) || ')</summary>' || chr(10) || chr(10) || array_to_string(hints, chr(10)) || chr(10) || chr(10) || '</details>' END,
+    '<sub>State at reading: ' || state || '.</sub>') AS comment FROM lists)"""
+
+
+QUIET = D.Settings(success_comment=False)
+
+
+@query(EV + f""", {_flow_sql(QUIET)}, h AS (SELECT *, coalesce(max((NOT complete)::INT) OVER (PARTITION BY repo, number ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS had, lag(fp) OVER (PARTITION BY repo, number ORDER BY ts, event_id) AS was FROM flow)
+  SELECT repo, number, event_id, fp, complete, CASE WHEN had = 0 AND complete THEN 'silent' WHEN had = 0 THEN 'created' WHEN fp = was THEN 'skipped' ELSE 'updated' END AS action, comment FROM h""")
 def t1_flow(spark, sf_dir):
-    """Events to actions and comments: the stub's answers are recorded once a fingerprint and replayed."""
-    events, settings = V.events(spark, sf_dir), D.Settings(success_comment=False)
-    states = C.states(events, settings)
-    scores = D.recorded(states, lambda text: {c: S.u(c, text) for c in L.CHECKS})
-    checked = C.flow(events, scores, settings)
-    return C.actions(checked).select("repo", "number", "event_id", "fp", "complete", "action", "comment")
+    """Events to actions and comments: the stub's answers are recorded once a state and replayed."""
+    events = V.events(spark, sf_dir)
+    scores = D.recorded(C.states(events, QUIET), _stub)
+    return C.actions(C.flow(events, scores, QUIET)).select("repo", "number", "event_id", "fp", "complete", "action", "comment")
+
+
+@query(EV + f", {_flow_sql(QUIET)} SELECT repo, number, arg_max(fp, (ts, event_id)) AS fp, arg_max(comment, (ts, event_id)) AS comment FROM flow GROUP BY repo, number HAVING bool_or(NOT complete)")
+def t1_t4_stream(spark, sf_dir):
+    """The comments that stand after all events came as a stream, in a few micro-batches and in no order of time."""
+    import uuid
+
+    from pyspark.errors import PySparkValueError
+
+    events, base = V.events(spark, sf_dir), spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        raise PySparkValueError("spark.checkpoint.dir must name a shared folder")
+    base = f"{base}/stream-{uuid.uuid4().hex}"
+    events.repartition(6, F.xxhash64("event_id")).write.parquet(f"{base}/events")
+    scores = D.recorded(C.states(events, QUIET), _stub)
+    incoming = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/events")
+    out = C.stream_flow(incoming, C.replay(scores), QUIET).writeStream.foreachBatch(C.upsert_comments(f"{base}/comments", 2))
+    run = out.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return C.current_comments(spark.read.parquet(f"{base}/comments")).select("repo", "number", "fp", "comment")
 
 
 @query(EV + "SELECT count(*) AS states, count(*) AS answered FROM issue_events WHERE is_bug AND state IS NOT NULL")

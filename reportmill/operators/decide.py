@@ -107,12 +107,16 @@ def recorded(states: DataFrame, score: Callable[[Column], dict[str, Column]]) ->
     return once.withColumns(answers).withColumn("windows", F.lit(1)).drop("_text")
 
 
-def replayed(states: DataFrame, scores: DataFrame) -> DataFrame:
-    """States with their recorded answers; a state that was never scored stops the job, by naming it."""
+def replayed(states: DataFrame, scores: DataFrame, asked: Column | None = None) -> DataFrame:
+    """States with their recorded answers; a state that was never scored stops the job, by naming it.
+
+    asked tells which rows need an answer; the others get none.
+    """
     answers = scores.withColumnRenamed("state", "_of")
-    known = states.withColumn("_state", state_key()).join(answers, F.col("_state") == F.col("_of"), "left")
+    key = state_key() if asked is None else F.when(asked, state_key())
+    known = states.withColumn("_state", key).join(answers, F.col("_state") == F.col("_of"), "left")
     wrong = F.concat(F.lit("no recorded answer for state "), F.col("_state"))
-    checked = F.when(F.col("_of").isNull(), F.raise_error(wrong).cast("int")).otherwise(F.col("windows"))
+    checked = F.when(F.col("_state").isNotNull() & F.col("_of").isNull(), F.raise_error(wrong).cast("int")).otherwise(F.col("windows"))
     return known.withColumn("windows", checked).drop("_state", "_of")
 
 

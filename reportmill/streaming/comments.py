@@ -1,15 +1,25 @@
-"""Issue events to one up-to-date comment an issue: keyed state on a stream, and the same over a table."""
+"""Issue events to one up-to-date comment an issue: keyed state on a stream, and the same over a table.
+
+A stream goes through two keyed states. The first knows the newest event's fingerprint of each issue and marks what changed,
+so that an unchanged report is neither scored nor decided again; the second knows the issue's comment and its newest event.
+Events may come in any order and any batches: what is newest goes by (ts, event_id), an old event that comes late never
+rewrites a newer comment, and one that would have created the comment creates it with the newest text. So the comments that
+stand at the end are those of the table form, whatever the batches were.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import cleanup
 from ..operators import decide as D
+from ..operators.labels import CHECKS
 
 KEY = ("repo", "number")
 
@@ -51,45 +61,209 @@ def actions(checked: DataFrame, success_comment: bool = False) -> DataFrame:
     return marked.withColumn("action", action).drop("_had", "_last")
 
 
-def _follow(success_comment: bool) -> Callable:
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        fp, has = state.get if state.exists else (None, False)
-        for pdf in frames:
-            out = []
-            for row in pdf.sort_values(["ts", "event_id"]).itertuples():
-                if has:
-                    action = "skipped" if row.fp == fp else "updated"
-                else:
-                    has = success_comment or not row.complete
-                    action = "created" if has else "silent"
-                fp = row.fp if has else fp
-                out.append((*key, row.ts, row.event_id, row.fp, row.complete, action))
-            state.update((fp, has))
-            yield pd.DataFrame(out, columns=[*KEY, "ts", "event_id", "fp", "complete", "action"])
+def comments_table(checked: DataFrame, success_comment: bool = False) -> DataFrame:
+    """T4 over a table of events (repo, number, ts, event_id, fp, complete, comment): the comment of each issue that has one.
+
+    It exists once an event creates it, and says what the newest event says.
+    """
+    creates = F.lit(True) if success_comment else ~F.col("complete")
+    newest = F.max_by(F.struct("ts", "event_id", "fp", "comment"), F.struct("ts", "event_id"))
+    each = checked.groupBy(*KEY).agg(F.max(creates).alias("has"), newest.alias("n"))
+    return each.filter("has").select(*KEY, "n.*")
+
+
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_ORDER = ["ts", "event_id"]
+
+
+def _keyed(df: DataFrame, processor: StatefulProcessor, schema: str) -> DataFrame:
+    """State variables need the store that keeps them on disk."""
+    df.sparkSession.conf.set(_STORE, _ROCKS)
+    return df.groupBy(*KEY).transformWithStateInPandas(processor, schema, "Append", "None")
+
+
+def _sorted(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    """An issue's events of one micro-batch, by time."""
+    return pd.concat(list(rows), ignore_index=True).sort_values(_ORDER, ignore_index=True)
+
+
+def _until(pdf: pd.DataFrame, ts, event_id) -> np.ndarray:
+    """Is a row not newer than that event?"""
+    return ((pdf["ts"] < ts) | (pdf["ts"] == ts) & (pdf["event_id"] <= event_id)).to_numpy(bool)
+
+
+class _Changes(StatefulProcessor):
+    """Marks events whose fingerprint is not that of the event before; a late one is held against the newest."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.newest = handle.getValueState("newest", "ts timestamp, event_id long, fp string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        pdf = _sorted(rows)
+        known = self.newest.get() if self.newest.exists() else None
+        before = pdf["fp"].shift()
+        if known is not None:
+            ts, event_id, fp = pd.Timestamp(known[0]), known[1], known[2]
+            late = _until(pdf, ts, event_id)
+            before = before.mask(late | ~np.concatenate([[False], ~late[:-1]]), fp)
+        if known is None or not late.all():
+            last = pdf.iloc[-1]
+            self.newest.update((last["ts"].to_pydatetime(), int(last["event_id"]), last["fp"]))
+        yield pdf.assign(changed=(pdf["fp"] != before).to_numpy(bool))
+
+    def close(self) -> None:
+        pass
+
+
+class _Actions(StatefulProcessor):
+    """What each event does to its issue's comment. State: the comment's id, and the newest event with its text."""
+
+    def __init__(self, success_comment: bool):
+        self.success_comment = success_comment
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.comment = handle.getValueState("comment", "id long")
+        self.newest = handle.getValueState("newest", "ts timestamp, event_id long, fp string, comment string")
 
-    return run
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        pdf = _sorted(rows)
+        known = self.newest.get() if self.newest.exists() else None
+        own = self.comment.get()[0] if self.comment.exists() else None
+        late = np.zeros(len(pdf), bool) if known is None else _until(pdf, pd.Timestamp(known[0]), known[1])
+        # what an event leaves as the newest: itself, or for late ones what was newest before; an unchanged one keeps the text
+        said = pdf[[*_ORDER, "fp"]].assign(comment=pdf["comment"].where(pdf["changed"]))
+        if known is not None:
+            said.loc[late, "ts"], said.loc[late, "event_id"] = pd.Timestamp(known[0]), known[1]
+            said.loc[late, "fp"], said.loc[late, "comment"] = known[2], known[3]
+            if not late.any() and not pdf["changed"].iloc[0]:
+                said.loc[0, "comment"] = known[3]
+        said["comment"] = said["comment"].astype(object).where(pdf["changed"] | late | (said.index == 0)).ffill()
+        creates = np.full(len(pdf), True) if self.success_comment else pdf["complete"].eq(False).to_numpy(bool)
+        has = np.concatenate([[own is not None], (own is not None) | (np.cumsum(creates[:-1]) > 0)])
+        again = ~late & pdf["changed"].to_numpy(bool)
+        action = np.where(has, np.where(again, "updated", "skipped"), np.where(creates, "created", "silent"))
+        if own is None and creates.any():
+            own = int(pdf["event_id"].iloc[int(creates.argmax())])
+            self.comment.update((own,))
+        if not late.all():
+            last = said.iloc[-1]
+            text = None if pd.isna(last["comment"]) else last["comment"]
+            self.newest.update((last["ts"].to_pydatetime(), int(last["event_id"]), last["fp"], text))
+        written = np.isin(action, ("created", "updated"))
+        out = pdf[[*KEY, *_ORDER, "fp", "complete"]].assign(action=action, comment_id=np.where(np.isin(action, ("silent",)), np.nan, -1 if own is None else own))
+        out["comment_id"] = out["comment_id"].astype("Int64")
+        yield out.assign(comment=said["comment"].where(written), said_ts=said["ts"], said_event=said["event_id"], said_fp=said["fp"])
+
+    def close(self) -> None:
+        pass
+
+
+def changes(states_: DataFrame) -> DataFrame:
+    """states() of a stream with ``changed``: has the report another fingerprint than the issue's event before?"""
+    rows = states_.select(*KEY, *_ORDER, "fp", "state", "summary", "description")
+    return _keyed(rows, _Changes(), "repo long, number long, ts timestamp, event_id long, fp string, state string, summary string, description string, changed boolean")
 
 
 def stream_actions(checked: DataFrame, success_comment: bool = False) -> DataFrame:
-    """T2 on a stream: state an issue is the last fingerprint and whether there is a comment.
+    """T2 on a stream of checked events (repo, number, ts, event_id, fp, complete; comment and changed where they are known).
 
-    Events of one micro-batch are taken in the order of their times; one that comes in a later batch than a younger event is
-    taken when it comes, as a comment cannot be unwritten. So the table form agrees where events come in order.
+    A row an event: its action, the comment's id and text where one is written, and the event that the text speaks of
+    (said_ts, said_event, said_fp), which is a newer one where an old event comes late and creates the comment.
     """
-    out = "repo long, number long, ts timestamp, event_id long, fp string, complete boolean, action string"
-    ready = checked.select(*KEY, "ts", "event_id", "fp", "complete")
-    return ready.groupBy(*KEY).applyInPandasWithState(_follow(success_comment), out, "fp string, has boolean", "append", "NoTimeout")
+    own = checked.columns
+    text = F.col("comment") if "comment" in own else F.lit(None).cast("string")
+    if "changed" not in own:
+        marked = _keyed(checked.select(*KEY, *_ORDER, "fp", "complete", text.alias("comment")), _Changes(), "repo long, number long, ts timestamp, event_id long, fp string, complete boolean, comment string, changed boolean")
+    else:
+        marked = checked.select(*KEY, *_ORDER, "fp", "complete", text.alias("comment"), "changed")
+    out = "repo long, number long, ts timestamp, event_id long, fp string, complete boolean, action string, comment_id long, comment string, said_ts timestamp, said_event long, said_fp string"
+    return _keyed(marked, _Actions(success_comment), out)
+
+
+def stream_flow(events: DataFrame, score: Callable[[DataFrame], DataFrame], settings: D.Settings = D.Settings()) -> DataFrame:
+    """T1, T2 on a stream: events to actions and comments; an unchanged report is neither scored nor decided.
+
+    score maps rows with ``changed``, summary and description to rows with p_<check> ... and windows; it is asked for the
+    changed ones only: the others come with no text and may get nulls.
+    """
+    marked = changes(states(events, settings))
+    asked = marked.withColumns({c: F.when(F.col("changed"), F.col(c)).otherwise("") for c in ("summary", "description")})
+    decided = D.decided(score(asked), settings)
+    changed = F.col("changed")
+    checked = decided.withColumns({"complete": F.when(changed, D.complete()), "comment": F.when(changed, D.comment(settings))})
+    return stream_actions(checked, settings.success_comment)
+
+
+def replay(scores: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """A score for ``stream_flow`` from recorded answers; unchanged rows look nothing up."""
+    return lambda rows: D.replayed(rows, scores, F.col("changed"))
+
+
+def predictor(make_predictor: Callable) -> Callable[[DataFrame], DataFrame]:
+    """A score for ``stream_flow`` by a live predictor: a pandas frame of texts to one chance a check; made once a task."""
 
+    def score(rows: DataFrame) -> DataFrame:
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + "".join(f", p_{c} double" for c in CHECKS) + ", windows int"
 
-def upsert_comments(path: str) -> Callable[[DataFrame, int], None]:
-    """T4: a foreachBatch sink. A batch is one folder, so a batch that runs again replaces its own rows only."""
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            predict = make_predictor()
+            for pdf in batches:
+                asked = pdf[pdf["changed"]]
+                given = predict(asked) if len(asked) else pd.DataFrame(index=asked.index)
+                out = pdf.copy()
+                for c in CHECKS:
+                    out[f"p_{c}"] = given[f"p_{c}"] if len(asked) else np.nan
+                out["windows"] = (given["windows"] if len(asked) else pd.Series(dtype=float)).reindex(pdf.index).fillna(0).astype("int32")
+                yield out
+
+        return rows.mapInPandas(run, schema)
+
+    return score
+
+
+_COMPACT = 16
+
+
+def _folders(spark: SparkSession, path: str) -> dict[int, object]:
+    """The sink's finished folders: a batch by its number, what was compacted up to batch n by -(n + 1)."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = fs.listStatus(hadoop) if fs.exists(hadoop) else []
+    own = {int(f.getPath().getName()[6:]): f.getPath() for f in found if f.getPath().getName().startswith("batch=")}
+    return {n: p for n, p in own.items() if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))}
+
+
+def upsert_comments(path: str, compact_every: int = _COMPACT) -> Callable[[DataFrame, int], None]:
+    """T4: a foreachBatch sink of ``stream_actions`` rows: one row an issue of a batch, one folder a batch.
+
+    Each so many batches all folders are merged to one row an issue; what the merge before had taken in is removed, so that
+    readers of a moment ago lose nothing and no more than two merges and two rounds of batches stand. A batch that runs again
+    replaces its own rows only, and rows that are met twice change nothing, as the newest wins.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        latest(batch.filter(F.col("action").isin("created", "updated"))).withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        spark = batch.sparkSession
+        rows = batch.filter(F.col("action").isin("created", "updated"))
+        if "said_ts" in batch.columns:
+            rows = rows.withColumns({"ts": F.col("said_ts"), "event_id": F.col("said_event"), "fp": F.col("said_fp")}).drop("said_ts", "said_event", "said_fp")
+        latest(rows).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        if (batch_id + 1) % compact_every:
+            return
+        have = _folders(spark, path)
+        merges = sorted((n for n in have if n < 0), reverse=True)  # the oldest first
+        if -(batch_id + 1) not in have:
+            current_comments(spark.read.parquet(path)).drop("batch").write.mode("overwrite").parquet(f"{path}/batch={-(batch_id + 1)}")
+        before = [n for n in merges if n > -(batch_id + 1)]
+        if before:
+            last = before[-1]
+            for n, folder in have.items():
+                if last < n < 0 or 0 <= n < -last:
+                    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
     return write
 
 
 def current_comments(written: DataFrame) -> DataFrame:
-    """The single comment of each issue: its row of the last batch."""
+    """The single comment of each issue: the row that speaks of its newest event."""
     return latest(written)
