@@ -37,8 +37,8 @@ LETTERS, TIMES, DAMAGE = 5, 3, 97
 LEAST = 4
 #: Words of a block of a list, and cells (words times words times letters) that are compared at once, about.
 BLOCK, CELLS = 2048, 1 << 22
-#: Runs that a task counts before it sends them on.
-COUNTED = 200_000
+#: Runs that a task counts before it sends them on, and postings that it compares at once.
+COUNTED, AT_ONCE = 200_000, 20_000
 #: A run's letters are Latin-1: A-Z, a-z and U+00C0 to U+00FF.
 _RUN = re.compile("[a-zÀ-ÿ]+")
 _LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
@@ -138,6 +138,16 @@ def _shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def _verified(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Are the words of each row one edit apart, letter by letter? v is as long as u or one longer."""
+    size = u.shape[1]
+    if v.shape[1] == size:
+        return (u != v).sum(1) == 1
+    head = np.logical_and.accumulate(u == v[:, :-1], axis=1).sum(1)
+    tail = np.logical_and.accumulate((u == v[:, 1:])[:, ::-1], axis=1).sum(1)
+    return head + tail >= size
+
+
 def near_pairs(a: np.ndarray, b: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
     """Rows of a and of b (letters, as long or one longer) that are one edit apart; same: a is b, each pair once."""
     size, q = a.shape[1], gram_size(a.shape[1])
@@ -150,63 +160,104 @@ def near_pairs(a: np.ndarray, b: np.ndarray, same: bool) -> tuple[np.ndarray, np
         x += begin
         if same:
             x, y = x[x < y], y[x < y]
-        for k in range(0, len(x), max(1, CELLS // size)):  # verified letter by letter
+        for k in range(0, len(x), max(1, CELLS // size)):
             part = slice(k, k + max(1, CELLS // size))
-            u, v = a[x[part]], b[y[part]]
-            if v.shape[1] == size:
-                near = (u != v).sum(1) == 1
-            else:
-                head = np.logical_and.accumulate(u == v[:, :-1], axis=1).sum(1)
-                tail = np.logical_and.accumulate((u == v[:, 1:])[:, ::-1], axis=1).sum(1)
-                near = head + tail >= size
+            near = _verified(a[x[part]], b[y[part]])
             found.append((x[part][near], y[part][near]))
     return tuple(np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in (0, 1))
 
 
-_KEY = ["size", "gram", "at", "i", "j"]
+def _products(starts: np.ndarray, a: np.ndarray, others: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each list, every row of the a from starts on with every row of the b from others on, list after list."""
+    n = a * b
+    of = np.repeat(np.arange(len(n)), n)
+    nth = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+    return starts[of] + nth // b[of], others[of] + nth % b[of]
 
 
-def _list_pairs(pdf: pd.DataFrame) -> list[pd.DataFrame]:
-    """Near pairs of one list, or of two blocks (i, j) of it: among words of its length, and of these with longer ones."""
-    out = []
-    block = pdf["block"].to_numpy()
-    longer = pdf["longer"].to_numpy()
-    i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-    own, more = ({b: np.flatnonzero((longer == kind) & (block == b)) for b in (i, j)} for kind in (False, True))
-    joins = [(own[i], own[j], i == j), (own[i], more[j], False)]
-    if i != j:
-        joins.append((own[j], more[i], False))
-    for x, y, same in joins:
-        if not len(x) or not len(y):
+def _of_short_lists(own: np.ndarray, more: np.ndarray, starts, a, others, b) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """Near pairs of many short lists at once: (rows of own, rows of own or of more, the latter?)."""
+    size, q = own.shape[1], gram_size(own.shape[1])
+    codes = _coded(own, q)
+    for right, begin, count, longer in ((own, starts, a, False), (more, others, b, True)):
+        if not len(right):
             continue
-        a, b = pdf.iloc[x], pdf.iloc[y]
-        left, right = near_pairs(_letters(a["word"].tolist()), _letters(b["word"].tolist()), same)
-        if len(left):
-            p, r = a.iloc[left].reset_index(drop=True), b.iloc[right].reset_index(drop=True)
-            out.append(pd.DataFrame({"a": p["word"], "n_a": p["n"], "b": r["word"], "n_b": r["n"]}))
-    return out
+        others_codes = _coded(right, q)
+        least = right.shape[1] - q + 1 - q
+        group = np.cumsum(a * count * size) // CELLS
+        for part in np.split(np.arange(len(a)), np.flatnonzero(np.diff(group)) + 1):
+            x, y = _products(starts[part], a[part], begin[part], count[part])
+            if not longer:
+                x, y = x[x < y], y[x < y]
+            u, v = codes[x], others_codes[y]
+            shared = (u == v[:, :-1]) | (u == v[:, 1:]) if longer else u == v
+            likely = shared.sum(1) >= least
+            x, y = x[likely], y[likely]
+            near = _verified(own[x], right[y])
+            yield x[near], y[near], longer
 
 
-def _near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Sorted postings -> near pairs; a list that a batch cuts waits for its rest."""
-    waiting = None
+_KEY = ["size", "gram", "at", "i", "j"]
+#: Members of a list up to which it is compared together with others.
+SHORT = 48
+
+
+def list_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
+    """(a, n_a, b, n_b): near pairs of whole lists, sorted by _KEY and longer: among words of a list's length, and of these with
+    longer ones; where a list is cut into blocks i and j, of one with the other."""
+    words_, n, longer, block = pdf["word"].to_numpy(object), pdf["n"].to_numpy(), pdf["longer"].to_numpy(bool), pdf["block"].to_numpy()
+    place = pdf[_KEY]
+    new = (place[1:].to_numpy() != place[:-1].to_numpy()).any(1)
+    starts = np.concatenate([[0], np.flatnonzero(new) + 1])
+    ends = np.append(starts[1:], len(pdf))
+    own = np.add.reduceat(~longer, starts)
+    size, i, j = (pdf[c].to_numpy()[starts] for c in ("size", "i", "j"))
+    left, right = [], []
+    for length in np.unique(size):
+        here = np.flatnonzero((size == length) & (ends - starts > 1) & (own > 0))
+        if not len(here):
+            continue
+        rows = np.arange(starts[here[0]], ends[here[-1]])
+        rows_own, rows_more = rows[~longer[rows]], rows[longer[rows]]
+        letters = _letters(words_[rows_own].tolist())
+        more = _letters(words_[rows_more].tolist()) if len(rows_more) else np.zeros((0, length + 1), np.uint8)
+        at_own = np.searchsorted(rows_own, starts[here])
+        at_more = np.searchsorted(rows_more, starts[here])
+        a, b = own[here], ends[here] - starts[here] - own[here]
+        short = (a + b <= SHORT) & (i[here] == j[here])
+        for x, y, is_longer in _of_short_lists(letters, more, at_own[short], a[short], at_more[short], b[short]):
+            left.append(rows_own[x])
+            right.append((rows_more if is_longer else rows_own)[y])
+        for k in np.flatnonzero(~short):
+            mine, theirs = np.arange(at_own[k], at_own[k] + a[k]), np.arange(at_more[k], at_more[k] + b[k])
+            low, high = i[here[k]], j[here[k]]
+            blocks = {z: (mine[block[rows_own[mine]] == z], theirs[block[rows_more[theirs]] == z]) for z in (low, high)}
+            joins = [(blocks[low][0], blocks[high][0], False, low == high), (blocks[low][0], blocks[high][1], True, False)]
+            if low != high:
+                joins.append((blocks[high][0], blocks[low][1], True, False))
+            for x, y, is_longer, same in joins:
+                if len(x) and len(y):
+                    p, r = near_pairs(letters[x], (more if is_longer else letters)[y], same)
+                    left.append(rows_own[x[p]])
+                    right.append((rows_more if is_longer else rows_own)[y[r]])
+    p, r = (np.concatenate(side) if side else np.zeros(0, np.int64) for side in (left, right))
+    return pd.DataFrame({"a": words_[p], "n_a": n[p], "b": words_[r], "n_b": n[r]}).drop_duplicates(["a", "b"])
 
-    def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-        place = pdf[_KEY].to_numpy()
-        starts = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]).any(1), [True]]))
-        out = [x for begin, end in zip(starts[:-1], starts[1:], strict=True) if end - begin > 1 for x in _list_pairs(pdf.iloc[begin:end])]
-        return pd.concat(out) if out else pd.DataFrame({"a": pd.Series(dtype=str), "n_a": pd.Series(dtype="int64"), "b": pd.Series(dtype=str), "n_b": pd.Series(dtype="int64")})
 
+def _near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sorted postings -> near pairs; lists that a batch cuts wait for their rest, and short batches for more rows."""
+    waiting: list[pd.DataFrame] = []
     for pdf in batches:
-        pdf = pdf if waiting is None else pd.concat([waiting, pdf], ignore_index=True)
-        if not len(pdf):
+        waiting.append(pdf)
+        if sum(map(len, waiting)) < AT_ONCE:
             continue
-        whole = (pdf[_KEY] != pdf[_KEY].iloc[-1]).any(axis=1)
+        pdf = pd.concat(waiting, ignore_index=True)
+        whole = (pdf[_KEY] != pdf[_KEY].iloc[-1]).any(axis=1).to_numpy()
         if whole.any():
-            yield pairs(pdf[whole])
-        waiting = pdf[~whole].reset_index(drop=True)
-    if waiting is not None and len(waiting):
-        yield pairs(waiting)
+            yield list_pairs(pdf[whole])
+        waiting = [pdf[~whole]]
+    if sum(map(len, waiting)):
+        yield list_pairs(pd.concat(waiting, ignore_index=True))
 
 
 def near_words(found: DataFrame) -> DataFrame:
@@ -220,7 +271,7 @@ def near_words(found: DataFrame) -> DataFrame:
     sizes = sizes.select("size", "gram", "at", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
     cut = postings.join(sizes, ["size", "gram", "at"]).withColumn("block", F.pmod(F.xxhash64("word"), F.col("blocks")).cast("int"))
     dealt = cut.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("block", "o"), "j": F.greatest("block", "o")}).drop("o", "blocks")
-    together = dealt.repartition(*_KEY).sortWithinPartitions(*_KEY)
+    together = dealt.repartition(*_KEY).sortWithinPartitions(*_KEY, "longer")
     return stored(together.mapInPandas(giving_back(_near), "a string, n_a long, b string, n_b long").distinct(), "near-words")
 
 

@@ -144,11 +144,11 @@ def test_blocks_of_a_long_list_lose_no_pair():
     got = set()
     for i in range(3):
         for j in range(i, 3):
-            part = pd.DataFrame([(i, j, b, longer, w, 1) for w, longer, b in rows if b in (i, j)], columns=["i", "j", "block", "longer", "word", "n"])
-            for df in spelling._list_pairs(part):
-                pairs = list(zip(df["a"], df["b"], strict=True))
-                assert not got & set(pairs)
-                got |= set(pairs)
+            part = pd.DataFrame([(7, "x", 0, i, j, b, longer, w, 1) for w, longer, b in sorted(rows, key=lambda r: r[1]) if b in (i, j)], columns=["size", "gram", "at", "i", "j", "block", "longer", "word", "n"])
+            df = spelling.list_pairs(part)
+            pairs = list(zip(df["a"], df["b"], strict=True))
+            assert not got & set(pairs)
+            got |= set(pairs)
     short, long = [w for w in words if len(w) == 7], [w for w in words if len(w) == 8]
     want = {frozenset((a, b)) for a in short for b in short if sum(x != y for x, y in zip(a, b, strict=True)) == 1}
     want |= {frozenset((a, b)) for a in short for b in long if any(b[:k] + b[k + 1 :] == a for k in range(8))}
