@@ -13,6 +13,8 @@ from ..operators import decide as D
 from ..operators import evaluate as E
 from ..operators import labels as L
 from ..operators import sampling as S
+from ..operators import scoring as X
+from ..operators.shared import shared_folder
 from ..sources import issues as I
 from ..streaming import comments as C
 from . import views as V
@@ -193,7 +195,12 @@ def r5_likely_missing(spark, sf_dir):
     return V.candidates(spark, sf_dir).select("id", F.array_join(rules.likely_missing(F.col("summary"), F.col("description")), ",").alias("missing"))
 
 
-@query()
+_WORDS = "array_to_string(regexp_extract_all(lower({}), '[\\p{{L}}\\p{{M}}\\p{{N}}_]+'), ' ')"
+GAP = rf"""(NOT regexp_matches(summary, {TASK}) AND (tokens <= 60 OR starts_with({_WORDS.format('description')}, {_WORDS.format('summary')})
+  OR (length(regexp_extract_all(description, '(?m)^\s*\d+[.)]\s+\S')) >= 2 AND NOT regexp_matches(description, '{rules.RESULT_WORDS}'))))"""
+
+
+@query(CAND + f"SELECT id, {GAP} AS gap FROM candidates")
 def r6_ordinary_gap(spark, sf_dir):
     return V.candidates(spark, sf_dir).select("id", rules.ordinary_gap(F.col("summary"), F.col("description"), F.col("tokens")).alias("gap"))
 
@@ -261,7 +268,8 @@ def _wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled reports, cleaned, with the new model's chances and the labels side by side."""
     s = V.scored(spark, sf_dir).filter("model = 'new'")
     wide = s.groupBy("id").agg(*[F.max(F.when(F.col("check") == c, F.col("p"))).alias(f"p_{c}") for c in L.CHECKS], *[F.max(F.when(F.col("check") == c, F.col("gold"))).alias(f"gold_{c}") for c in L.CHECKS])
-    r = cleanup.clean_reports(V.reports(spark, sf_dir)).select("id", "tracker", "summary", "description", F.lit("Open").alias("state"), F.when(F.length("description") > 620, 2).otherwise(1).alias("windows"))
+    windows = X.window_count(X.blank_tokens(X.state_json())).alias("windows")
+    r = cleanup.clean_reports(V.reports(spark, sf_dir)).select("id", "tracker", "summary", "description", F.lit("Open").alias("state"), windows)
     return r.join(wide, "id")
 
 
@@ -374,9 +382,9 @@ def a1_counts(spark, sf_dir):
     return V.reports(spark, sf_dir).groupBy("tracker", "project").agg(F.count("*").alias("n"))
 
 
-@query(CAND + "SELECT coalesce(tracker, 'total') AS tracker, count(*) AS n, round_even(quantile_cont(tokens, 0.5), 0)::BIGINT AS median, round_even(quantile_cont(tokens, 0.9), 0)::BIGINT AS p90, round_even(quantile_cont(tokens, 0.99), 0)::BIGINT AS p99, round(avg((tokens > 100)::INT), 6) AS over_100, round(avg((tokens > 120)::INT), 6) AS over_120 FROM candidates GROUP BY ROLLUP (tracker)")
+@query(CAND + "SELECT coalesce(tracker, 'total') AS tracker, count(*) AS n, round_even(quantile_cont(tokens, 0.5), 0)::BIGINT AS median, round_even(quantile_cont(tokens, 0.9), 0)::BIGINT AS p90, round_even(quantile_cont(tokens, 0.99), 0)::BIGINT AS p99, round(avg((tokens > 767)::INT), 6) AS over_767, round(avg((tokens > 895)::INT), 6) AS over_895 FROM candidates GROUP BY ROLLUP (tracker)")
 def a2_token_profile(spark, sf_dir):
-    return _six(E.token_profile(V.candidates(spark, sf_dir), (100, 120)), "over_100", "over_120")
+    return _six(E.token_profile(V.candidates(spark, sf_dir)), "over_767", "over_895")
 
 
 COUNTED = """counted AS (SELECT {by}, count(*) AS n, count(*) FILTER (gold = (p >= 0.5)) AS r, count(*) FILTER (NOT gold) AS no_n, count(*) FILTER (p < 0.5) AS said, count(*) FILTER (NOT gold AND p < 0.5) AS no_found, avg(greatest(p, 1 - p)) AS conf FROM scored GROUP BY {by}),
@@ -513,12 +521,15 @@ def a18_sample_report(spark, sf_dir):
     return c.groupBy("tracker", "bucket").agg(F.count("*").alias("n"), F.countDistinct("project").alias("projects"))
 
 
-@query(CAND + f"SELECT id, c.\"check\", max({V.u_sql('w', 'c.\"check\" || \'|\' || id || \'|\' || w.w')}) AS p, count(*) AS windows FROM candidates, (VALUES ('steps'), ('actual')) AS c(\"check\"), generate_series(0, greatest(ceil((tokens - 60) / 40), 0)::BIGINT) AS w(w) GROUP BY ALL")
+@query(CAND + f"""SELECT id, c."check", max({V.u_sql('w', "c.\"check\" || '|' || id || '|' || w.w || '|' || array_to_string(t[w.w * 639 + 1 : w.w * 639 + 767], ' ')")}) AS p, count(*) AS windows
+  FROM (SELECT id, tokens, regexp_extract_all({V.STATE}, '[^ \\t\\n\\r\\f\\v]+') AS t FROM candidates) x, (VALUES ('steps'), ('actual')) AS c("check"), generate_series(0, 20) AS w(w) WHERE w.w < greatest(ceil((tokens - 128) / 639), 1) GROUP BY ALL""")
 def a19_f1_f3_window_scores(spark, sf_dir):
-    """Windows of long reports, scored one by one by a stub, rolled up."""
-    windows = D.token_windows(V.candidates(spark, sf_dir).select("id", F.col("description").alias("text")))
-    each = windows.select("id", "window", F.explode(F.array(F.lit("steps"), F.lit("actual"))).alias("check"))
-    return D.window_rollup(each.withColumn("p", S.u("w", F.concat_ws("|", "check", "id", F.col("window").cast("string")))))
+    """Windows of the JSON states by token offsets, scored one by one by a stub that reads a window's text, rolled up."""
+    c = V.candidates(spark, sf_dir).select("id", X.state_json().alias("json"))
+    each = c.withColumn("t", X.tokenized(F.col("json"))).select("id", "json", F.posexplode("t.windows").alias("window", "w"))
+    text = F.regexp_replace(F.substring(F.col("json"), F.col("w.begin") + 1, F.col("w.end") - F.col("w.begin")), r"[ \t\n\r\f\x0B]+", " ")
+    asked = each.select("id", "window", text.alias("text"), F.explode(F.array(F.lit("steps"), F.lit("actual"))).alias("check"))
+    return D.window_rollup(asked.withColumn("p", S.u("w", F.concat_ws("|", "check", "id", F.col("window").cast("string"), "text"))))
 
 
 def _stub_predictor():
@@ -546,7 +557,9 @@ def f4_question_rows(spark, sf_dir):
 
 @query(CAND + "SELECT id, tokens FROM candidates")
 def f2_token_lengths(spark, sf_dir):
-    return V.candidates(spark, sf_dir).select("id", "tokens")
+    """Tokens of the JSON state by the helper, with the tokenizer of blanks; files of the tokenizers library go the same way."""
+    c = V.candidates(spark, sf_dir).select("id", X.state_json().alias("json"))
+    return c.select("id", X.tokenized(F.col("json"))["tokens"].alias("tokens"))
 
 
 # Samples -------------------------------------------------------------------------------------------------------------
@@ -594,7 +607,7 @@ def w5_stratified_pick(spark, sf_dir):
 
 @query()
 def w6_w7_sample(spark, sf_dir):
-    return S.sample(V.candidates(spark, sf_dir), (60, 30, 0), SEED).select("id", "tracker", "project", "part")
+    return S.sample(V.candidates(spark, sf_dir), (60, 30, 10), SEED).select("id", "tracker", "project", "part")
 
 
 def _pool(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -602,18 +615,26 @@ def _pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = V.candidates(spark, sf_dir)
     used = V.reports(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id"), "doc_id", "left_semi")
     free = S.without_used(c.filter(F.col("tokens") <= S.ROOM), used, S.eval_projects(c, 0.3, SEED))
-    return free.select("id", "tracker", rules.likely_missing(F.col("summary"), F.col("description")).alias("missing"), F.col("summary").rlike(rules.TASK_START).alias("task"))
+    return free.select("id", "tracker", rules.likely_missing(F.col("summary"), F.col("description")).alias("missing"), F.col("summary").rlike(rules.TASK_START).alias("task"), rules.ordinary_gap(F.col("summary"), F.col("description"), F.col("tokens")).alias("gap"))
 
 
-@query()
+POOL = f"""s AS (SELECT tracker, project, count(*) AS n FROM candidates GROUP BY ALL), r AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY tracker ORDER BY {_u(SEED, "tracker || '|' || project")}, project ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+  sum(n) OVER (PARTITION BY tracker) AS total, row_number() OVER (PARTITION BY tracker ORDER BY {_u(SEED, "tracker || '|' || project")}, project) AS nth, count(*) OVER (PARTITION BY tracker) AS projects FROM s),
+  pool AS (SELECT *, regexp_matches(summary, {TASK}) AS task, regexp_matches(summary, {TASK}) OR rtrim(summary) LIKE '%?' OR NOT regexp_matches(summary || chr(10) || description, '(?i)\\b(?:expect\\w*|should|instead|supposed|must|correct(?:ly)?)\\b') AS rich FROM candidates
+    WHERE tokens <= 767 AND id NOT IN (SELECT id FROM labels JOIN reports USING (doc_id)) AND (tracker, project) NOT IN (SELECT (tracker, project) FROM r WHERE before < 0.3 * total AND nth < projects))"""
+
+
+@query(CAND + f""", {POOL}, a AS (SELECT id, task, rich, {_u(SEED)} AS u, row_number() OVER (PARTITION BY rich ORDER BY {_u(SEED)}, id) AS n FROM pool), b AS (SELECT *, CASE WHEN rich AND n <= 40 THEN 'train' WHEN rich AND n <= 60 THEN 'dev_enriched' END AS part FROM a),
+  c AS (SELECT *, row_number() OVER (PARTITION BY part IS NULL ORDER BY u, id) AS m FROM b), d AS (SELECT id, task, u, coalesce(part, CASE WHEN m <= 20 THEN 'dev_plain' END) AS part FROM c),
+  e AS (SELECT *, row_number() OVER (PARTITION BY part IS NULL AND task ORDER BY u, id) AS k FROM d) SELECT id, coalesce(part, 'mine') AS part FROM e WHERE part IS NOT NULL OR task AND k <= 30""")
 def w8_top_up(spark, sf_dir):
     return S.top_up(_pool(spark, sf_dir), (40, 20, 20, 30), SEED, F.col("task")).select("id", "part")
 
 
-@query()
+@query(CAND + f", {POOL}, found AS (SELECT * FROM pool WHERE {GAP})" + QUOTA.format(t=80).replace("FROM candidates", "FROM found") + f" SELECT id, tracker FROM found JOIN q USING (tracker) QUALIFY row_number() OVER (PARTITION BY tracker ORDER BY {_u(SEED)}, id) <= quota")
 def w9_gap_mining_ordinary(spark, sf_dir):
     """Candidates that fit, are not used and show an ordinary gap, by quotas of what is left."""
-    c = _pool(spark, sf_dir).filter(rules.ordinary_gap(F.col("summary"), F.col("description"), F.col("tokens")))
+    c = _pool(spark, sf_dir).filter("gap")
     return S.by_quota(c, S.quota_table(c, 80), SEED).select("id", "tracker")
 
 
@@ -634,12 +655,10 @@ def w10_two_thirds_whole(spark, sf_dir):
     return w10_two_thirds(spark, sf_dir)
 
 
-@query()
+@query(f"WITH {V.REPORTS}, {V.CANDIDATES}, {V.LABELS} SELECT id, CASE WHEN row_number() OVER (ORDER BY {_u(SEED)}, id) <= round_even(count(*) OVER () * 2 / 3, 0) THEN 'train' ELSE 'dev' END AS part FROM candidates JOIN labels_long USING (id) WHERE \"check\" = 'actual' AND NOT gold")
 def w10_mined(spark, sf_dir):
-    """The split of mined rows: only those that seem to lack the actual result."""
-    c = V.candidates(spark, sf_dir)
-    mined = c.filter(F.array_contains(rules.likely_missing(F.col("summary"), F.col("description")), "actual"))
-    return S.split_two_thirds(V.candidates(spark, sf_dir), SEED).select("id", "part")
+    """The split of mined rows: only those that the labels found without an actual result."""
+    return S.split_mined(V.candidates(spark, sf_dir), V.labels_long(spark, sf_dir), SEED).select("id", "part")
 
 
 @query(CAND + f"SELECT id, row_number() OVER (PARTITION BY tokens <= 767 ORDER BY {_u(SEED)}, id) <= CASE WHEN tokens <= 767 THEN 90 ELSE 10 END AS core FROM candidates")
@@ -699,6 +718,7 @@ def u1_u4_assembled(spark, sf_dir):
 
 @query()
 def g1_model_gate(spark, sf_dir):
+    """The older model as the one that wants to replace the newer, which is better: the gate has reasons to give."""
     s = V.scored(spark, sf_dir)
     side = lambda m: s.filter(F.col("model") == m)
     core = V.labels_long(spark, sf_dir).filter("tag = 'core'").select("id").distinct()
@@ -728,9 +748,7 @@ def g3_summary(spark, sf_dir):
 @query(SCO + f", {BOT} SELECT \"check\", decided, wrong, missing_found FROM bot WHERE model = 'new'")
 def g3_refreshed(spark, sf_dir):
     """The baseline is written, and refreshed by the next one; what is read back is the latter."""
-    import uuid
-
-    path = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/baseline-{uuid.uuid4().hex}"
+    path = shared_folder(spark, "baseline")
     for model in ("old", "new"):
         E.refresh(_bot(spark, sf_dir, model), path)
     return E.baseline(spark, path)
@@ -777,14 +795,7 @@ def t1_flow(spark, sf_dir):
 @query(EV + f", {_flow_sql(QUIET)} SELECT repo, number, arg_max(fp, (ts, event_id)) AS fp, arg_max(comment, (ts, event_id)) AS comment FROM flow GROUP BY repo, number HAVING bool_or(NOT complete)")
 def t1_t4_stream(spark, sf_dir):
     """The comments that stand after all events came as a stream, in a few micro-batches and in no order of time."""
-    import uuid
-
-    from pyspark.errors import PySparkValueError
-
-    events, base = V.events(spark, sf_dir), spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        raise PySparkValueError("spark.checkpoint.dir must name a shared folder")
-    base = f"{base}/stream-{uuid.uuid4().hex}"
+    events, base = V.events(spark, sf_dir), shared_folder(spark, "stream")
     events.repartition(6, F.xxhash64("event_id")).write.parquet(f"{base}/events")
     scores = D.recorded(C.states(events, QUIET), _stub)
     incoming = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/events")
@@ -794,12 +805,16 @@ def t1_t4_stream(spark, sf_dir):
     return C.current_comments(spark.read.parquet(f"{base}/comments")).select("repo", "number", "fp", "comment")
 
 
-@query(EV + "SELECT count(*) AS states, count(*) AS answered FROM issue_events WHERE is_bug AND state IS NOT NULL")
+@query(EV + f"SELECT event_id, {V.u_sql('steps', V.STATE)} AS p_steps, 1 AS windows, 0 AS scored_again FROM issue_events WHERE is_bug AND state IS NOT NULL")
 def s7_replay(spark, sf_dir):
-    """Each cleaned state is scored once, and every state finds its answer again."""
+    """Answers of a part of the states are recorded, then of the others only; a third run scores none, and all is replayed."""
     states = C.states(V.events(spark, sf_dir), D.Settings())
-    scores = D.recorded(states, lambda text: {c: S.u(c, text) for c in L.CHECKS})
-    return D.replayed(states, scores).agg(F.count("*").alias("states"), F.count("p_steps").alias("answered"))
+    store = X.AnswerStore(spark, shared_folder(spark, "answers"), "stub", {"settings": str(D.Settings())})
+    score = lambda rows: rows.withColumns({f"p_{c}": p for c, p in _stub(F.col("text")).items()})
+    store.update(states.filter("state = 'Open'"), score)
+    store.update(states, score)
+    again = store.update(states, score)
+    return store.replay(states).select("event_id", "p_steps", "windows", F.lit(again).alias("scored_again"))
 
 
 def _checked(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.labels import CHECKS
 from ..operators.sampling import u
+from ..operators.scoring import blank_tokens, state_json
 
 SEED = "20261008"
 BUG_TYPES = {"Bug": "Bug Report", "Defect": "Bug Report", "Task": "Task", "Story": "Feature"}
@@ -111,13 +112,15 @@ SCORED = f"scored AS ({_scored_sql('old', 0.30)} UNION ALL {_scored_sql('new', 0
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reports with a description: tokens (by blanks) and whether any of the words that mark rare parts is there."""
+    """Reports with a description: tokens of the JSON state (by blanks), and a mark of rare parts."""
     r = reports(spark, sf_dir).filter(F.col("description").isNotNull())
-    return r.select("id", "tracker", "project", "summary", "description", F.regexp_count("description", F.lit(r"\S+")).alias("tokens"), (F.col("doc_id") % 7 == 0).alias("rare"))
+    return r.select("id", "tracker", "project", "summary", "description", blank_tokens(state_json()).alias("tokens"), (F.col("doc_id") % 7 == 0).alias("rare"))
 
 
-CANDIDATES = r"""candidates AS (
-  SELECT id, tracker, project, summary, description, length(regexp_extract_all(description, '[^ \t\n\r\f\v]+'))::INTEGER AS tokens, doc_id % 7 = 0 AS rare
+#: The JSON of a state in SQL.
+STATE = """('{"summary":' || to_json(summary) || ',"description":' || to_json(description) || '}')"""
+CANDIDATES = rf"""candidates AS (
+  SELECT id, tracker, project, summary, description, length(regexp_extract_all({STATE}, '[^ \t\n\r\f\v]+'))::INTEGER AS tokens, doc_id % 7 = 0 AS rare
   FROM reports WHERE description IS NOT NULL)"""
 
 

@@ -106,12 +106,14 @@ def risk_coverage(scored: DataFrame, by: str = "check", shares: tuple[float, ...
     """Mean running error by falling confidence, and accuracy of the most confident shares, ties included.
 
     Rows meet first by distinct confidence, so windows run over these. Within a tie the running error is taken as even:
-    its mean over the tie's rows is the sum of (errors before + errors * k / size) / (rows before + k), k from 1 to size.
+    its mean over the tie's rows is the sum of (errors before + errors * k / size) / (rows before + k), k from 1 to size. With b rows
+    and e errors before, w errors in a tie of n rows, that sum is w + (e - w * b / n) * (1 / (b + 1) + ... + 1 / (b + n)).
     """
     at = scored.groupBy(by, F.round(confidence(), 6).alias("c")).agg(F.count("*").alias("n"), F.count_if(F.col("gold") != said()).alias("wrong"))
     order = Window.partitionBy(by).orderBy(F.desc("c"))
     running = at.withColumns({"rows": F.sum("n").over(order), "errors": F.sum("wrong").over(order), "total": F.sum("n").over(Window.partitionBy(by))})
-    inside = F.aggregate(F.sequence(F.lit(1).cast("long"), F.col("n")), F.lit(0.0), lambda acc, k: acc + (F.col("errors") - F.col("wrong") + F.col("wrong") * k / F.col("n")) / (F.col("rows") - F.col("n") + k))
+    before = F.col("rows") - F.col("n")
+    inside = F.col("wrong") + (F.col("errors") - F.col("wrong") - F.col("wrong") * before / F.col("n")) * harmonic(before, F.col("rows"))
     cut = {s: F.ceil(F.lit(s) * F.col("total")) for s in shares}
     reached = [F.min(F.when(F.col("rows") >= cut[s], F.struct("rows", "errors"))).alias(f"r{int(100 * s)}") for s in shares]
     out = running.withColumn("area", inside).groupBy(by).agg(F.sum("n").alias("n"), F.sum("area").alias("area"), *reached)
@@ -179,8 +181,37 @@ def baseline(spark: SparkSession, path: str) -> DataFrame:
 
 
 def token_profile(df: DataFrame, rooms: tuple[int, ...] = (767, 895)) -> DataFrame:
-    """A2: lengths per tracker and in total: n, median, p90, p99 (inclusive, rounded half to even), shares over rooms."""
-    p = F.percentile("tokens", F.array(F.lit(0.5), F.lit(0.9), F.lit(0.99)))
-    over = [F.avg((F.col("tokens") > r).cast("int")).alias(f"over_{r}") for r in rooms]
-    out = df.rollup("tracker").agg(F.count("*").alias("n"), p.alias("p"), *over)
-    return out.select(F.coalesce("tracker", F.lit("total")).alias("tracker"), "n", *[F.bround(F.col("p")[i]).cast("long").alias(c) for i, c in enumerate(("median", "p90", "p99"))], *[f"over_{r}" for r in rooms])
+    """A2: lengths per tracker and in total: n, median, p90, p99 (inclusive, rounded half to even), shares over rooms.
+
+    From a histogram of lengths: a quantile lies between the two lengths at whose running counts its place falls, so that rows
+    are counted once and only a row a length goes on. A null tracker counts in the total alone.
+    """
+    each = df.groupBy("tracker", "tokens").agg(F.count("*").alias("n"))
+    total = each.groupBy("tokens").agg(F.sum("n").alias("n")).withColumn("tracker", F.lit("total"))
+    hist = each.filter("tracker is not null").unionByName(total).filter("tokens is not null")
+    order = Window.partitionBy("tracker").orderBy("tokens")
+    counted = hist.withColumns({"upto": F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)), "all": F.sum("n").over(Window.partitionBy("tracker"))})
+    shares = {"median": 0.5, "p90": 0.9, "p99": 0.99}
+    at = {c: (F.col("all") - 1) * F.lit(q) for c, q in shares.items()}
+    least = lambda c, more: F.min(F.when(F.col("upto") > F.floor(at[c]) + more, F.col("tokens")))
+    sides = [x for c in shares for x in (least(c, 0).alias(f"{c}_low"), least(c, 1).alias(f"{c}_high"), F.max(at[c] - F.floor(at[c])).alias(f"{c}_part"))]
+    over = [(F.sum(F.when(F.col("tokens") > r, F.col("n")).otherwise(0)) / F.sum("n")).alias(f"over_{r}") for r in rooms]
+    out = counted.groupBy("tracker").agg(F.sum("n").alias("n"), *sides, *over)
+    value = lambda c: F.col(f"{c}_low") + (F.coalesce(f"{c}_high", f"{c}_low") - F.col(f"{c}_low")) * F.col(f"{c}_part")
+    return out.select("tracker", "n", *[F.bround(value(c)).cast("long").alias(c) for c in shares], *[f"over_{r}" for r in rooms])
+
+
+#: Up to so many rows of a tie a harmonic sum is added term by term; beyond it by its series, which is exact to 1e-15 there.
+_TERMS = 32
+
+
+def harmonic(n: Column, upto: Column) -> Column:
+    """1 / (n + 1) + ... + 1 / upto, for 0 <= n <= upto, at the same cost for any numbers."""
+
+    def series(x: Column) -> Column:
+        x = x.cast("double")
+        return F.log(x) + 0.5 / x - 1 / (12 * x * x) + 1 / (120 * F.pow(x, F.lit(4.0))) - 1 / (252 * F.pow(x, F.lit(6.0))) + 1 / (240 * F.pow(x, F.lit(8.0)))
+
+    few = F.aggregate(F.sequence(F.lit(1), F.lit(_TERMS)), F.lit(0.0), lambda acc, k: acc + F.when((k > n) & (k <= upto), 1.0 / k).otherwise(0.0))
+    low, high = F.greatest(n, F.lit(_TERMS)), F.greatest(upto, F.lit(_TERMS))
+    return few + F.when(high > low, series(high) - series(low)).otherwise(0.0)
