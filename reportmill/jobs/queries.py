@@ -315,7 +315,8 @@ def r26_public_rows(spark, sf_dir):
     return I.public_row(V.reports(spark, sf_dir))
 
 
-@query()
+@query(R + f"""SELECT batch, string_agg(line, chr(10) ORDER BY place, id) AS lines, count(*)::INTEGER AS n FROM (SELECT id, {V.u_sql('batches', 'id')} AS place, (row_number() OVER (ORDER BY {V.u_sql('batches', 'id')}, id) - 1) // 20 AS batch,
+  '{{"id":' || to_json(id) || ',"summary":' || to_json(summary) || CASE WHEN description IS NULL THEN '' ELSE ',"description":' || to_json(description) END || '}}' AS line FROM reports) GROUP BY batch""")
 def r27_teacher_batches(spark, sf_dir):
     return L.batches(V.reports(spark, sf_dir))
 
@@ -411,6 +412,12 @@ def a6_bot_view(spark, sf_dir):
     return _six(E.bot_view(V.scored(spark, sf_dir), 0.827), "coverage", "accuracy_decided")
 
 
+@query()
+def r26_cleaned_rows(spark, sf_dir):
+    """Public rows as they are assembled: of the cleaned text."""
+    return I.cleaned_public_row(V.reports(spark, sf_dir))
+
+
 @query()
 def a7_bot_counts(spark, sf_dir):
     return D.bot_counts(D.decided(_wide(spark, sf_dir)))
@@ -462,10 +469,22 @@ def a13_risk_coverage(spark, sf_dir):
     return _six(E.risk_coverage(V.scored(spark, sf_dir).filter("model = 'new'")), "aurc", "accuracy_50", "accuracy_80")
 
 
-@query(R + "SELECT 'blank' AS rule, id AS key, 'description' AS detail FROM reports WHERE doc_id % 97 = 0 UNION ALL SELECT 'shared project', tracker || '/' || project, count(DISTINCT doc_id % 2)::VARCHAR FROM reports GROUP BY tracker, project HAVING count(DISTINCT doc_id % 2) > 1")
+@query(R + """, rows AS (SELECT r.*, CASE WHEN doc_id % 2 = 0 THEN 'train' ELSE 'eval' END AS "set" FROM reports r, generate_series(1, CASE WHEN doc_id % 200 = 3 THEN 2 ELSE 1 END) WHERE doc_id % 150 <> 7)
+  SELECT 'broken' AS rule, '{broken ' || doc_id AS key, NULL AS detail FROM reports WHERE doc_id % 150 = 7 UNION ALL SELECT 'unexpected field', id, 'note' FROM rows WHERE doc_id % 50 = 1
+  UNION ALL SELECT 'missing field', id, 'project' FROM rows WHERE doc_id % 60 = 5 UNION ALL SELECT 'blank', id, 'description' FROM rows WHERE doc_id % 97 = 0 UNION ALL SELECT DISTINCT 'duplicate', id, '2' FROM rows WHERE doc_id % 200 = 3
+  UNION ALL SELECT 'count', "set" || '/public', count(*)::VARCHAR FROM rows GROUP BY "set" HAVING "set" = 'eval' UNION ALL SELECT 'count', 'style/synthetic', '0'
+  UNION ALL SELECT 'shared project', concat_ws('/', tracker, p), count(DISTINCT "set")::VARCHAR FROM (SELECT *, CASE WHEN doc_id % 60 <> 5 THEN project END AS p FROM rows) GROUP BY tracker, p HAVING count(DISTINCT "set") > 1""")
 def a14_set_problems(spark, sf_dir):
-    sets = V.reports(spark, sf_dir).withColumn("set", F.when(F.col("doc_id") % 2 == 0, "train").otherwise("eval"))
-    return L.set_problems(sets, {}).filter("rule <> 'count'")
+    """Every rule over raw JSON lines, in which fields are added, left out, blank and repeated; only the train set has its size."""
+    n = F.col("doc_id")
+    r = V.reports(spark, sf_dir).withColumn("set", F.when(n % 2 == 0, "train").otherwise("eval"))
+    row = F.struct("id", "source", "tracker", F.when(n % 60 != 5, F.col("project")).alias("project"), "summary", "description", F.when(n % 50 == 1, F.struct(n.alias("of"))).alias("note"), F.when(n % 9 == 1, True).alias("core"))
+    raw = F.when(n % 150 == 7, F.concat(F.lit("{broken "), n.cast("string"))).otherwise(F.to_json(row))
+    lines = r.select("set", n, raw.alias("raw"))
+    twice = lines.filter((n % 200 == 3) & (n % 150 != 7))
+    lines = lines.unionByName(twice).drop("doc_id")
+    train = r.filter("set = 'train'").filter(n % 150 != 7).count()
+    return L.raw_set_problems(lines, {("train", "public"): train, ("eval", "public"): 1, ("style", "synthetic"): 2})
 
 
 _broken = " UNION ALL ".join(
@@ -745,13 +764,16 @@ def g3_summary(spark, sf_dir):
     return E.summary(_bot(spark, sf_dir, "new"), _bot(spark, sf_dir, "old"))
 
 
-@query(SCO + f", {BOT} SELECT \"check\", decided, wrong, missing_found FROM bot WHERE model = 'new'")
+@query(SCO + f", {BOT} SELECT \"check\", decided, wrong, missing_found, 'published' AS state FROM bot WHERE model = 'new' UNION ALL SELECT DISTINCT a.\"check\", b.decided, b.wrong, b.missing_found, 'held back' FROM bot a JOIN bot b ON a.\"check\" = b.\"check\" WHERE a.model = 'new' AND b.model = 'old' AND (a.decided - b.decided >= 2 OR b.wrong - a.wrong >= 2 OR a.missing_found - b.missing_found >= 2)")
 def g3_refreshed(spark, sf_dir):
-    """The baseline is written, and refreshed by the next one; what is read back is the latter."""
+    """The older model's counts are the baseline, the newer's replace them; when the older's come back, the audit holds them back."""
     path = shared_folder(spark, "baseline")
-    for model in ("old", "new"):
-        E.refresh(_bot(spark, sf_dir, model), path)
-    return E.baseline(spark, path)
+    old, new = _bot(spark, sf_dir, "old"), _bot(spark, sf_dir, "new")
+    E.refresh(old, path)
+    E.refresh(new, path)
+    held = E.publish(old, path).select("check").distinct()
+    stands = E.baseline(spark, path).withColumn("state", F.lit("published"))
+    return stands.unionByName(old.join(held, "check", "left_semi").withColumn("state", F.lit("held back")))
 
 
 def _stub(text: Column) -> dict[str, Column]:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -160,24 +160,70 @@ def summary(now: DataFrame, baseline: DataFrame) -> DataFrame:
     return side(baseline, "was").join(side(now, "now"), "check", "full_outer")
 
 
-def refresh(now: DataFrame, path: str) -> None:
-    """The counts become the baseline that later runs are held against; each refresh is a version of its own.
+def _fs(spark: SparkSession, path: str):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder
+
+
+def _commits(spark: SparkSession, path: str) -> dict[int, str]:
+    """Published versions: number -> folder of its rows, as the commit records say. Rows without a record are not there."""
+    fs, folder = _fs(spark, f"{path}/commits")
+    names = [f.getPath().getName() for f in fs.listStatus(folder)] if fs.exists(folder) else []
+    return {int(n): spark.read.text(f"{path}/commits/{n}").first()[0] for n in names if n.isdigit()}
+
+
+class Outdated(RuntimeError):
+    """Another writer published first: the counts must be held against its baseline."""
+
+
+def _commit(spark: SparkSession, path: str, version: int, folder: str) -> None:
+    """The record is written aside and put in place by a rename that fails if the number is taken."""
+    fs, record = _fs(spark, f"{path}/commits/{version}")
+    Path = spark._jvm.org.apache.hadoop.fs.Path  # noqa: N806
+    aside = Path(f"{path}/aside/{uuid.uuid4().hex}")
+    out = fs.create(aside)
+    out.write(bytearray(folder.encode()))
+    out.close()
+    fs.mkdirs(record.getParent())
+    if fs.exists(record) or not fs.rename(aside, record):
+        fs.delete(aside, False)
+        raise Outdated(f"version {version} of {path} is there already")
 
-    A reader sees the version before until the new one is written in full.
+
+def publish(now: DataFrame, path: str, tolerance: int | None = 2, seen: int | None = None) -> DataFrame:
+    """Write, audit, publish. The counts (check, decided, wrong, missing_found, ...) become the baseline unless G2 finds
+    a regression against the baseline that stands; what it found is returned, empty where the version was published.
+
+    Rows are written to a folder of their own, and are read back for the audit; only a commit record makes them visible, so a
+    writer that is interrupted leaves the old baseline as it was. Of two writers that saw the same baseline one gets the number, the
+    other raises Outdated. tolerance None: no audit; seen: the version that the caller looked at, the latest by default.
     """
     spark = now.sparkSession
-    try:
-        last = spark.read.parquet(path).agg(F.max("version")).first()[0]
-    except AnalysisException:  # no baseline yet
-        last = 0
-    now.withColumn("version", F.lit(last + 1)).write.mode("append").parquet(path)
-
-
-def baseline(spark: SparkSession, path: str) -> DataFrame:
-    """The latest version of the baseline."""
-    every = spark.read.parquet(path)
-    latest = every.agg(F.max("version").alias("version"))
-    return every.join(F.broadcast(latest), "version").drop("version")  # one row
+    have = _commits(spark, path)
+    last = max(have, default=0) if seen is None else seen
+    folder = f"data/{uuid.uuid4().hex}"
+    now.write.parquet(f"{path}/{folder}")
+    written = spark.read.schema(now.schema).parquet(f"{path}/{folder}")
+    found = written.select("check", F.lit("").alias("metric"), F.lit(0).cast("long").alias("was"), F.lit(0).cast("long").alias("now"), F.lit(0).cast("long").alias("worse_by")).limit(0)
+    if last and tolerance is not None:
+        found = regressions(written, spark.read.parquet(f"{path}/{have[last]}"), tolerance)
+        if not found.isEmpty():
+            return found
+    _commit(spark, path, last + 1, folder)
+    return found
+
+
+def refresh(now: DataFrame, path: str) -> None:
+    """The counts become the baseline that later runs are held against, whatever they are; each refresh is a version."""
+    publish(now, path, None)
+
+
+def baseline(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The latest published version of the baseline, or that of a number."""
+    have = _commits(spark, path)
+    if not have:
+        raise FileNotFoundError(f"no baseline was published to {path}")
+    return spark.read.parquet(f"{path}/{have[max(have) if version is None else version]}")
 
 
 def token_profile(df: DataFrame, rooms: tuple[int, ...] = (767, 895)) -> DataFrame:

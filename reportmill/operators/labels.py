@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sampling import BINS, u
+
 CHECKS = ("summary_what", "summary_where", "summary_when", "steps", "expected", "actual", "build_version")
 BATCH = 20
 
@@ -148,6 +150,36 @@ def unexpected_fields(sets: DataFrame, fields: tuple[str, ...] = FIELDS) -> Data
     return sets.select(F.lit("unexpected field").alias("rule"), F.col("id").alias("key"), F.explode(held).alias("detail"))
 
 
+def raw_rows(lines: DataFrame) -> DataFrame:
+    """lines(set, raw: a JSON object) with ``row`` (VARIANT, null where the line is no object) and the fields of FIELDS as text."""
+    parsed = lines.withColumn("row", F.try_parse_json("raw"))
+    parsed = parsed.withColumn("row", F.when(F.schema_of_variant("row").startswith("OBJECT"), F.col("row")))
+    return parsed.select("set", "raw", "row", *[F.try_variant_get("row", f"$.{c}", "string").alias(c) for c in FIELDS if c != "set"])
+
+
+def raw_set_problems(lines: DataFrame, sizes: dict[tuple[str, str], int], optional: tuple[str, ...] = ("core",)) -> DataFrame:
+    """A14 over raw JSON lines(set, raw): (rule, key, detail) of every problem at once.
+
+    Beside the rules of ``set_problems``: lines that are no object, fields that a row should not have, whatever their type, and
+    fields that it lacks. A row is named by its id, one without by the line itself.
+    """
+    rows = raw_rows(lines)
+    name = F.coalesce("id", F.substring("raw", 1, 80)).alias("key")
+    broken = rows.filter("row is null").select(F.lit("broken").alias("rule"), F.substring("raw", 1, 80).alias("key"), F.lit(None).cast("string").alias("detail"))
+    good = rows.filter("row is not null")
+    wanted = [c for c in FIELDS if c != "set"]
+    keyed = good.select(name, "row")
+    extra = _fields(keyed).filter(~F.col("field").isin(*wanted, *optional)).select(F.lit("unexpected field").alias("rule"), "key", F.col("field").alias("detail"))
+    absent = F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in wanted if c not in ("summary", "description")]))
+    lacks = good.select(F.lit("missing field").alias("rule"), name, F.explode(absent).alias("detail"))
+    return reduce(DataFrame.unionByName, [broken, extra, lacks, set_problems(good.select(*FIELDS), sizes)])
+
+
+def _fields(keyed: DataFrame) -> DataFrame:
+    """(key, field) of every field of the rows' objects."""
+    return keyed.sparkSession.sql("SELECT r.key AS key, f.key AS field FROM {keyed} AS r, LATERAL variant_explode(r.row) AS f", keyed=keyed)
+
+
 def set_problems(sets: DataFrame, sizes: dict[tuple[str, str], int]) -> DataFrame:
     """(rule, key, detail) of assembled sets (set, id, source, tracker, project, summary, description).
 
@@ -177,13 +209,18 @@ def training_rows(reports: DataFrame, labels: DataFrame, smoothing: float = 0.0)
     return reports.select("id", F.struct("summary", "description").alias("state"), questions().alias("questions")).join(gold, "id")
 
 
-def batches(reports: DataFrame, size: int = BATCH) -> DataFrame:
-    """Rows of size reports as JSON lines, holding only id and text.
+def batches(reports: DataFrame, size: int = BATCH, seed: str = "batches") -> DataFrame:
+    """(batch, lines, n): batches of size reports as JSON lines, holding only id and text, in the order of chance.
 
-    Ranges of ids are numbered by their partition's rows, so no task sees more than its own.
+    Numbers come from two passes: rows are counted by fixed ranges of chance and the counts are summed up; a row's number is what
+    the ranges before hold and its place within its own. So the batches are the same under any partitioning, and no task sees more
+    than a range of rows, the counts or a batch. ids are unique.
     """
-    ranged = reports.select("id", "summary", "description").repartitionByRange("id").withColumn("_part", F.spark_partition_id())
-    nth = F.row_number().over(Window.partitionBy("_part").orderBy("id"))
-    numbered = ranged.withColumn("_batch", F.floor((nth - 1) / size))
-    line = F.struct("id", F.to_json(F.struct("id", "summary", "description")).alias("line"))
-    return numbered.groupBy("_part", "_batch").agg(F.sort_array(F.collect_list(line)).alias("l")).select(F.concat_ws("-", "_part", "_batch").alias("batch"), F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("lines"), F.size("l").alias("n"))
+    chance = u(seed, F.col("id"))
+    rows = reports.select("id", chance.alias("u"), F.floor(chance * BINS).alias("bin"), F.to_json(F.struct("id", "summary", "description")).alias("line"))
+    counts = rows.groupBy("bin").agg(F.count("*").alias("n"))
+    before = counts.select("bin", (F.sum("n").over(Window.orderBy("bin")) - F.col("n")).alias("before"))  # BINS rows at most
+    nth = F.row_number().over(Window.partitionBy("bin").orderBy("u", "id"))
+    numbered = rows.withColumn("nth", nth).join(before, "bin").withColumn("batch", F.floor((F.col("before") + F.col("nth") - 1) / size))
+    ordered = F.sort_array(F.collect_list(F.struct("u", "id", "line")))
+    return numbered.groupBy("batch").agg(ordered.alias("l")).select("batch", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("lines"), F.size("l").alias("n"))

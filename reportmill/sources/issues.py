@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.cleanup import clean_reports
+
 NAMED = "struct<name:string>"
 RAW = f"id string, key string, fields struct<issuetype:struct<id:string,name:string>,project:struct<key:string>,status:{NAMED},created:string,summary:string,description:string,environment:string,versions:array<{NAMED}>>"
 URL_HOST = r"https?://([^/\s<>\"'():]+)"
@@ -101,6 +103,11 @@ def public_row(df: DataFrame) -> DataFrame:
     return df.select(F.concat_ws(":", "tracker", "key").alias("id"), F.lit("public").alias("source"), "tracker", "project", F.coalesce("summary", F.lit("")).alias("summary"), F.coalesce("description", F.lit("")).alias("description"))
 
 
+def cleaned_public_row(df: DataFrame) -> DataFrame:
+    """Public rows as they go into sets: cleaned first, as models see them. df also has ``wiki``."""
+    return public_row(clean_reports(df))
+
+
 def generated_row(df: DataFrame, specs: DataFrame) -> DataFrame:
     """A generated record's area is its project; specs are a file's size."""
     return df.join(F.broadcast(specs.select("id", "area")), "id").select("id", F.lit("synthetic").alias("source"), F.lit("synthetic").alias("tracker"), F.col("area").alias("project"), "summary", F.col("body").alias("description"))
