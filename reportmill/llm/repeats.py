@@ -231,7 +231,7 @@ def repeated(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> DataFrame
     texts = _texts(docs)
     every = texts.filter(F.octet_length("text") >= depth).mapInArrow(_runs(depth, gram), "doc_id long, own long, digit long, lead long, size long, rest long, first long")
     every = stored(every.withColumns({"lead": F.col("lead").cast("int"), "size": F.col("size").cast("int")}), "runs")
-    twice = lambda df, *key: df.groupBy(*key).count().filter("count > 1").select(*key)
+    twice = lambda df, *key: stored(df.groupBy(*key).count().filter("count > 1").select(*key), "twice")  # noqa: E731  written, so that joins with it can split hot keys
     shared = stored(every.join(twice(every, "digit"), "digit", "left_semi"), "shared")
     of = ["digit", "lead", "size", "rest"]
     groups = stored(shared.groupBy(*of).agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("doc_id", "own", "first")]), "groups")
