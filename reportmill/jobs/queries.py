@@ -181,10 +181,15 @@ def r3_flags(spark, sf_dir):
     return V.reports(spark, sf_dir).select("id", rules.flags(F.coalesce("description", F.lit(""))).alias("f")).select("id", "f.*")
 
 
-@query(R + f"SELECT tracker, round(avg(steps::INT), 6) AS steps, round(avg(expected::INT), 6) AS expected, round(avg(version::INT), 6) AS version, round(avg(template::INT), 6) AS template FROM (SELECT tracker, {FLAGS} FROM (SELECT tracker, coalesce(description, '') AS d FROM reports)) GROUP BY tracker")
+_shares = ", ".join(f"round(avg({c}::INT), 6) AS {c}" for c in ("steps", "expected", "version", "template"))
+
+
+@query(R + f""", f AS (SELECT id, tracker, {FLAGS} FROM (SELECT id, tracker, coalesce(description, '') AS d FROM reports)), p AS (SELECT 'pool' AS part, * FROM f UNION ALL SELECT 'sample', * FROM f WHERE {V.u_sql(SEED, 'id')} < 0.2)
+  SELECT part, coalesce(tracker, 'total') AS tracker, count(*) AS n, {_shares} FROM p GROUP BY part, ROLLUP (tracker)""")
 def r4_flag_shares(spark, sf_dir):
-    flagged = V.reports(spark, sf_dir).select("tracker", rules.flags(F.coalesce("description", F.lit(""))).alias("f")).select("tracker", "f.*")
-    return flagged.groupBy("tracker").agg(*[F.round(F.avg(F.col(c).cast("int")), 6).alias(c) for c in ("steps", "expected", "version", "template")])
+    """How often each rare part is there, in the pool and in a sample of it, by tracker and in all."""
+    flagged = V.reports(spark, sf_dir).select("id", "tracker", rules.flags(F.coalesce("description", F.lit(""))).alias("f")).select("id", "tracker", "f.*")
+    return _six(S.part_shares(flagged, S.bernoulli(flagged, 0.2, SEED)), "steps", "expected", "version", "template")
 
 
 TASK = r"'(?i)^[^0-9A-Za-z_À-ɏ]*(?:add|allow|support|update|upgrade|improve|implement|remove|make|use|create|enable|refactor|document|provide|introduce|need|please)\b'"
@@ -304,10 +309,15 @@ def r24_foreign_hosts(spark, sf_dir):
     return I.foreign_hosts(V.reports(spark, sf_dir).select("id", F.col("description").alias("text")), ("example.org",), ("qa1", "zz9"))
 
 
-@query(LAB + 'SELECT r.id, summary, l."check" AS "check", CASE WHEN gold THEN 0.95 ELSE 0.05 END AS p_true, gold AS label FROM labels_long l JOIN reports r USING (id)')
+_asked = " ".join(f"WHEN '{c}' THEN '{q}'" for c, q in L.QUESTIONS.items())
+
+
+@query(LAB + f'SELECT r.id, summary, description, l."check" AS "check", CASE l."check" {_asked} END AS question, CASE WHEN gold THEN 0.05 ELSE 0.95 END AS p_false, CASE WHEN gold THEN 0.95 ELSE 0.05 END AS p_true, gold AS label FROM labels_long l JOIN reports r USING (id)')
 def r25_training_rows(spark, sf_dir):
+    """State, question map and smoothed targets of each row, taken apart by check."""
     rows = L.training_rows(V.reports(spark, sf_dir), V.labels_long(spark, sf_dir), 0.1)
-    return rows.select("id", F.col("state.summary").alias("summary"), F.explode("gold").alias("check", "g")).select("id", "summary", "check", F.round("g.p_true", 6).alias("p_true"), F.col("g.label").alias("label"))
+    each = rows.select("id", "state.*", "questions", F.explode("gold").alias("check", "g"))
+    return each.select("id", "summary", "description", "check", F.col("questions")[F.col("check")]["text"].alias("question"), F.round("g.p_false", 6).alias("p_false"), F.round("g.p_true", 6).alias("p_true"), F.col("g.label").alias("label"))
 
 
 @query(R + "SELECT tracker || ':' || key AS id, 'public' AS source, tracker, project, summary, coalesce(description, '') AS description FROM reports")
