@@ -745,7 +745,14 @@ def u1_u4_assembled(spark, sf_dir):
     return L.assembled(public, generated)
 
 
-@query()
+@query(SCO + ", " + COUNTED.format(by=_by) + f""", m AS (SELECT {_by}, coalesce(no_found / nullif(no_n, 0), 0) AS recall, coalesce(no_found / nullif(said, 0), 0) AS prec, gap / n AS ece FROM counted JOIN gaps USING ({_by})),
+  fm AS (SELECT {_by}, coalesce(count(*) FILTER (gold AND p < 0.5) / nullif(count(*) FILTER (gold), 0), 0) AS f FROM scored WHERE id IN (SELECT id FROM labels_long WHERE tag = 'core') GROUP BY {_by}),
+  j AS (SELECT a."check", a.recall - b.recall AS recall, a.prec - b.prec AS prec, b.ece - a.ece AS ece, coalesce(fb.f, 0) - coalesce(fa.f, 0) AS risen FROM m a JOIN m b ON a."check" = b."check" AND a.model = 'new' AND b.model = 'old'
+    LEFT JOIN fm fa ON fa."check" = a."check" AND fa.model = 'new' LEFT JOIN fm fb ON fb."check" = a."check" AND fb.model = 'old')
+  SELECT "check", 'recall missing did not rise' AS reason FROM j WHERE "check" IN ('expected', 'actual') AND recall >= 0
+  UNION ALL SELECT "check", 'recall_no fell by ' || printf('%.1f', 100 * recall) || ' points' FROM j WHERE recall > 0.05 UNION ALL SELECT "check", 'precision_no fell by ' || printf('%.1f', 100 * prec) || ' points' FROM j WHERE prec > 0.05
+  UNION ALL SELECT "check", 'false missing on present rose by ' || printf('%.1f', 100 * risen) || ' points' FROM j WHERE risen > 0.05
+  UNION ALL SELECT "check", 'ECE rose by ' || printf('%.3f', ece) FROM j WHERE "check" IN ('steps', 'expected', 'actual', 'build_version') AND ece > 0.03""")
 def g1_model_gate(spark, sf_dir):
     """The older model as the one that wants to replace the newer, which is better: the gate has reasons to give."""
     s = V.scored(spark, sf_dir)
@@ -815,6 +822,19 @@ def _flow_sql(settings: D.Settings) -> str:
 QUIET = D.Settings(success_comment=False)
 
 
+_golds = " UNION ALL ".join(f"SELECT '{c}' AS \"check\", {c} AS v, {V.u_sql('gold-' + c, 'txt')} < 0.6 AS gold FROM verdicts" for c in L.CHECKS)
+
+
+@query(EV + f""", {_flow_sql(QUIET)}, g AS ({_golds}) SELECT "check", count(*) AS n, count(*) FILTER (v <> 'unsure') AS decided, count(*) FILTER (v <> 'unsure' AND gold = (v = 'missing')) AS wrong, count(*) FILTER (NOT gold) AS missing_n,
+  count(*) FILTER (NOT gold AND v = 'missing') AS missing_found, count(*) FILTER (gold AND v = 'missing') AS false_missing FROM g GROUP BY "check\"""")
+def a7_state_counts(spark, sf_dir):
+    """Counts after all decision rules, over the issue events' states, whose rules SQL can follow."""
+    states = C.states(V.events(spark, sf_dir), QUIET)
+    decided = D.decided(D.replayed(states, D.recorded(states, _stub)), QUIET)
+    text = F.concat_ws("\n", "summary", "description")
+    return D.bot_counts(decided.withColumns({f"gold_{c}": S.u(f"gold-{c}", text) < 0.6 for c in L.CHECKS}))
+
+
 @query(EV + f""", {_flow_sql(QUIET)}, h AS (SELECT *, coalesce(max((NOT complete)::INT) OVER (PARTITION BY repo, number ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS had, lag(fp) OVER (PARTITION BY repo, number ORDER BY ts, event_id) AS was FROM flow)
   SELECT repo, number, event_id, fp, complete, CASE WHEN had = 0 AND complete THEN 'silent' WHEN had = 0 THEN 'created' WHEN fp = was THEN 'skipped' ELSE 'updated' END AS action, comment FROM h""")
 def t1_flow(spark, sf_dir):
