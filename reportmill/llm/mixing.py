@@ -8,8 +8,8 @@ most, flies again with the leavings of other cells, level by level, until one ce
 the document count, rounds the last document and exchanges a few others while that brings the words taken nearer.
 
 Chance comes from hashes of (seed, doc_id, text), cells from hashes and counts: reruns and other partitionings agree.
-Null sources are a source, after all others; null and empty texts have size 0 and are taken 0 words; repeated rows are
-drawn one by one. An empty table gives an empty mix. Other columns are kept by ``mixed`` and not read.
+Null sources are a source, after all others; null and empty texts have size 0 and are taken 0 words; texts of any length are
+counted whole, and only their sizes go on; repeated rows are drawn one by one. An empty table gives an empty mix. Other columns are kept by ``mixed`` and not read.
 """
 
 from __future__ import annotations

@@ -12,7 +12,7 @@ in the first band that they share only: first by a byte of each coordinate (a pa
 bound with probability below 1e-6), then those near enough by their whole sets. So a bucket gives rows for its members and
 its links, never for its pairs. Every link is confirmed on the full sets of shingle strings.
 
-Null doc_ids belong to a class but never name it; null, empty and blank texts have empty sets and link with nothing;
+Texts of any length are hashed whole, and a block of a bucket holds fewer sets the longer they are. Null doc_ids belong to a class but never name it; null, empty and blank texts have empty sets and link with nothing;
 repeated rows are copies; other columns are kept by ``deduplicated`` and not read. An empty table gives an empty result.
 """
 

@@ -7,8 +7,8 @@ asking the tasks before it: deficits carry across windows and partitions, and no
 and the queues' totals. Windows follow each other in one stream, which is cut into sequences; only the last is padded.
 
 Queues: one for each of the largest sources, and one that all further sources share (``MAX_QUEUES`` in all), so the table of
-totals that tasks get has a fixed bound. Null sources are a source; null texts hold the end id alone; repeated rows are
-packed again; other columns are not read.
+totals that tasks get has a fixed bound. Null sources are a source; null texts hold the end id alone; texts of any
+length go on over as many sequences as they need; repeated rows are packed again; other columns are not read.
 """
 
 from __future__ import annotations

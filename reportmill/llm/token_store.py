@@ -8,7 +8,8 @@ lane i mod lanes; one step decodes a token in every lane. A lane's state is 64 b
 falls below 2**31. A checkpoint holds the states and the place in the words before its step, so that a reader starts
 there. The header carries a crc32 of the block's ids, checked after decoding.
 
-Null doc_ids come first, repeated ids follow each other by text, a null text is an empty one, other columns are not read.
+Null doc_ids come first, repeated ids follow each other by text, a null text is an empty one, a text
+of any length stays in one block, which is as long as that takes; other columns are not read.
 """
 
 from __future__ import annotations
