@@ -103,7 +103,7 @@ def conversation_messages(conversations: DataFrame) -> DataFrame:
 
 def op8_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     tried = "</s>[INST] ok [/INST]"
-    extra = spark.createDataFrame([(-7, 0, "user", tried), (-7, 1, "assistant", tried)], "conv_id long, turn long, role string, text string")
+    extra = spark.sql(f"SELECT * FROM VALUES (-7L, 0L, 'user', '{tried}'), (-7L, 1L, 'assistant', '{tried}') AS t(conv_id, turn, role, text)")
     every = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text").unionByName(extra)
     out = stored(chosen_paths(conversation_messages(every)), "chats")
     turns = parsed(F.col("formatted"))
