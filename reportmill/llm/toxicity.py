@@ -276,7 +276,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, learn=lambda doc_id: F.lit(True
         for pdf in batches:
             for text, toxic in zip(pdf["text"], pdf["toxic"], strict=True):
                 own_terms = {t for w in words_of([text])[0].to_pylist() for t in terms(w)}
-                yield pd.DataFrame({"term": sorted(own_terms), "toxic": int(toxic > 0)})
+                if own_terms:  # a labelled text may be null or empty
+                    yield pd.DataFrame({"term": sorted(own_terms), "toxic": int(toxic > 0)})
 
     # Bounded by the sample: its own terms.
     seen = sample.mapInPandas(words, "term string, toxic int").groupBy("term").agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).orderBy("term").toPandas()
