@@ -18,8 +18,9 @@ from functools import cache
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import table
+from .common import giving_back, stored, table
 
 WIDTH = 64
 #: Rows of a frame at most, and hundredths of a second that each is shown.
@@ -254,26 +255,49 @@ def gif_frames(df: DataFrame, key: str = "media_id", data: str = "media") -> Dat
     return df.select(key, data).mapInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, {FRAMES}")
 
 
-_FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, frames int"
+_MEDIA = "doc_id long, n_bytes long, media binary"
 
 
-def text_media_features(docs: DataFrame) -> DataFrame:
-    """Each text's bytes as a GIF, read back: digests of the payload and the file, and the frames' histogram as the feature."""
+def text_media(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, media: each text's bytes, filled up to whole lines, as the pixels of a GIF; equal texts, equal files."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            own = [(t or "").encode("utf-8", "surrogatepass") for t in pdf["text"]]
+            media = [encode_gif(x + bytes(-len(x) % WIDTH or (0 if x else WIDTH))) for x in own]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n_bytes": [len(x) for x in own], "media": media})
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(giving_back(run), _MEDIA)
+
+
+_FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, frames int, timed array<struct<frame: int, start_ms: long, delay_ms: long, disposal: int, height: int, histogram: array<long>>>"
+
+
+def media_features(media: DataFrame) -> DataFrame:
+    """text_media() rows, decoded: digests of the pixels and of the file; frames with their times and colour histograms; the
+    histogram of all frames as the feature."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                own = (text or "").encode("utf-8", "surrogatepass")
-                media = encode_gif(own + bytes(-len(own) % WIDTH or (0 if own else WIDTH)))
-                frames = decode_gif(media)
+            for doc, n, gif in zip(pdf["doc_id"].astype("Int64"), pdf["n_bytes"], pdf["media"], strict=True):
+                frames = decode_gif(gif)
                 back = b"".join(f.indices.tobytes() for f in frames)
-                colours = sum(histogram(f.rgba[: len(f.indices) // WIDTH]) for f in frames)
-                feature = f"{len(frames)}x{WIDTH}:" + ",".join(map(str, colours[[0, 21, 42, 63]]))
-                rows.append((None if pd.isna(doc) else int(doc), len(own), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature, len(frames)))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in _FEATURES.split(", ")]).astype({"doc_id": "Int64"})
+                each = [histogram(f.rgba[: len(f.indices) // WIDTH]) for f in frames]
+                timed = [{"frame": f.number, "start_ms": f.start_ms, "delay_ms": f.delay_ms, "disposal": f.disposal, "height": len(f.indices) // WIDTH, "histogram": h.tolist()} for f, h in zip(frames, each, strict=True)]
+                feature = f"{len(frames)}x{WIDTH}:" + ",".join(map(str, sum(each).tolist()))
+                rows.append((doc, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(gif), hashlib.sha256(gif).hexdigest(), feature, len(frames), timed))
+            yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "frames", "timed"]).astype({"doc_id": "Int64"})
+
+    return media.select("doc_id", "n_bytes", "media").mapInPandas(giving_back(run), _FEATURES)
+
+
+def text_media_features(docs: DataFrame) -> DataFrame:
+    """Each text as a GIF that is stored in the shared folder, and what is read back from there.
 
-    return docs.select("doc_id", "text").mapInPandas(run, _FEATURES)
+    Nulls and empty texts are one line of zeros; texts of any length, in frames; repeated rows give rows each; an empty table none.
+    """
+    return media_features(stored(text_media(docs), "media", "none"))
 
 
 def op10_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
