@@ -393,9 +393,9 @@ def a1_counts(spark, sf_dir):
     return V.reports(spark, sf_dir).groupBy("tracker", "project").agg(F.count("*").alias("n"))
 
 
-@query(CAND + "SELECT coalesce(tracker, 'total') AS tracker, count(*) AS n, round_even(quantile_cont(tokens, 0.5), 0)::BIGINT AS median, round_even(quantile_cont(tokens, 0.9), 0)::BIGINT AS p90, round_even(quantile_cont(tokens, 0.99), 0)::BIGINT AS p99, round(avg((tokens > 767)::INT), 6) AS over_767, round(avg((tokens > 895)::INT), 6) AS over_895 FROM candidates GROUP BY ROLLUP (tracker)")
+@query(CAND + "SELECT coalesce(tracker, 'total') AS tracker, count(*) AS n, round_even(quantile_cont(tokens, 0.5), 0)::BIGINT AS median, round_even(quantile_cont(tokens, 0.9), 0)::BIGINT AS p90, round_even(quantile_cont(tokens, 0.99), 0)::BIGINT AS p99, round(avg((tokens > 767)::INT), 6) AS over_767, round(avg((tokens > 895)::INT), 6) AS over_895 FROM (SELECT tracker, state_tokens AS tokens FROM candidates) GROUP BY ROLLUP (tracker)")
 def a2_token_profile(spark, sf_dir):
-    return _six(E.token_profile(V.candidates(spark, sf_dir)), "over_767", "over_895")
+    return _six(E.token_profile(V.candidates(spark, sf_dir).select("tracker", F.col("state_tokens").alias("tokens"))), "over_767", "over_895")
 
 
 COUNTED = """counted AS (SELECT {by}, count(*) AS n, count(*) FILTER (gold = (p >= 0.5)) AS r, count(*) FILTER (NOT gold) AS no_n, count(*) FILTER (p < 0.5) AS said, count(*) FILTER (NOT gold AND p < 0.5) AS no_found, avg(greatest(p, 1 - p)) AS conf FROM scored GROUP BY {by}),
@@ -551,7 +551,7 @@ def a18_sample_report(spark, sf_dir):
 
 
 @query(CAND + f"""SELECT id, c."check", max({V.u_sql('w', "c.\"check\" || '|' || id || '|' || w.w || '|' || array_to_string(t[w.w * 639 + 1 : w.w * 639 + 767], ' ')")}) AS p, count(*) AS windows
-  FROM (SELECT id, tokens, regexp_extract_all({V.STATE}, '[^ \\t\\n\\r\\f\\v]+') AS t FROM candidates) x, (VALUES ('steps'), ('actual')) AS c("check"), generate_series(0, 20) AS w(w) WHERE w.w < greatest(ceil((tokens - 128) / 639), 1) GROUP BY ALL""")
+  FROM (SELECT id, state_tokens AS tokens, regexp_extract_all({V.STATE}, '[^ \\t\\n\\r\\f\\v]+') AS t FROM candidates) x, (VALUES ('steps'), ('actual')) AS c("check"), generate_series(0, 20) AS w(w) WHERE w.w < greatest(ceil((tokens - 128) / 639), 1) GROUP BY ALL""")
 def a19_f1_f3_window_scores(spark, sf_dir):
     """Windows of the JSON states by token offsets, scored one by one by a stub that reads a window's text, rolled up."""
     c = V.candidates(spark, sf_dir).select("id", X.state_json().alias("json"))
@@ -584,7 +584,7 @@ def f4_question_rows(spark, sf_dir):
     return r.select("id", F.size("q").alias("questions"), F.col("q")["steps"]["type"].alias("kind"))
 
 
-@query(CAND + "SELECT id, tokens FROM candidates")
+@query(CAND + "SELECT id, state_tokens AS tokens FROM candidates")
 def f2_token_lengths(spark, sf_dir):
     """Tokens of the JSON state by the helper, with the tokenizer of blanks; files of the tokenizers library go the same way."""
     c = V.candidates(spark, sf_dir).select("id", X.state_json().alias("json"))

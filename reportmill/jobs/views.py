@@ -112,15 +112,15 @@ SCORED = f"scored AS ({_scored_sql('old', 0.30)} UNION ALL {_scored_sql('new', 0
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reports with a description: tokens of the JSON state (by blanks), and a mark of rare parts."""
+    """Reports with a description: tokens by blanks, of the text and of the JSON state, and a mark of rare parts."""
     r = reports(spark, sf_dir).filter(F.col("description").isNotNull())
-    return r.select("id", "tracker", "project", "summary", "description", blank_tokens(state_json()).alias("tokens"), (F.col("doc_id") % 7 == 0).alias("rare"))
+    return r.select("id", "tracker", "project", "summary", "description", blank_tokens(F.col("description")).alias("tokens"), blank_tokens(state_json()).alias("state_tokens"), (F.col("doc_id") % 7 == 0).alias("rare"))
 
 
 #: The JSON of a state in SQL.
 STATE = """('{"summary":' || to_json(summary) || ',"description":' || to_json(description) || '}')"""
 CANDIDATES = rf"""candidates AS (
-  SELECT id, tracker, project, summary, description, length(regexp_extract_all({STATE}, '[^ \t\n\r\f\v]+'))::INTEGER AS tokens, doc_id % 7 = 0 AS rare
+  SELECT id, tracker, project, summary, description, length(regexp_extract_all(description, '[^ \t\n\r\f\v]+'))::INTEGER AS tokens, length(regexp_extract_all({STATE}, '[^ \t\n\r\f\v]+'))::INTEGER AS state_tokens, doc_id % 7 = 0 AS rare
   FROM reports WHERE description IS NOT NULL)"""
 
 
