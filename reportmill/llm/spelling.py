@@ -131,7 +131,7 @@ def _coded(letters: np.ndarray, q: int) -> np.ndarray:
 def _shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Grams that each word of a shares with each of b, merged position by position; b may be one longer."""
     shift = b.shape[1] - a.shape[1]
-    out = np.zeros((len(a), len(b)), np.int16)
+    out = np.zeros((len(a), len(b)), np.int32)
     for i in range(a.shape[1]):
         here = a[:, i, None] == b[None, :, i]
         out += here | (a[:, i, None] == b[None, :, i + 1]) if shift else here
@@ -203,7 +203,7 @@ SHORT = 48
 
 
 def list_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-    """(a, n_a, b, n_b): near pairs of whole lists, sorted by _KEY and longer: among words of a list's length, and of these with
+    """(a, n_a, b, n_b): near pairs of whole lists, once each, sorted by _KEY and longer: among words of a list's length, and of these with
     longer ones; where a list is cut into blocks i and j, of one with the other."""
     words_, n, longer, block = pdf["word"].to_numpy(object), pdf["n"].to_numpy(), pdf["longer"].to_numpy(bool), pdf["block"].to_numpy()
     place = pdf[_KEY]
@@ -241,6 +241,8 @@ def list_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
                     left.append(rows_own[x[p]])
                     right.append((rows_more if is_longer else rows_own)[y[r]])
     p, r = (np.concatenate(side) if side else np.zeros(0, np.int64) for side in (left, right))
+    turned = ~longer[r] & (words_[p] > words_[r]).astype(bool)  # lists hold their words in any order; a pair of one length comes smaller word first
+    p, r = np.where(turned, r, p), np.where(turned, p, r)
     return pd.DataFrame({"a": words_[p], "n_a": n[p], "b": words_[r], "n_b": n[r]}).drop_duplicates(["a", "b"])
 
 

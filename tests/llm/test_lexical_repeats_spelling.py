@@ -155,6 +155,15 @@ def test_blocks_of_a_long_list_lose_no_pair():
     assert {frozenset(p) for p in got} == want and len(got) == len(want)
 
 
+def test_a_pair_comes_once_in_whatever_order_lists_hold_it():
+    import pandas as pd
+
+    lists = [("ab", 0, ["abcde", "abcdf"]), ("bc", 1, ["abcdf", "abcde"])]
+    rows = [(5, gram, at, 0, 0, 0, False, w, 3) for gram, at, words in lists for w in words]
+    df = spelling.list_pairs(pd.DataFrame(rows, columns=["size", "gram", "at", "i", "j", "block", "longer", "word", "n"]))
+    assert list(zip(df["a"], df["b"], strict=True)) == [("abcde", "abcdf")]
+
+
 def test_variants_without_words(spark):
     assert spelling.variants(spark.createDataFrame([], DOCS)).count() == 0
     assert spelling.variants(spark.createDataFrame([(1, "one two"), (2, None)], DOCS)).count() == 0
