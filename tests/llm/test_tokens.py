@@ -116,3 +116,29 @@ def test_windows_follow_the_shares():
         np.add.at(taken[q], at // 1000, size)
     assert (taken.sum(0)[: r.windows - 1] == 1000).all()
     assert (np.abs(taken[0, :-2] - 700) <= 40).all() and (np.abs(taken[1, :-2] - 200) <= 40).all()
+
+
+@pytest.mark.parametrize("file", ENCODERS)
+def test_the_library_is_asked_once_for_many_strings(file):
+    """New strings go to the library joined, not one by one, and their ids are the same."""
+    e, asked = Encoder(file), 0
+    tok = e.tok
+
+    class Counting:
+        def encode_batch_fast(self, texts, **rest):
+            nonlocal asked
+            asked += len(texts)
+            return tok.encode_batch_fast(texts, **rest)
+
+    e.tok = Counting()
+    text = " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}x{i}\xa0 é{i}\ny" for i in range(3000))
+    assert e.encode_many([text, "\n" + text]) == [library(ENCODERS[file], text), library(ENCODERS[file], "\n" + text)]
+    assert 0 < asked < 100
+
+
+def test_without_a_parting_token_strings_go_one_by_one():
+    e = Encoder("byte_bpe_50k.json")
+    e.between = None
+    assert e.encode_many(["one two", "two  three\n"]) == [library(e, "one two"), library(e, "two  three\n")]
+    e.between = (e.tok.token_to_id("a"), "a")  # one that the strings hold too
+    assert Encoder.encode_many(e, ["ab ba"]) == [library(e, "ab ba")]
