@@ -69,7 +69,7 @@ class Vocabulary:
     def __reduce__(self):
         return Vocabulary, (self.number,)
 
-    def _numbers(self, words: list[str]) -> Ragged:
+    def _numbers(self, words: list[str], _: np.ndarray) -> Ragged:
         get = self.number.get
         ids = [[i for t in terms(w) if (i := get(t)) is not None] for w in words]
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import pickle
 import re
 import struct
 import zlib
@@ -104,6 +105,13 @@ def test_index_is_exact():
         assert len(set(want) & {i for i, _ in got}) >= 15
 
 
+def test_known_terms_are_counted_by_text():
+    words = toxicity.Vocabulary({"bad": 0, "badl*": 1, "good": 2})
+    for v in (words, pickle.loads(pickle.dumps(words))):  # as workers get it
+        text, term, times = v.counted(["Bad badly, bad", None, "", "new", "good"])
+        assert list(zip(text.tolist(), term.tolist(), times.tolist(), strict=True)) == [(0, 0, 2), (0, 1, 1), (4, 2, 1)]
+
+
 def test_toxicity(spark):
     rng = np.random.default_rng(3)
     bad = ["slurone", "slurtwo", "slurthree"]
