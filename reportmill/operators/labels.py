@@ -150,11 +150,16 @@ def unexpected_fields(sets: DataFrame, fields: tuple[str, ...] = FIELDS) -> Data
     return sets.select(F.lit("unexpected field").alias("rule"), F.col("id").alias("key"), F.explode(held).alias("detail"))
 
 
+#: JSON without single quotes or NaN, and with strings of any length: by default, those of over 20,000,000 characters are refused.
+STRICT_JSON = {"maxStringLen": str(2**31 - 1), "allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+
+
 def raw_rows(lines: DataFrame) -> DataFrame:
-    """lines(set, raw: a JSON object) with ``row`` (VARIANT, null where the line is no object) and the fields of FIELDS as text."""
-    parsed = lines.withColumn("row", F.try_parse_json("raw"))
-    parsed = parsed.withColumn("row", F.when(F.schema_of_variant("row").startswith("OBJECT"), F.col("row")))
-    return parsed.select("set", "raw", "row", *[F.try_variant_get("row", f"$.{c}", "string").alias(c) for c in FIELDS if c != "set"])
+    """lines(set, raw: a JSON object) with ``row`` (MAP of field to text, null where the line is no object or has a field twice) and the fields of FIELDS."""
+    read = F.array(F.from_json("raw", "map<string,string>", STRICT_JSON))  # named twice below, read once
+    once = lambda r: F.when(F.size(F.array_distinct(F.map_keys(r))) == F.size(F.map_keys(r)), r)
+    parsed = lines.withColumn("row", F.transform(read, once)[0])
+    return parsed.select("set", "raw", "row", *[F.col("row")[c].alias(c) for c in FIELDS if c != "set"])
 
 
 def raw_set_problems(lines: DataFrame, sizes: dict[tuple[str, str], int], optional: tuple[str, ...] = ("core",)) -> DataFrame:
@@ -168,18 +173,12 @@ def raw_set_problems(lines: DataFrame, sizes: dict[tuple[str, str], int], option
     broken = rows.filter("row is null").select(F.lit("broken").alias("rule"), F.substring("raw", 1, 80).alias("key"), F.lit(None).cast("string").alias("detail"))
     good = rows.filter("row is not null")
     wanted = [c for c in FIELDS if c != "set"]
-    keyed = good.select(name, "row")
-    extra = _fields(keyed).filter(~F.col("field").isin(*wanted, *optional)).select(F.lit("unexpected field").alias("rule"), "key", F.col("field").alias("detail"))
+    extra = good.select(name, F.explode(F.map_keys("row")).alias("field")).filter(~F.col("field").isin(*wanted, *optional)).select(F.lit("unexpected field").alias("rule"), "key", F.col("field").alias("detail"))
     absent = F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in wanted if c not in ("summary", "description")]))
     lacks = good.select(F.lit("missing field").alias("rule"), name, F.explode(absent).alias("detail"))
     return reduce(DataFrame.unionByName, [broken, extra, lacks, set_problems(good.select(*FIELDS), sizes)])
 
 
-def _fields(keyed: DataFrame) -> DataFrame:
-    """(key, field) of every field of the rows' objects."""
-    return keyed.sparkSession.sql("SELECT r.key AS key, f.key AS field FROM {keyed} AS r, LATERAL variant_explode(r.row) AS f", keyed=keyed)
-
-
 def set_problems(sets: DataFrame, sizes: dict[tuple[str, str], int]) -> DataFrame:
     """(rule, key, detail) of assembled sets (set, id, source, tracker, project, summary, description).
 

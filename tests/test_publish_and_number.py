@@ -70,6 +70,18 @@ def test_rules_over_raw_rows(spark):
     }
 
 
+def test_rules_over_very_long_and_odd_raw_rows(spark):
+    """Lines of over 20,000,000 characters are read like others; a field given twice and lenient JSON make a line broken."""
+    row = '{"id": "%s", "source": "public", "tracker": "t", "project": "p", "summary": "s", "description": "'
+    long = F.concat(F.lit(row % "long"), F.repeat(F.lit("x"), F.col("id").cast("int")), F.lit('", "extra": {"a": 1}}'))
+    lines = spark.range(20_000_001, 20_000_003).select(F.lit("train").alias("set"), long.alias("raw"))
+    odd = ['{"id": "a", "id": "b"}', "{'id': 'a'}", '{"id": NaN}', "", "null", '{"id": "a"', None]
+    lines = lines.unionByName(spark.createDataFrame([("train", x) for x in odd], "`set` string, raw string"))
+    got = [tuple(r) for r in L.raw_set_problems(lines, {("train", "public"): 2}).collect()]
+    want = [("broken", x, None) for x in odd] + [("unexpected field", "long", "extra")] * 2 + [("duplicate", "long", "2")]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_public_rows_are_cleaned(spark):
     rows = [("k1", "T", "P", "[UI] Title", "h2. Head\r\n<!-- x -->*bold* &lt;b&gt;\r\n\r\n\r\n\r\n!shot.png!", True), ("k2", "T", "P", "Title", None, False)]
     df = spark.createDataFrame(rows, "key string, tracker string, project string, summary string, description string, wiki boolean")
